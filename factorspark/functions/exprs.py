@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Num = float | int | Column
@@ -76,6 +76,20 @@ def weighted_mean(parts: Sequence[tuple[Column, Num]], empty: float | None = Non
     return out if empty is None else F.coalesce(out, F.lit(float(empty)))
 
 
+def add_weighted_means(df: DataFrame, specs: dict[str, list[tuple[Column, Num]]],
+                       empty: float = 0.0) -> DataFrame:
+    """Weighted means as new columns, the single scores staged in their own projection.
+
+    Each score is read twice (value and presence); staging keeps the generated code small.
+    """
+    temps, outs = {}, {}
+    for name, parts in specs.items():
+        cols = [f"_s_{name}_{i}" for i in range(len(parts))]
+        temps.update(dict(zip(cols, [p[0] for p in parts])))
+        outs[name] = weighted_mean([(F.col(c), p[1]) for c, p in zip(cols, parts)], empty)
+    return df.withColumns(temps).withColumns(outs).drop(*temps)
+
+
 def step_score(x: Column, steps: Sequence[tuple[float, float]], default: float,
                inclusive: bool = True) -> Column:
     """First step whose bound ``x`` reaches, from the highest bound down."""

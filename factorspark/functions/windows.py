@@ -57,29 +57,32 @@ def ema(df: DataFrame, specs: dict[str, tuple[str, float]], keys: Sequence[str]
     filtering before the call.
     """
     keys = list(keys)
+    size = max(max(2, math.ceil(46.0 / -math.log(1.0 - a))) for _, a in specs.values())
+    steepest = max(a for _, a in specs.values())
+    if len(specs) > 1 and size * -math.log10(1.0 - steepest) > 280:
+        # one block length for all would overflow the steepest average: do it on its own
+        first = {n: s for n, s in specs.items() if s[1] == steepest}
+        rest = {n: s for n, s in specs.items() if s[1] != steepest}
+        return ema(ema(df, first, keys, order), rest, keys, order)
     w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("_i", F.row_number().over(w) - 1)
-    temp = ["_i"]
+    out = df.withColumn("_i", F.row_number().over(w) - 1).withColumn(
+        "_blk", F.floor(F.col("_i") / size)).withColumn("_pos", F.col("_i") % size)
+    inner = Window.partitionBy(*keys, "_blk").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_blk").rangeBetween(-1, -1)
+    pos = F.col("_pos")
+    local, final = [], []
     for name, (x, a) in specs.items():
-        q = 1.0 - a
-        size = max(2, math.ceil(46.0 / -math.log(q)))
-        blk, pos, loc = f"_b_{name}", f"_p_{name}", f"_l_{name}"
+        q = F.lit(1.0 - a)
         weight = F.when(F.col("_i") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        out = (out.withColumn(blk, F.floor(F.col("_i") / size))
-                  .withColumn(pos, F.col("_i") % size))
-        inner = (Window.partitionBy(*keys, blk).orderBy("_i")
-                 .rowsBetween(Window.unboundedPreceding, 0))
-        out = out.withColumn(
-            loc, F.sum(weight * F.col(x) * F.pow(F.lit(1.0 / q), F.col(pos))).over(inner)
-            * F.pow(F.lit(q), F.col(pos)))
-        before = Window.partitionBy(*keys).orderBy(blk).rangeBetween(-1, -1)
-        carry = F.max(F.when(F.col(pos) == size - 1, F.col(loc))).over(before)
-        out = out.withColumn(
-            name, F.col(loc) + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(q), F.col(pos) + 1))
-        temp += [blk, pos, loc]
+        local.append((F.sum(weight * F.col(x) * F.pow(q, -pos)).over(inner) * F.pow(q, pos)
+                      ).alias(f"_l_{name}"))
+        carry = F.max(F.when(pos == size - 1, F.col(f"_l_{name}"))).over(before)
+        final.append((F.col(f"_l_{name}") + F.coalesce(carry, F.lit(0.0)) * F.pow(q, pos + 1)
+                      ).alias(name))
+    out = out.select("*", *local).select("*", *final)
     if keep_row_number:
         out = out.withColumn(keep_row_number, F.col("_i"))
-    return out.drop(*temp)
+    return out.drop("_i", "_blk", "_pos", *[f"_l_{n}" for n in specs])
 
 
 def span_alpha(n: float) -> float:

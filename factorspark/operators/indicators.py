@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.exprs import clip, sigmoid, tanh01
@@ -217,56 +217,67 @@ def volume_flow(df: DataFrame) -> DataFrame:
                                     F.regr_slope("_adl", "_i").alias("adl_slope"))
 
 
+def price_profile(df: DataFrame, half_year: int = 126) -> DataFrame:
+    """Per-symbol facts at the last bar that several scores share, in one pass.
+
+    Bars are numbered backwards once; every look-back is a condition on that number, so the
+    proximity, slope, moving-average and momentum inputs come from a single aggregate.
+    """
+    rn = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("d")))
+    st = df.select("symbol", "close", rn.alias("rn"))
+    c, n = F.col("close"), F.col("rn")
+    first_in_year = F.max_by("close", F.when(n <= TRADING_DAYS, n))
+    agg = st.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_bars"), F.max("close").alias("high_close"),
+        F.min_by("close", "rn").alias("last_close"), first_in_year.alias("_first"),
+        F.avg(F.when(n <= 50, c)).alias("_s50"), F.avg(F.when(n <= 200, c)).alias("_s200"),
+        (-F.regr_slope(F.when(n <= half_year, c), n)).alias("_slope"))
+    last = F.col("last_close")
+    pct = F.try_divide(F.col("_s50"), F.col("_s200")) - 1
+    return agg.select(
+        "symbol", "n_bars", "high_close", "last_close",
+        clip((F.try_divide(last, F.col("high_close")) - 0.70) / 0.25, 0, 1).alias("proximity"),
+        F.try_divide(F.col("_slope"), last).alias("slope_share"),
+        F.when(F.col("n_bars") >= 200, F.coalesce(sigmoid(20 * pct), F.lit(0.5))).alias("ma_score"),
+        F.least("n_bars", F.lit(TRADING_DAYS)).alias("n_used"),
+        F.when(F.col("n_bars") >= 180, F.try_divide(last, F.col("_first")) - 1).alias("momentum_12m"))
+
+
 def high_proximity(df: DataFrame) -> DataFrame:
     """How close the last close is to the highest close: 0 at 70 percent, 1 at 95 percent."""
-    st = df.groupBy("symbol").agg(F.max("close").alias("high_close"),
-                                  F.max_by("close", "d").alias("last_close"),
-                                  F.count(F.lit(1)).alias("n_bars"))
-    return st.withColumn("proximity", clip((F.try_divide(F.col("last_close"), F.col("high_close")) - 0.70)
-                                           / 0.25, 0, 1))
+    return price_profile(df).select("symbol", "n_bars", "high_close", "last_close", "proximity")
+
+
+def _trend_score() -> Column:
+    sign = F.when(F.col("plus_di") > F.col("minus_di"), 1.0).otherwise(-1.0)
+    return tanh01(sign * F.col("adx") / 100 * F.col("slope_share") * TRADING_DAYS)
 
 
 def trend_strength(df: DataFrame, bars_back: int = 126) -> DataFrame:
     """Half-year slope times ADX with the direction's sign, squeezed into 0..1."""
-    sub = last_rows(df.select("symbol", "d", "close"), bars_back)
-    slope = sub.groupBy("symbol").agg(
-        (-F.regr_slope("close", "rn")).alias("_slope"), F.max_by("close", "d").alias("_last"))
-    st = slope.join(true_adx(df, bars_back), "symbol")
-    sign = F.when(F.col("plus_di") > F.col("minus_di"), 1.0).otherwise(-1.0)
-    raw = sign * F.col("adx") / 100 * F.try_divide(F.col("_slope"), F.col("_last")) * TRADING_DAYS
-    return st.select("symbol", "adx", "plus_di", "minus_di",
-                     (F.col("_slope") / F.col("_last")).alias("slope_share"), tanh01(raw).alias("trend_score"))
+    st = price_profile(df, bars_back).join(true_adx(df, bars_back), "symbol")
+    return st.select("symbol", "adx", "plus_di", "minus_di", "slope_share", _trend_score().alias("trend_score"))
 
 
 def ma_score(df: DataFrame) -> DataFrame:
     """Sigmoid of SMA 50 over SMA 200 at the last bar (0.5 when SMA 200 is zero)."""
-    sub = last_rows(df.select("symbol", "d", "close"), 200)
-    st = sub.groupBy("symbol").agg(F.avg(F.when(F.col("rn") <= 50, F.col("close"))).alias("_s50"),
-                                   F.avg("close").alias("_s200"), F.count(F.lit(1)).alias("_n"))
-    pct = F.try_divide(F.col("_s50"), F.col("_s200")) - 1
-    return st.select("symbol", F.when(F.col("_n") >= 200, F.coalesce(sigmoid(20 * pct), F.lit(0.5))
-                                      ).alias("ma_score"))
+    return price_profile(df).select("symbol", "ma_score")
+
 
+def technical_score(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+    """0.35 proximity + 0.40 trend + 0.25 moving-average score; 0 under 200 bars.
 
-def technical_score(df: DataFrame) -> DataFrame:
-    """0.35 proximity + 0.40 trend + 0.25 moving-average score; 0 under 200 bars."""
-    st = (high_proximity(df).select("symbol", "n_bars", "proximity")
-          .join(trend_strength(df).select("symbol", "trend_score"), "symbol", "left")
-          .join(ma_score(df), "symbol", "left"))
-    raw = (0.35 * F.col("proximity") + 0.40 * F.coalesce("trend_score", F.lit(0.0))
+    Keeps the profile's columns, so one call also yields the 12-month momentum.
+    """
+    st = (price_profile(df) if profile is None else profile).join(true_adx(df), "symbol", "left")
+    raw = (0.35 * F.col("proximity") + 0.40 * F.coalesce(_trend_score(), F.lit(0.0))
            + 0.25 * F.coalesce("ma_score", F.lit(0.5)))
     return st.withColumn("technical", F.when(F.col("n_bars") < 200, 0.0).otherwise(raw))
 
 
 def year_momentum(df: DataFrame) -> DataFrame:
     """Last close over the close 251 bars earlier; the whole span for 180 to 251 bars."""
-    sub = last_rows(df.select("symbol", "d", "close"), TRADING_DAYS)
-    st = sub.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_used"),
-                                   F.max_by("close", "d").alias("_last"),
-                                   F.min_by("close", "d").alias("_first"))
-    return st.select("symbol", "n_used", F.when(F.col("n_used") >= 180,
-                                                F.try_divide(F.col("_last"), F.col("_first")) - 1
-                                                ).alias("momentum_12m"))
+    return price_profile(df).select("symbol", "n_used", "momentum_12m")
 
 
 def reversion_features(df: DataFrame, x: str = "score", lookback: int = 20) -> DataFrame:

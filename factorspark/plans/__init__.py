@@ -6,7 +6,7 @@ import importlib
 
 from factorspark.plans import registry
 
-MODULES = ("technical",)
+MODULES = ("technical", "scoring")
 
 
 def load():

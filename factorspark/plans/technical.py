@@ -114,10 +114,10 @@ def ema_sql(src: str, x: str, outs: dict[str, float], name: str) -> str:
 
 @query("exponential_averages", with_(bars_sql("brand"), ema_sql(
     "bars", "close", {f"ema_{n}": 2 / (n + 1) for n in (5, 10, 12, 26)}, "e"), body=f"""
-SELECT symbol, {DT}, {', '.join(r(f'ema_{n}', f'ema_{n}') for n in (5, 10, 12, 26))} FROM e"""))
+SELECT symbol, {DT}, {', '.join(r(f'ema_{n}', f'ema_{n}', 5) for n in (5, 10, 12, 26))} FROM e"""))
 def exponential_averages(spark, sf):
     return ind.exponential_averages(bars(spark, sf, "brand")).select(
-        "symbol", day_text(), *[r6(f"ema_{n}") for n in (5, 10, 12, 26)])
+        "symbol", day_text(), *[r6(f"ema_{n}", 5) for n in (5, 10, 12, 26)])
 
 
 @query("macd_lines", with_(hist_sql(), ema_sql("hist", "score", {"e12": 2 / 13, "e26": 2 / 27}, "e"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -20,7 +21,8 @@ def build_session(app: str = "factorspark", master: str | None = None,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-         .config("spark.ui.enabled", "false"))
+         .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false"))
     if master:
         b = b.master(master).config("spark.driver.memory", "12g")
     if shuffle_partitions:
@@ -50,3 +52,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through reliable storage (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHARED: list[DataFrame] = []
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """Keep a table that several branches of one job read, spilling to disk when large.
+
+    The lineage stays, so lost blocks are recomputed. ``release_shared`` frees them.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(kept)
+    return kept
+
+
+def release_shared() -> None:
+    while _SHARED:
+        _SHARED.pop().unpersist()

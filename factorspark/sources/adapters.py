@@ -56,8 +56,11 @@ def closes(spark: SparkSession, sf_dir: str, key: str = "supplier") -> DataFrame
 def score_history(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
     """Monthly ``(symbol, d, score, rank)`` with the month start as snapshot date."""
     lines = _keyed_lines(spark, sf_dir, key, [])
-    return (lines.groupBy("symbol", F.trunc("d", "month").alias("d"))
-            .agg((F.sum("l_extendedprice") / F.sum("l_quantity") / 100).alias("score")))
+    out = (lines.groupBy("symbol", F.trunc("d", "month").alias("d"))
+           .agg((F.sum("l_extendedprice") / F.sum("l_quantity") / 100).alias("score")))
+    if key == "supplier":
+        out = out.withColumn("symbol", F.concat(F.lit("S"), F.col("symbol").cast("string")))
+    return out
 
 
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,12 +141,24 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("at") * 3).alias("revenue_growth"))
 
 
-def dividends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``dividends(symbol, ex_date, amount)`` from the lines flagged A, per brand and day."""
-    lines = _keyed_lines(spark, sf_dir, "brand", ["l_tax", "l_returnflag"])
-    return (lines.where(F.col("l_returnflag") == "A").groupBy("symbol", F.col("d").alias("ex_date"))
-            .agg(F.sum(F.col("l_tax") * F.col("l_extendedprice") / F.col("l_quantity")
-                       ).alias("amount")))
+def dividends(spark: SparkSession, sf_dir: str, key: str = "brand") -> DataFrame:
+    """``dividends(symbol, ex_date, amount)`` from the lines flagged A, per key and day."""
+    lines = _keyed_lines(spark, sf_dir, key, ["l_tax", "l_returnflag"])
+    out = (lines.where(F.col("l_returnflag") == "A").groupBy("symbol", F.col("d").alias("ex_date"))
+           .agg(F.sum(F.col("l_tax") * F.col("l_extendedprice") / F.col("l_quantity")
+                      ).alias("amount")))
+    if key == "supplier":
+        out = out.withColumn("symbol", F.concat(F.lit("S"), F.col("symbol").cast("string")))
+    return out
+
+
+def surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(symbol, d, surprise_pct)`` per supplier and quarter."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_suppkey", "l_discount", "l_tax", F.to_date(F.date_trunc("quarter", "l_shipdate")).alias("d"))
+    return li.groupBy("l_suppkey", "d").agg(
+        ((F.avg("l_discount") - F.avg("l_tax")) * 1000).alias("surprise_pct")).select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"), "d", "surprise_pct")
 
 
 def insider(spark: SparkSession, sf_dir: str) -> DataFrame:
