@@ -6,7 +6,7 @@ import importlib
 
 from factorspark.plans import registry
 
-MODULES = ("technical", "scoring")
+MODULES = ("technical", "scoring", "trends")
 
 
 def load():

@@ -21,6 +21,7 @@ def build_session(app: str = "factorspark", master: str | None = None,
          .config("spark.sql.adaptive.skewJoin.enabled", "true")
          .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
          .config("spark.ui.enabled", "false")
          .config("spark.ui.showConsoleProgress", "false"))
     if master:
