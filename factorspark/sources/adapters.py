@@ -216,3 +216,12 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def unit_price() -> Column:
     return F.col("l_extendedprice") / F.col("l_quantity")
+
+
+def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unranked yearly snapshots with a score, six factor columns (some null) and attributes."""
+    f = fundamentals(spark, sf_dir)
+    return f.select("as_of", "symbol", "sector", "industry", (F.col("price") / 100).alias("score"),
+                    F.col("price_to_book").alias("value"), F.col("return_on_equity").alias("quality"),
+                    F.col("ev_to_revenue").alias("technical"), F.col("trailing_pe").alias("momentum"),
+                    F.col("revenue_growth").alias("growth"), F.col("current_ratio").alias("stability"))
