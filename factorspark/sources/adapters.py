@@ -225,3 +225,20 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("price_to_book").alias("value"), F.col("return_on_equity").alias("quality"),
                     F.col("ev_to_revenue").alias("technical"), F.col("trailing_pe").alias("momentum"),
                     F.col("revenue_growth").alias("growth"), F.col("current_ratio").alias("stability"))
+
+
+def option_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Underlying ``(symbol, d, close)`` for 25 symbols; every seventh day of one is missing."""
+    ev = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    u = F.col("user_id") % 25
+    d = F.to_date("ts")
+    rows = ev.where(~((u == 3) & (F.dayofmonth(d) % 7 == 0)))
+    return rows.groupBy(F.concat(F.lit("SY"), F.chr((65 + u))).alias("symbol"), d.alias("d")).agg(
+        (100 + (F.avg(k) - 50) / 10).alias("close"))
+
+
+def option_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted symbols: one per nation."""
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.concat(F.lit("SY"), F.chr((65 + F.col("n_nationkey")))).alias("symbol"))
