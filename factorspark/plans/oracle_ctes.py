@@ -102,7 +102,8 @@ CONTRACTS = """oc AS (
 
 TX = """tx AS (
   SELECT CAST(l_suppkey % 10 AS INTEGER) AS portfolio, p_brand AS symbol,
-         CASE WHEN l_returnflag = 'R' THEN 'Sell' ELSE 'Buy' END AS type,
+         CASE WHEN l_suppkey % 10 = 3 AND l_linenumber = 1 AND p_brand LIKE '%5' THEN 'Dividend'
+              WHEN l_returnflag = 'R' THEN 'Sell' ELSE 'Buy' END AS type,
          l_extendedprice / l_quantity AS price, l_quantity AS shares,
          CAST(l_shipdate AS DATE) AS d, l_tax * 10 AS commission,
          row_number() OVER (PARTITION BY l_suppkey % 10, p_brand ORDER BY l_shipdate,

@@ -203,7 +203,8 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    kind = F.when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy")
+    manual = (F.col("l_suppkey") % 10 == 3) & (F.col("l_linenumber") == 1) & F.col("p_brand").endswith("5")
+    kind = F.when(manual, "Dividend").when(F.col("l_returnflag") == "R", "Sell").otherwise("Buy")
     return li.join(part, li.l_partkey == part.p_partkey).select(
         (F.col("l_suppkey") % 10).cast("int").alias("portfolio"),
         F.col("p_brand").alias("symbol"), kind.alias("type"),
