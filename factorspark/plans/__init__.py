@@ -6,7 +6,7 @@ import importlib
 
 from factorspark.plans import registry
 
-MODULES = ("technical", "scoring", "trends", "selection", "flow", "regimes", "portfolios", "ledger")
+MODULES = ("technical", "scoring", "trends", "selection", "flow", "regimes", "portfolios", "ledger", "operations")
 
 
 def load():
