@@ -46,13 +46,18 @@ def daily_shares(tx: DataFrame) -> DataFrame:
     return day.withColumn("_floor", floor).select(*KEY, "d", "net", (F.col("_sum") - F.col("_floor")).alias("held"))
 
 
-def held_on(dates: DataFrame, tx: DataFrame) -> DataFrame:
-    """Shares held at the end of each ``(portfolio, symbol, d)`` of ``dates`` (trades on the day count)."""
-    moves = daily_shares(tx).select(*KEY, "d", "held", F.lit(False).alias("_ask"))
-    asks = dates.select(*KEY, "d").distinct().select(*KEY, "d", F.lit(None).cast("double").alias("held"), F.lit(True).alias("_ask"))
-    both = moves.unionByName(asks).groupBy(*KEY, "d").agg(F.max("held").alias("held"), F.max("_ask").alias("_ask"))
-    w = Window.partitionBy(*KEY).orderBy("d").rowsBetween(UNBOUNDED, 0)
-    return both.withColumn("held", F.coalesce(F.last("held", ignorenulls=True).over(w), F.lit(0.0))).where("_ask").drop("_ask")
+def held_on(dates: DataFrame, tx: DataFrame, carry: str) -> DataFrame:
+    """``dates(portfolio, symbol, d, <carry>)``, unique by key and day, with the shares held then.
+
+    Trades on the day count. The rows are interleaved with the trading days, so the value is
+    carried along and nothing has to be joined back.
+    """
+    moves = daily_shares(tx).select(*KEY, "d", "held", F.lit(None).cast("double").alias(carry))
+    asks = dates.select(*KEY, "d", F.lit(None).cast("double").alias("held"), F.col(carry).cast("double").alias(carry))
+    both = moves.unionByName(asks)
+    w = Window.partitionBy(*KEY).orderBy("d").rangeBetween(UNBOUNDED, 0)
+    st = both.withColumn("_h", F.last("held", ignorenulls=True).over(w)).where(F.col(carry).isNotNull())
+    return st.select(*KEY, "d", carry, F.coalesce("_h", F.lit(0.0)).alias("held"))
 
 
 def auto_dividends(tx: DataFrame, dividends: DataFrame) -> DataFrame:
@@ -60,7 +65,7 @@ def auto_dividends(tx: DataFrame, dividends: DataFrame) -> DataFrame:
     manual = tx.where(F.col("type") == "Dividend").select(*KEY).distinct()
     open_ = tx.where(F.col("type") != "Dividend").select(*KEY).distinct().join(manual, KEY, "left_anti")
     due = open_.join(dividends.where(F.col("amount") > 0).select("symbol", F.col("ex_date").alias("d"), "amount"), "symbol")
-    paid = due.join(held_on(due, tx), [*KEY, "d"]).where(F.col("held") > EPS)
+    paid = held_on(due, tx, "amount").where(F.col("held") > EPS)
     return paid.groupBy(*KEY).agg(F.sum(F.col("held") * F.col("amount")).alias("dividend_income"))
 
 
@@ -68,8 +73,8 @@ def daily_value(tx: DataFrame, closes: DataFrame) -> DataFrame:
     """Portfolio value per price date from the shares held that day; only positive values."""
     names = tx.where(F.col("type").isin("Buy", "Sell")).select(*KEY).distinct()
     px = names.join(closes.where(F.col("close") > 0).select("symbol", "d", "close"), "symbol")
-    held = held_on(px, tx).where(F.col("held") > EPS)
-    val = px.join(held, [*KEY, "d"]).groupBy("portfolio", "d").agg(F.sum(F.col("held") * F.col("close")).alias("value"))
+    held = held_on(px, tx, "close").where(F.col("held") > EPS)
+    val = held.groupBy("portfolio", "d").agg(F.sum(F.col("held") * F.col("close")).alias("value"))
     return val.where(F.col("value") > 0)
 
 

@@ -11,6 +11,7 @@ from factorspark.plans import oracle_ctes as o
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
 from factorspark.plans.technical import DT, r
+from factorspark.session import shared
 from factorspark.sources import adapters as ad
 
 PARSED = """pc AS (SELECT d, regexp_extract(contract, '^O:([A-Z0-9.]+?)(\\d{6})([CP])(\\d{8})$', 1) AS symbol,
@@ -91,7 +92,7 @@ rvo AS (SELECT *, CASE WHEN tm > 0 THEN total_volume / tm END AS rvol FROM rv)""
 
 
 def numbered(spark, sf):
-    return fl.session_numbers(sessions(spark, sf))
+    return shared(fl.session_numbers(sessions(spark, sf)))   # symbols x sessions, read by several branches
 
 
 @query("relative_option_volume", with_(*NUM_SQL, body=f"""

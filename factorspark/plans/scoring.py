@@ -16,7 +16,7 @@ from factorspark.plans import oracle_ctes as o
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
 from factorspark.plans.technical import MOM_SQL, RECOVERY_SQL, TECH_SQL, r
-from factorspark.session import shared
+from factorspark.session import shared_by
 from factorspark.sources import adapters as ad
 
 AS_OF = "strftime(as_of, '%Y-%m-%d') AS as_of"
@@ -214,6 +214,11 @@ ms AS (SELECT symbol, as_of, momentum_12m, {curve_sql('momentum_12m', (-0.5, -0.
   FROM mom LEFT JOIN em USING (symbol))"""
 
 
+def daily_bars(spark, sf):
+    """Supplier bars kept partitioned by symbol and in date order for the branches that read them."""
+    return shared_by(ad.bars(spark, sf), ["symbol"], ["d"])
+
+
 def _momentum(spark, sf, prices):
     m = prices.join(fa.earnings_momentum(ad.estimates(spark, sf), ad.surprises(spark, sf)), "symbol", "left")
     return m.withColumn("price_part", sc.price_momentum_score(F.col("momentum_12m"))).withColumn(
@@ -300,7 +305,7 @@ sb AS (SELECT symbol, 0.3 * (1 - tanh(2 * volatility)) + 0.3 * (1 - tanh(4 * gre
 SELECT symbol, n_returns, {r('std_30', 'std_30')}, {r('volatility', 'volatility')}, {r('cvar', 'cvar')}, {r('cdar', 'cdar')}
 FROM tb JOIN cd USING (symbol)"""))
 def tail_risk_measures(spark, sf):
-    return fa.tail_measures(ad.bars(spark, sf)).select(
+    return fa.tail_measures(daily_bars(spark, sf)).select(
         "symbol", "n_returns", r6("std_30"), r6("volatility"), r6("cvar"), r6("cdar"))
 
 
@@ -314,7 +319,7 @@ def market_beta_scores(spark, sf):
 @query("stability_factor", with_(o.bars(), *STAB_SQL, body=f"""
 SELECT symbol, {r('stability', 'stability')}, {r('-(1 - stability)', 'risk_penalty')} FROM sb"""))
 def stability_factor(spark, sf):
-    return fa.stability_factor(ad.bars(spark, sf), ad.bars(spark, sf, "market")).select(
+    return fa.stability_factor(daily_bars(spark, sf), ad.bars(spark, sf, "market")).select(
         "symbol", r6("stability"), r6("risk_penalty"))
 
 
@@ -340,7 +345,7 @@ tot AS (SELECT fs.symbol, fs.regime, fs.sector,
 
 def factor_table(spark, sf):
     """Latest snapshot of every symbol with all factor columns, one row per regime."""
-    bars, mkt = shared(ad.bars(spark, sf)), ad.bars(spark, sf, "market")
+    bars, mkt = daily_bars(spark, sf), ad.bars(spark, sf, "market")
     prices = ind.technical_score(bars).select("symbol", "technical", "momentum_12m")
     fund = ad.fundamentals(spark, sf)
     w = Window.partitionBy("symbol").orderBy(F.desc("as_of"))

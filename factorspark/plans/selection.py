@@ -13,6 +13,7 @@ from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
 from factorspark.plans.technical import r
 from factorspark.plans.trends import COMPANY_SQL, STABLE_SQL, companies, hist_sql, stability
+from factorspark.session import shared
 from factorspark.sources import adapters as ad
 
 RANKED_SQL = """
@@ -30,7 +31,7 @@ def ranked(spark, sf):
 
 
 def pool(spark, sf, n=100):
-    return sel.top_pool(ad.ranked(spark, sf), KEYS, n, [F.desc("score"), F.asc("symbol")])
+    return shared(sel.top_pool(ad.ranked(spark, sf), KEYS, n, [F.desc("score"), F.asc("symbol")]))
 
 
 def out(df, *cols):
@@ -209,7 +210,7 @@ SELECT {DAY}, portfolio, num_stocks, num_sector, num_industry, {', '.join(r(c, c
   count(*) AS num_stocks, avg(rank) AS avg_rank, avg(score) AS avg_score, stddev_samp(score) AS score_std FROM grid GROUP BY 1, 2)
   JOIN e_sector USING (as_of, portfolio) JOIN e_industry USING (as_of, portfolio)"""))
 def portfolio_diversity(spark, sf):
-    g = sel.portfolio_grid(pool(spark, sf), KEYS)
+    g = shared(sel.portfolio_grid(pool(spark, sf), KEYS))   # bounded by snapshots x grid x size
     return sel.diversity(g, ["as_of", "portfolio"]).select(
         F.date_format("as_of", "yyyy-MM-dd").alias("as_of"), "portfolio", "num_stocks", "num_sector", "num_industry",
         *[r6(c) for c in DIV_COLS])

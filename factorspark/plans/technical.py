@@ -10,6 +10,7 @@ from factorspark.plans.oracle_ctes import bars as bars_sql
 from factorspark.plans.oracle_ctes import score_history as hist_sql
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
+from factorspark.session import shared_by
 from factorspark.sources.adapters import bars, score_history
 
 W = "WINDOW w AS (PARTITION BY symbol ORDER BY d)"
@@ -358,5 +359,5 @@ recv AS (SELECT symbol, n_bars, deep_bars, mt, CASE WHEN n_bars < 126 THEN 0.5 W
 @query("drawdown_recovery", with_(bars_sql(), RECOVERY_SQL, body=f"""
 SELECT symbol, n_bars, deep_bars, {r('mt', 'mean_bars_to_recover')}, {r('recovery', 'recovery')} FROM recv"""))
 def drawdown_recovery(spark, sf):
-    return ind.recovery_score(bars(spark, sf)).select(
+    return ind.recovery_score(shared_by(bars(spark, sf), ["symbol"], ["d"])).select(
         "symbol", "n_bars", "deep_bars", r6("mean_bars_to_recover"), r6("recovery"))

@@ -11,6 +11,7 @@ from factorspark.plans import oracle_ctes as o
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
 from factorspark.plans.technical import ema_sql, r, roll
+from factorspark.session import shared
 from factorspark.sources import adapters as ad
 
 
@@ -18,7 +19,7 @@ def history(spark, sf, key="supplier"):
     """Score history with ranks inside each snapshot and dense sequence numbers."""
     h = ad.score_history(spark, sf, key)
     bound = ad.table(spark, sf, "supplier").count() if key == "supplier" else 25
-    return tr.snapshot_sequence(full_rank(h, ["d"], "score", group_rows=bound))
+    return shared(tr.snapshot_sequence(full_rank(h, ["d"], "score", group_rows=bound)))   # symbols x snapshots
 
 
 def hist_sql(key="supplier"):

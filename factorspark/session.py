@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -68,6 +69,16 @@ def shared(df: DataFrame) -> DataFrame:
     return kept
 
 
+def shared_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Like ``shared``, stored partitioned by ``keys`` and sorted by ``keys`` and ``order``.
+
+    Every window, aggregate and join on ``keys`` that reads it then needs neither a shuffle nor
+    a sort: the one exchange is paid once for all branches.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shared(df.repartition(n, *keys).sortWithinPartitions(*keys, *order))
+
+
 def release_shared() -> None:
     while _SHARED:
         _SHARED.pop().unpersist()
