@@ -25,7 +25,7 @@ def read_ranked(spark: SparkSession, path: str, regime: str, start: str, end: st
     raw = (spark.read.option("header", True).schema(schemas.RANKED)
            .csv(f"{path.rstrip('/')}/*{regime}_*.csv")
            .withColumn("_day", F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{8})", 1)))
-    st = normalise_columns(raw).withColumn("snapshot_date", F.try_to_date("_day", F.lit("yyyyMMdd"))).where(
+    st = normalise_columns(raw).withColumn("snapshot_date", F.try_to_date("_day", "yyyyMMdd")).where(
         F.col("snapshot_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).drop("_day")
     days = st.select("snapshot_date").distinct().withColumn(
         "seq", F.row_number().over(Window.orderBy("snapshot_date")) - 1)   # one row per snapshot
@@ -35,7 +35,7 @@ def read_ranked(spark: SparkSession, path: str, regime: str, start: str, end: st
 def read_option_day(spark: SparkSession, path: str) -> DataFrame:
     """Option day aggregates (gzip CSV): contract, date from the file name, volume, close."""
     raw = spark.read.option("header", True).schema(schemas.OPTION_DAY).csv(path)
-    day = F.try_to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
     return raw.select(F.col("ticker").alias("contract"), day.alias("d"), "volume", "close", F.lit(None).cast("long").alias("oi"))
 
 
@@ -57,7 +57,7 @@ def read_transactions(spark: SparkSession, path: str, portfolio: str = "main", d
         have = set(doc.columns)
         raw = doc.select("tx_seq", *[(F.col(c) if c in have else F.lit(None)).cast("string").alias(c)
                                      for c in ("ticker", "type", "price", "shares", "date", "commission")])
-    day = F.coalesce(F.try_to_date(F.col("date"), F.lit("yyyy-MM-dd")),
+    day = F.coalesce(F.try_to_date(F.col("date"), "yyyy-MM-dd"),
                      F.lit(default_date).cast("date") if default_date else F.current_date())
     st = raw.select(
         F.lit(portfolio).alias("portfolio"), F.upper(F.trim("ticker")).alias("symbol"),
