@@ -5,7 +5,7 @@ All numbers below are fixed values that results depend on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_REGIME = "Steady_Growth"
@@ -64,25 +64,24 @@ def known_regime(name: Column) -> Column:
     return F.when(name.isin(*REGIMES), name).otherwise(F.lit(DEFAULT_REGIME))
 
 
-def _table(spark: SparkSession, values: dict[str, tuple], prefix: str) -> DataFrame:
-    rows = [(r, *[None if v[i] is None else float(v[i]) for v in values.values()])
-            for i, r in enumerate(REGIMES)]
-    schema = "regime string, " + ", ".join(f"{prefix}{k} double" for k in values)
-    return spark.createDataFrame(rows, schema)
+def with_regime_values(df: DataFrame, values: dict[str, tuple], prefix: str, regime: str = "regime") -> DataFrame:
+    """Add ``<prefix><name>`` columns holding each row's regime's value; unknown regimes use the default.
 
+    Three regimes make a small CASE per column, so no join is needed.
+    """
+    keyed = df.withColumn("_rk", known_regime(F.col(regime)))
+    rk = F.col("_rk")
 
-def thresholds(spark: SparkSession) -> DataFrame:
-    """Three rows ``(regime, t_<metric>...)``; small by construction, so safe to broadcast."""
-    return _table(spark, THRESHOLDS, "t_")
+    def pick(v: tuple) -> Column:
+        a, b, c = (F.lit(None if x is None else float(x)).cast("double") for x in v)
+        return F.when(rk == REGIMES[0], a).when(rk == REGIMES[1], b).otherwise(c)
+    return keyed.withColumns({f"{prefix}{k}": pick(v) for k, v in values.items()}).drop("_rk")
 
 
-def factor_weights(spark: SparkSession, weights: dict[str, tuple] | None = None) -> DataFrame:
-    """Three rows ``(regime, w_<factor>...)``; pass ``weights`` to use another set."""
-    return _table(spark, weights or FACTOR_WEIGHTS, "w_")
+def with_thresholds(df: DataFrame, regime: str = "regime") -> DataFrame:
+    return with_regime_values(df, THRESHOLDS, "t_", regime)
 
 
-def with_regime_table(df: DataFrame, table: DataFrame, regime: str = "regime") -> DataFrame:
-    """Join a fixed three-row regime table, unknown regimes using the default row."""
-    keyed = df.withColumn("_rk", known_regime(F.col(regime)))
-    t = table.withColumnRenamed("regime", "_rk")
-    return keyed.join(F.broadcast(t), "_rk").drop("_rk")
+def with_factor_weights(df: DataFrame, weights: dict[str, tuple] | None = None, regime: str = "regime") -> DataFrame:
+    """Factor weights as ``w_<factor>`` columns; pass ``weights`` to use another set."""
+    return with_regime_values(df, weights or FACTOR_WEIGHTS, "w_", regime)

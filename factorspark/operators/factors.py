@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import scores as sc
 from factorspark.functions.exprs import add_weighted_means, clip, sigmoid
-from factorspark.functions.regime_tables import (FACTOR_WEIGHTS, REGIMES, factor_weights, thresholds,
-                                                 with_regime_table)
+from factorspark.functions.regime_tables import FACTOR_WEIGHTS, REGIMES, with_factor_weights, with_thresholds
 from factorspark.functions.windows import by_symbol, last_rows, simple_return
 from factorspark.operators.indicators import TRADING_DAYS, recovery_score
 
@@ -22,7 +21,7 @@ def for_each_regime(df: DataFrame) -> DataFrame:
 
 def fundamental_scores(fund: DataFrame) -> DataFrame:
     """Value, quality and financial-health scores of rows that carry a ``regime``."""
-    t = sc.with_ratios(with_regime_table(fund, thresholds(fund.sparkSession)))
+    t = sc.with_ratios(with_thresholds(fund))
     out = add_weighted_means(t, {"value": sc.value_parts(), "quality": sc.quality_parts(),
                                  "financial_health": sc.health_parts()})
     return out.drop(*[x for x in out.columns if x.startswith("_r_")])
@@ -41,8 +40,7 @@ def pivot_estimates(est: DataFrame) -> DataFrame:
 
 def growth_scores(fund: DataFrame, est: DataFrame) -> DataFrame:
     joined = fund.join(pivot_estimates(est), ["symbol", "as_of"], "left")
-    return add_weighted_means(with_regime_table(joined, thresholds(fund.sparkSession)),
-                              {"growth": sc.growth_parts()})
+    return add_weighted_means(with_thresholds(joined), {"growth": sc.growth_parts()})
 
 
 def sector_relative(df: DataFrame, x: str, keys: list[str], out: str) -> DataFrame:
@@ -212,7 +210,7 @@ def stability_factor(bars: DataFrame, market: DataFrame | None = None) -> DataFr
 
 def composite_score(df: DataFrame, weights: dict[str, tuple] | None = None) -> DataFrame:
     """Weighted sum of the factor columns with the weights of each row's regime."""
-    t = with_regime_table(df, factor_weights(df.sparkSession, weights))
+    t = with_factor_weights(df, weights)
     total = reduce(lambda a, b: a + b,
                    [F.coalesce(F.col(f), F.lit(0.0)) * F.col(f"w_{f}") for f in FACTOR_WEIGHTS])
     return t.withColumn("score", total).drop(*[f"w_{f}" for f in FACTOR_WEIGHTS])

@@ -46,11 +46,9 @@ def proxy_symbol(industry: Column, country: Column, sector: Column) -> Column:
 
 def relative_momentum(closes: DataFrame, market: DataFrame, since: Column) -> DataFrame:
     """View per proxy: half its return over the market's, clipped to +-20 percent."""
-    def span(df, keys, name):
-        return df.where(F.col("d") >= since).groupBy(*keys).agg(
-            (F.max_by("close", "d") / F.min_by("close", "d") - 1).alias(name))
-    m = span(market.withColumn("_one", F.lit(1)), ["_one"], "market_return")
-    st = span(closes, ["symbol"], "proxy_return").withColumn("_one", F.lit(1)).join(m, "_one").drop("_one")
+    growth = F.max_by("close", "d") / F.min_by("close", "d") - 1
+    whole = market.where(F.col("d") >= since).agg(growth).scalar()
+    st = closes.where(F.col("d") >= since).groupBy("symbol").agg(growth.alias("proxy_return")).withColumn("market_return", whole)
     rel = F.col("proxy_return") - F.col("market_return")
     conf = F.when(F.abs(rel) > 0.10, 0.7).when(F.abs(rel) > 0.05, 0.5).otherwise(0.3)
     return st.select("symbol", "proxy_return", "market_return", clip(0.5 * rel, -0.2, 0.2).alias("ret"), conf.alias("conf"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import exprs as ex
 from factorspark.functions import scores as sc
+from factorspark.functions.regime_tables import with_thresholds
 from factorspark.functions.windows import by_symbol, ema, sma, span_alpha
 from factorspark.operators import indicators as ind
 
@@ -39,9 +40,8 @@ def test_weighted_mean_renormalises(spark):
 
 
 def test_unknown_regime_uses_default(spark):
-    from factorspark.functions.regime_tables import thresholds, with_regime_table
     df = spark.createDataFrame([("Odd",), (None,), ("Crisis_Bear",)], "regime string")
-    out = sorted((r["regime"] or "", r["t_pe"]) for r in with_regime_table(df, thresholds(spark)).collect())
+    out = sorted((r["regime"] or "", r["t_pe"]) for r in with_thresholds(df).collect())
     assert out == [("", 22.0), ("Crisis_Bear", 15.0), ("Odd", 22.0)]
 
 

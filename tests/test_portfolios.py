@@ -125,3 +125,51 @@ def test_fill_forward_limit(spark, days):
     out = fill_forward(spark.createDataFrame(rows, "symbol string, d date, close double"))
     got = [(r["d"], r["close"]) for r in out.where("symbol = 'A'").orderBy("d").collect()]
     assert got == [(days(0), 1.0), (days(1), 1.0), (days(2), 1.0), (days(4), 2.0), (days(5), 2.0), (days(6), 2.0)]
+
+
+def test_monthly_and_volatility_weights(market):
+    panel, px = market
+    monthly = bt.monthly_weights(panel, 100).select("d").distinct().toPandas()["d"].tolist()
+    want = []
+    for i in range(100, 420):
+        d = dt.date(2023, 1, 2) + dt.timedelta(days=i)
+        nxt = d + dt.timedelta(days=1)
+        while nxt.month == d.month and nxt.weekday() > 4:
+            nxt += dt.timedelta(days=1)
+        if d.weekday() < 5 and nxt.month != d.month:
+            want.append(d)
+    assert sorted(monthly) == want
+    r = (px[101:] / px[100:-1] - 1).mean(axis=1)
+    vol = [None if j < 20 else r[j - 20:j + 1].std(ddof=1) for j in range(len(r))]
+    hits = [101 + j for j in range(22, len(r)) if abs(vol[j] - vol[j - 1]) / vol[j - 1] > 0.03]
+    got = bt.volatility_weights(panel, 100, threshold=0.03).select("d").distinct().toPandas()["d"].tolist()
+    assert sorted(got) == [dt.date(2023, 1, 2) + dt.timedelta(days=i) for i in [100, *hits]]
+
+
+def test_walk_forward_folds(market):
+    panel, px = market
+    got = bt.walk_forward(panel, 100).toPandas()
+    ret = px[1:] / px[:-1] - 1
+    for f in (100, 190, 280):
+        w = al.solve_weights(ret[f - 60:f - 1], "mhrp")
+        rows = got[got["fold"] == dt.date(2023, 1, 2) + dt.timedelta(days=f)].sort_values("d")
+        np.testing.assert_allclose(rows[rows["sample"] == "in"]["ret"], ret[f - 60:f - 1] @ w, atol=1e-12)
+        np.testing.assert_allclose(rows[rows["sample"] == "out"]["ret"], ret[f:f + 89] @ w, atol=1e-12)
+
+
+def test_posterior_covariance_is_the_closed_form():
+    rng = np.random.default_rng(6)
+    cov = np.cov(rng.normal(size=(100, 4)), rowvar=False)
+    viewed, tau = [1, 3], 0.05
+    p = np.eye(4)[viewed]
+    omega = np.diag(np.diag(p @ (tau * cov) @ p.T))
+    want = cov + np.linalg.inv(np.linalg.inv(tau * cov) + p.T @ np.linalg.inv(omega) @ p)
+    np.testing.assert_allclose(al.posterior_cov(cov, viewed, tau), want, rtol=1e-9)
+
+
+def test_spectrum_sums_to_the_number_of_names(market):
+    panel, _ = market
+    r = bt.asset_returns(panel).where("i > 0").select("portfolio", "d", "symbol", "ret")
+    out = al.correlation_spectrum(r).toPandas()
+    assert out["eigenvalue"].sum() == pytest.approx(4) and out["explained"].sum() == pytest.approx(1)
+    assert (out.sort_values("component")["eigenvalue"].diff().dropna() <= 0).all()
