@@ -15,6 +15,7 @@ from factorspark.session import checkpointed, shared
 EPS = 1e-9
 KEY = ["portfolio", "symbol"]
 BLOCK_ROWS = 50_000
+FAN = 512   # blocks composed at a time
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -171,7 +172,34 @@ def _opening_shares(blocks: DataFrame) -> DataFrame:
         state = nxt.select(*KEY, "blk", F.col("_new").alias("s0"))
 
 
-def positions(tx: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _opening_cost(maps: DataFrame, fan: int, levels: int = 3) -> DataFrame:
+    """Cost at the start of every block from the blocks' maps ``scale * cost + add``.
+
+    Maps are composed in groups of ``fan`` over a few levels and the costs handed back down,
+    so no array is longer than ``fan`` except the last level's.
+    """
+    grouped = maps.withColumn("_g", F.floor((F.col("blk") - 1) / fan) + 1 if levels > 1 else F.lit(1).cast("long"))
+    packs = grouped.groupBy(*KEY, "_g").agg(F.array_sort(F.collect_list(F.struct("blk", "scale", "add"))).alias("_m"))
+
+    def compose(acc, m):
+        return F.struct((acc["scale"] * m["scale"]).alias("scale"), (acc["add"] * m["scale"] + m["add"]).alias("add"))
+
+    def hand_on(acc, m):
+        return F.struct((acc["c"] * m["scale"] + m["add"]).alias("c"), F.array_append(
+            acc["path"], F.struct(m["blk"].alias("blk"), acc["c"].alias("c0"))).alias("path"))
+    if levels > 1:
+        whole = F.aggregate("_m", F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("add")), compose)
+        upper = packs.select(*KEY, F.col("_g").alias("blk"), whole.alias("w")).select(*KEY, "blk", "w.scale", "w.add")
+        starts = _opening_cost(upper, fan, levels - 1).select(*KEY, F.col("blk").alias("_g"), F.col("c0").alias("_c"))
+        packs = packs.join(starts, [*KEY, "_g"])
+    else:
+        packs = packs.withColumn("_c", F.lit(0.0))
+    empty = F.array().cast("array<struct<blk:bigint,c0:double>>")
+    path = F.aggregate("_m", F.struct(F.col("_c").alias("c"), empty.alias("path")), hand_on)["path"]
+    return packs.select(*KEY, F.inline(path))
+
+
+def positions(tx: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Average-cost result per position: shares, cost, realized profit, dividends, commissions."""
     blocks = _blocks(tx, block_rows)
     many = tx.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
@@ -181,15 +209,7 @@ def positions(tx: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         blocks = shared(blocks)
         opened = blocks.join(_opening_shares(blocks), [*KEY, "blk"])
         opened = opened.withColumn("m", _walk_cost(F.col("ops"), F.col("s0")))
-        chain = opened.groupBy(*KEY).agg(F.array_sort(F.collect_list(
-            F.struct("blk", "m.scale", "m.add"))).alias("_m"))
-
-        def carry(acc, m):
-            return F.struct((acc["c"] * m["scale"] + m["add"]).alias("c"), F.array_append(
-                acc["path"], F.struct(m["blk"].alias("blk"), acc["c"].alias("c0"))).alias("path"))
-        path = F.aggregate("_m", F.struct(F.lit(0.0).alias("c"), F.array().cast(
-            "array<struct<blk:int,c0:double>>").alias("path")), carry)["path"]
-        costs = chain.select(*KEY, F.inline(path))
+        costs = _opening_cost(opened.select(*KEY, F.col("blk").cast("long").alias("blk"), "m.scale", "m.add"), fan)
         done = opened.join(costs, [*KEY, "blk"]).withColumn("r", _walk_full(F.col("ops"), F.col("s0"), F.col("c0")))
     out = done.groupBy(*KEY).agg(F.max_by("r.s", "blk").alias("shares"), F.max_by("r.c", "blk").alias("total_cost"),
                                  *[F.sum(f"r.{n}").alias(n) for n in TOTALS])

@@ -48,7 +48,7 @@ def random_trades(seed, n, sell_share):
 def test_blocks_equal_the_fold(spark, block, sell_share):
     # a sell share of 0.6 oversells often: sales are ignored and guesses of opening shares are wrong
     rows = random_trades(5, 240, sell_share)
-    got = {r["symbol"]: r for r in lg.positions(spark.createDataFrame(rows, SCHEMA), block_rows=block).collect()}
+    got = {r["symbol"]: r for r in lg.positions(spark.createDataFrame(rows, SCHEMA), block_rows=block, fan=4).collect()}
     for symbol in ("HOT", "B"):
         want = fold([r for r in rows if r[1] == symbol])
         have = [got[symbol][c] for c in ("shares", "total_cost", "realized", "dividends", "commission", "bought")]
