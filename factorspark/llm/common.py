@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,8 +97,7 @@ class WordCodes(dict):
 
     def __missing__(self, token: str) -> int:
         word = WORD_EDGE.sub("", token.lower())
-        raw = word.encode("utf-8", "surrogatepass")
-        code = (zlib.crc32(raw) << 31 | zlib.crc32(raw[::-1] + b"#") >> 1) + 1 if word else 0
+        code = (xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1) + 1 if word else 0
         if len(self) >= self.most:
             self.clear()
         self[token] = code

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm import chat, exact, secret_scan
-from factorspark.llm.common import table
+from factorspark.llm import chat, exact, neardup, secret_scan, toxicity
+from factorspark.llm.common import small_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +103,45 @@ per AS (
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs d LEFT JOIN per USING (doc_id)"""
+
+
+def held_out(doc_id: str = "doc_id"):
+    """Whether a row is kept from training: the CRC-32 of its id as text leaves 1 when divided by 3."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.scorer(spark, model)(F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+ORACLES["op6_near_dedup"] = r"""
+WITH RECURSIVE tok AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM tok WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+rare AS (SELECT s, count(*) AS df FROM shingles GROUP BY s),
+-- two sets that share four fifths share one of the rarest fifth and one more of either
+ranked AS (
+  SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY df, s) AS r FROM shingles JOIN rare USING (s)),
+prefix AS (SELECT doc_id, s, n FROM ranked JOIN sizes USING (doc_id) WHERE r <= n - CAST(ceil(n * 0.8) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM prefix a JOIN prefix b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+shared AS (SELECT c.a, c.b, count(*) AS k FROM cand c JOIN shingles x ON x.doc_id = c.a JOIN shingles y ON y.doc_id = c.b AND y.s = x.s GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edge e ON e.a = r.node),
+comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
+FROM documents d JOIN comp ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
