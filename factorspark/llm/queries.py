@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm import chat, exact, neardup, secret_scan, toxicity
-from factorspark.llm.common import small_batches, table
+from factorspark.llm import chat, decontamination, exact, html_text, language, neardup, packing, secret_scan, toxicity, warc
+from factorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -145,3 +145,68 @@ reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b,
 comp AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = d.doc_id AS kept
 FROM documents d JOIN comp ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.train(docs.where(~held_out()))
+    found = docs.select("doc_id", held_out().alias("held_out"), language.identifier(spark, model)(F.col("text")).alias("p"))
+    return found.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"), F.col("p.accepted").alias("accepted"))
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokenised(table(spark, sf_dir, "documents")))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.with_matches(docs, table(spark, sf_dir, "benchmark"), "matches")
+    return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_join("matches.item", ",").alias("items"),
+                        F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"), F.exists("matches", lambda m: m["exact"]).alias("exact"))
+
+
+@query
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    model = html_text.train(pages)
+    out = pages.select("page_id", "url", html_text.extractor(spark, model)(F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    return out.select("record_id", "url_key", F.unix_seconds("at").alias("at"), "outcome", "target_id", F.unix_seconds("target_at").alias("target_at"), "headers")
+
+
+ORACLES["op10_warc_revisits"] = r"""
+WITH bare AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS u FROM pages),
+parts AS (
+  SELECT page_id, html,
+    regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') AS host,
+    regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+    regexp_replace(regexp_replace('&' || regexp_extract(u, '\?(.*)$', 1), '&(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*', '', 'g'), '^&', '') AS query
+  FROM bare),
+base AS (
+  SELECT page_id, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS u, 1700000000 + page_id * 60 AS t,
+    CAST(CAST(DATE '2020-09-13' + CAST(page_id % 50 AS INTEGER) AS DATE) AS VARCHAR) AS day,
+    '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, lpad(CAST(page_id AS VARCHAR), 12, '0') AS idt
+  FROM parts),
+resp AS (SELECT u, t, 'r' || idt AS id, tag, day FROM base),
+rev AS (
+  SELECT u, t + 7776000 AS t, 'v' || idt AS id,
+    CASE WHEN page_id % 3 <> 0 AND page_id % 7 <> 0 THEN 'W/' || tag END AS tag, CASE WHEN page_id % 7 <> 0 THEN day END AS day
+  FROM base),
+met AS (
+  SELECT v.*, r.id AS target_id, r.t AS target_at, r.tag AS old_tag, r.day AS old_day,
+    CASE WHEN r.id IS NULL THEN 'no_target' WHEN v.tag IS NOT NULL THEN CASE WHEN substr(v.tag, 3) = r.tag THEN 'resolved' ELSE 'mismatch' END
+      WHEN v.day IS NULL THEN 'unverified' WHEN v.day = r.day THEN 'resolved' ELSE 'mismatch' END AS outcome
+  FROM rev v ASOF LEFT JOIN resp r ON v.u = r.u AND v.t >= r.t)
+SELECT id AS record_id, u AS url_key, t AS "at", outcome, target_id, target_at,
+  CASE WHEN outcome IN ('resolved', 'unverified') THEN 'cache-control: max-age=3600' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t
+    || chr(10) || 'etag: ' || coalesce(tag, old_tag) || chr(10) || 'last-modified: ' || coalesce(day, old_day) END AS headers
+FROM met"""
