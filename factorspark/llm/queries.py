@@ -179,7 +179,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
-    return out.select("record_id", "url_key", F.unix_seconds("at").alias("at"), "outcome", "target_id", F.unix_seconds("target_at").alias("target_at"), "headers")
+    return out.select("record_id", "url_key", F.unix_seconds("at").alias("revisit_at"), "outcome", "target_id", F.unix_seconds("target_at").alias("target_at"), "headers")
 
 
 ORACLES["op10_warc_revisits"] = r"""
@@ -206,7 +206,7 @@ met AS (
     CASE WHEN r.id IS NULL THEN 'no_target' WHEN v.tag IS NOT NULL THEN CASE WHEN substr(v.tag, 3) = r.tag THEN 'resolved' ELSE 'mismatch' END
       WHEN v.day IS NULL THEN 'unverified' WHEN v.day = r.day THEN 'resolved' ELSE 'mismatch' END AS outcome
   FROM rev v ASOF LEFT JOIN resp r ON v.u = r.u AND v.t >= r.t)
-SELECT id AS record_id, u AS url_key, t AS "at", outcome, target_id, target_at,
+SELECT id AS record_id, u AS url_key, t AS revisit_at, outcome, target_id, target_at,
   CASE WHEN outcome IN ('resolved', 'unverified') THEN 'cache-control: max-age=3600' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t
     || chr(10) || 'etag: ' || coalesce(tag, old_tag) || chr(10) || 'last-modified: ' || coalesce(day, old_day) END AS headers
 FROM met"""
