@@ -15,7 +15,7 @@ from factorspark.llm.common import WordCodes, small_batches, stored
 
 #: Bounds of the model that goes to the tasks: the most frequent words and pairs of the labelled texts. All of the
 #: labelled texts are counted; what is not listed backs off (a pair to its word, a word to no evidence).
-WORDS_MOST, PAIRS_MOST = 262_144, 524_288
+WORDS_MOST, PAIRS_MOST = 262_144, 262_144
 #: Labelled documents that place the score on the scale of 0 to 1.
 CALIBRATION_ROWS = 20_000
 CHUNK = 2_000_000
@@ -179,7 +179,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marks = labels.where(F.col(toxic).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     # copies teach once, with the label of most of them
-    taught = rows.join(marks, "id").groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.min("id").alias("id"))
+    # labels grow with the documents: never a broadcast, at any size
+    taught = rows.join(marks.hint("merge"), "id").groupBy("text").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"), F.min("id").alias("id"))
     taught = stored(taught, "taught")
     schema = "key bigint, t bigint, o bigint"
     words = stored(taught.select("text", "toxic").mapInPandas(_counter(_words), schema).groupBy("key").agg(
