@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.operators.cleaning import complete_dates, fill_forward
+from factorspark.session import shared
 
 BLOCK = 252
 
@@ -49,7 +50,7 @@ def correlation(x: np.ndarray, ranks: bool) -> np.ndarray:
     if ranks:
         x = pd.DataFrame(x).rank().to_numpy()
     with np.errstate(invalid="ignore", divide="ignore"):
-        c = np.nan_to_num(np.corrcoef(x, rowvar=False))
+        c = np.nan_to_num(np.atleast_2d(np.corrcoef(x, rowvar=False)))
     np.fill_diagonal(c, 1.0)
     return c
 
@@ -240,24 +241,53 @@ def trailing_solves(panel: DataFrame, when: Column, min_share: float = 0.5) -> D
         F.col("w1") - F.col("w0") >= F.floor(F.col("lookback") * min_share)).where(F.col("w1") > 1)
 
 
-COV_SCHEMA = "portfolio string, a string, b string, cov double, corr double, spearman double, shrunk double"
+CROSS = "portfolio string, a string, b string, n bigint, s double, q double, f double"
 
 
 def covariance_long(returns: DataFrame) -> DataFrame:
     """Sample covariance, both correlations and the shrunk covariance for each pair a <= b.
 
-    ``returns(portfolio, d, symbol, ret)``, complete dates. One portfolio is a dates x holdings
-    matrix (bounded by the calendar and the size of a portfolio).
+    ``returns(portfolio, d, symbol, ret)``, complete dates. Returns and their ranks are centred for each symbol
+    first; then cross products are summed inside blocks of dates and the sums of the blocks are added for each pair,
+    so a long history is spread over many tasks. A portfolio of one name, or constant columns, give
+    correlations of 0 off and 1 on the diagonal.
     """
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="d", columns="symbol", values="ret").sort_index()
-        x, names = wide.to_numpy(), list(wide.columns)
+    own = Window.partitionBy("portfolio", "symbol")
+    rank = F.rank().over(own.orderBy("ret")) + (F.count(F.lit(1)).over(Window.partitionBy("portfolio", "symbol", "ret")) - 1) / 2
+    days = returns.select("portfolio", "d").distinct().withColumn(
+        "blk", F.floor((F.row_number().over(Window.partitionBy("portfolio").orderBy("d")) - 1) / BLOCK))
+    rows = returns.select("portfolio", "d", "symbol", (F.col("ret") - F.avg("ret").over(own)).alias("x"),
+                          (rank - (F.count(F.lit(1)).over(own) + 1) / 2).alias("q")).join(days, ["portfolio", "d"])
+
+    def cross(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.pivot(index="d", columns="symbol", values="x")
+        q = pdf.pivot(index="d", columns="symbol", values="q").to_numpy()
+        names, x = list(x.columns), x.to_numpy()
         ia, ib = np.triu_indices(len(names))
-        return pd.DataFrame({
-            "portfolio": key[0], "a": [names[k] for k in ia], "b": [names[k] for k in ib],
-            "cov": np.cov(x, rowvar=False)[ia, ib], "corr": correlation(x, False)[ia, ib],
-            "spearman": correlation(x, True)[ia, ib], "shrunk": shrunk_cov(x)[ia, ib]})
-    return returns.select("portfolio", "d", "symbol", "ret").groupBy("portfolio").applyInPandas(run, COV_SCHEMA)
+        return pd.DataFrame({"portfolio": key[0], "a": [names[k] for k in ia], "b": [names[k] for k in ib], "n": len(x),
+                             "s": (x.T @ x)[ia, ib], "q": (q.T @ q)[ia, ib], "f": ((x ** 2).T @ (x ** 2))[ia, ib]})
+    sums = shared(rows.groupBy("portfolio", "blk").applyInPandas(cross, CROSS).groupBy("portfolio", "a", "b").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s", "q", "f")]))
+    diagonal = sums.where("a = b").select("portfolio", F.col("a").alias("_name"), F.col("s").alias("_s"), F.col("q").alias("_q"))
+
+    def side(name: str) -> DataFrame:
+        return diagonal.select("portfolio", F.col("_name").alias(name), F.col("_s").alias(f"_s{name}"), F.col("_q").alias(f"_q{name}"))
+    # Ledoit and Wolf's intensity needs sums over both halves of the matrix
+    same = F.col("a") == F.col("b")
+    twice = F.when(same, 1.0).otherwise(2.0)
+    per_day = F.col("s") / F.col("n")
+    whole = sums.groupBy("portfolio").agg(
+        (F.sum(F.when(same, per_day)) / F.count_if(same)).alias("_mu"), F.count_if(same).alias("_p"), F.sum(twice * per_day ** 2).alias("_sq"),
+        (F.sum(twice * (F.col("f") / F.col("n") - per_day ** 2) / F.col("n"))).alias("_b2"))
+    d2 = F.col("_sq") - F.col("_p") * F.col("_mu") ** 2
+    rho = F.when((d2 <= 0) | (F.col("_b2") <= 0), 0.0).otherwise(F.least("_b2", d2) / d2)
+
+    def ratio(c: str) -> Column:
+        scale = F.sqrt(F.col(f"_{c}a") * F.col(f"_{c}b"))
+        return F.when(same, 1.0).when(scale > 0, F.col(c) / scale).otherwise(0.0)
+    return sums.join(side("a"), ["portfolio", "a"]).join(side("b"), ["portfolio", "b"]).join(whole, "portfolio").select(
+        "portfolio", "a", "b", F.try_divide("s", F.col("n") - 1).alias("cov"), ratio("s").alias("corr"), ratio("q").alias("spearman"),
+        ((1 - rho) * per_day + F.when(same, rho * F.col("_mu")).otherwise(0.0)).alias("shrunk"))
 
 
 def posterior_covariance(cov: DataFrame, views: DataFrame, tau: float = 0.05) -> DataFrame:

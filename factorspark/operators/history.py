@@ -18,7 +18,7 @@ def with_regime(dates: DataFrame, periods: DataFrame, manual: str | None = None)
     return regime_for_dates(dates, periods).withColumnRenamed("regime_name", "regime")
 
 
-def batch_scores(fund: DataFrame, periods: DataFrame, manual: str | None = None, group_rows: int | None = None) -> DataFrame:
+def batch_scores(fund: DataFrame, periods: DataFrame, manual: str | None = None) -> DataFrame:
     """Ranked composite of every snapshot date whose regime is known: one plan for all dates."""
     days = with_regime(fund.select(F.col("as_of").alias("d")).distinct(), periods, manual).where("regime is not null")
     rows = fund.join(days.withColumnRenamed("d", "as_of"), "as_of")
@@ -29,7 +29,7 @@ def batch_scores(fund: DataFrame, periods: DataFrame, manual: str | None = None,
             st = st.withColumn(missing, F.lit(0.0))
     scored = composite_score(st).select("regime", F.col("as_of").alias("snapshot_date"), "symbol",
                                         F.round("score", 6).alias("score"), "sector", "industry")
-    return full_rank(scored, ["snapshot_date"], "score", group_rows=group_rows)
+    return full_rank(scored, ["snapshot_date"], "score")
 
 
 def batch_status(dates: DataFrame, periods: DataFrame, done: DataFrame, scorable: Column) -> DataFrame:

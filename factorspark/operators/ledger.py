@@ -201,16 +201,11 @@ def _opening_cost(maps: DataFrame, fan: int, levels: int = 3) -> DataFrame:
 
 def positions(tx: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Average-cost result per position: shares, cost, realized profit, dividends, commissions."""
-    blocks = _blocks(tx, block_rows)
-    many = tx.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block_rows)
-    if many.isEmpty():
-        done = blocks.withColumn("r", _walk_full(F.col("ops"), F.lit(0.0), F.lit(0.0)))
-    else:
-        blocks = shared(blocks)
-        opened = blocks.join(_opening_shares(blocks), [*KEY, "blk"])
-        opened = opened.withColumn("m", _walk_cost(F.col("ops"), F.col("s0")))
-        costs = _opening_cost(opened.select(*KEY, F.col("blk").cast("long").alias("blk"), "m.scale", "m.add"), fan)
-        done = opened.join(costs, [*KEY, "blk"]).withColumn("r", _walk_full(F.col("ops"), F.col("s0"), F.col("c0")))
+    blocks = shared(_blocks(tx, block_rows))
+    opened = blocks.join(_opening_shares(blocks), [*KEY, "blk"])
+    opened = opened.withColumn("m", _walk_cost(F.col("ops"), F.col("s0")))
+    costs = _opening_cost(opened.select(*KEY, F.col("blk").cast("long").alias("blk"), "m.scale", "m.add"), fan)
+    done = opened.join(costs, [*KEY, "blk"]).withColumn("r", _walk_full(F.col("ops"), F.col("s0"), F.col("c0")))
     out = done.groupBy(*KEY).agg(F.max_by("r.s", "blk").alias("shares"), F.max_by("r.c", "blk").alias("total_cost"),
                                  *[F.sum(f"r.{n}").alias(n) for n in TOTALS])
     return out.withColumn("avg_cost", F.when(F.col("shares") > EPS, F.col("total_cost") / F.col("shares")))

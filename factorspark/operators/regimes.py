@@ -113,12 +113,15 @@ def regime_for_dates(dates: DataFrame, periods: DataFrame) -> DataFrame:
 
 
 def restrict_to_regime(returns: DataFrame, periods: DataFrame, regime: str, min_days: int = 60) -> DataFrame:
-    """Rows inside the regime's periods; a symbol left with under ``min_days`` keeps all rows."""
+    """Rows of each portfolio inside the regime's periods; a portfolio with under ``min_days`` such dates keeps all rows.
+
+    The dates are counted over the portfolio, not for each symbol, so all its symbols keep the same dates.
+    """
     days = period_calendar(periods.where(F.col("regime_name") == regime), "regime_name").withColumnRenamed(
         "regime_name", "_hit")
     st = returns.join(days, "d", "left")
-    n = st.groupBy("symbol").agg(F.count("_hit").alias("_n"))
-    return st.join(n, "symbol").where((F.col("_n") < min_days) | F.col("_hit").isNotNull()).drop("_hit", "_n")
+    n = st.where(F.col("_hit").isNotNull()).groupBy("portfolio").agg(F.count_distinct("d").alias("_n"))
+    return st.join(n, "portfolio", "left").where((F.coalesce("_n", F.lit(0)) < min_days) | F.col("_hit").isNotNull()).drop("_hit", "_n")
 
 
 # ---- statistics ---------------------------------------------------------------------

@@ -10,22 +10,15 @@ from pyspark.sql import functions as F
 from factorspark.functions.exprs import min_max
 from factorspark.session import checkpointed
 
-WINDOW_ROWS = 2_000_000   # largest group ranked by one window task
 
-
-def full_rank(df: DataFrame, keys: Sequence[str], by: str, tie: str = "symbol",
-              out: str = "rank", group_rows: int | None = None, ranges: int | None = None) -> DataFrame:
+def full_rank(df: DataFrame, keys: Sequence[str], by: str, tie: str = "symbol", out: str = "rank", ranges: int | None = None) -> DataFrame:
     """Rank 1..n by ``by`` descending within each key, ties by ``tie``; every row is ranked.
 
-    ``group_rows`` is an upper bound of a group's size the caller can prove (for a snapshot:
-    the number of symbols). Up to ``WINDOW_ROWS`` a window does it. Without a bound, or above
-    it, the rows are range-partitioned on (keys, score, tie), which splits a large group over
-    many tasks; each range numbers its own rows and adds the counts of the ranges before it.
+    The rows are range-partitioned on (keys, score, tie), which splits a large group over many tasks; each
+    range numbers its own rows and adds the counts of the ranges before it.
     """
     keys = list(keys)
     order = [F.desc_nulls_last(by), F.asc(tie)]
-    if group_rows is not None and group_rows <= WINDOW_ROWS:
-        return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
     # the tag must not change between its two uses, so it is written once

@@ -180,7 +180,7 @@ def combined_views(spark, sf):
 REG = {"Strong Bull": "Strong_Bull", "Steady Growth": "Steady_Growth", "Crisis/Bear": "Crisis_Bear"}
 PERIOD_SQL = """
 hp AS (SELECT CASE regime WHEN 0 THEN 'Strong_Bull' WHEN 1 THEN 'Steady_Growth' ELSE 'Crisis_Bear' END AS regime, start_date, end_date,
-  row_number() OVER (ORDER BY regime, symbol, start_date) AS period_seq FROM gp WHERE symbol IN ('R0', 'R1') AND days < 60),
+  row_number() OVER (ORDER BY regime, symbol, start_date) AS period_seq FROM gp),
 hd AS (SELECT d, arg_min(regime, period_seq) AS regime FROM (SELECT DISTINCT as_of AS d FROM fund) JOIN hp ON d BETWEEN start_date AND end_date GROUP BY 1)"""
 
 
@@ -194,7 +194,7 @@ sc AS (SELECT fs.regime, as_of, symbol, round(w_value * value + w_quality * qual
 
 
 def batch(spark, sf):
-    return hs.batch_scores(ad.fundamentals(spark, sf), periods(spark, sf), group_rows=ad.table(spark, sf, "supplier").count())
+    return hs.batch_scores(ad.fundamentals(spark, sf), periods(spark, sf))
 
 
 @query("historical_batch_scores", with_(*BATCH_SQL, body="""
@@ -228,20 +228,22 @@ def ranked_partition_table(spark, sf):
 
 @query("reversion_risk")
 def reversion_risk(spark, sf):
-    """Classifier over all brands; five trees keep this check short (the library default is 100)."""
+    """Classifier over all brands."""
     h = ad.score_history(spark, sf)
-    model, accuracy = rv.fit_reversion(rv.training_rows(h), trees=5)
+    model, accuracy = rv.fit_reversion(rv.training_rows(h))
     return rv.reversion_probability(model, h, accuracy)
 
 
 @query("incremental_session_ingest", ORACLES["session_dedupe_last_wins"])
 def incremental_session_ingest(spark, sf):
-    """Sessions of four sources arrive as files, are streamed in and merged; read back."""
+    """Sessions of four sources arrive as files, later dates before earlier ones, are streamed in and merged; read back."""
     root = _run_folder(spark)
     fp._sources(fp.sessions(spark, sf)).write.partitionBy("source_seq").parquet(f"{root}/in")
     # the source number must be a file column for the stream's declared schema
     staged = spark.read.parquet(f"{root}/in")
-    staged.repartition(4, "source_seq").write.parquet(f"{root}/arrived")
-    stream = ingest.session_stream(spark, f"{root}/arrived", files_per_trigger=1)
-    ingest.start_ingest(stream, f"{root}/table", f"{root}/progress").awaitTermination()
-    return spark.read.parquet(f"{root}/table").select("symbol", day_text(), "source_seq", "total_volume", "call_oi")
+    late = F.dayofmonth("d") > 15
+    for half in (staged.where(late), staged.where(~late)):
+        half.repartition("source_seq").write.mode("append").parquet(f"{root}/arrived")
+        stream = ingest.session_stream(spark, f"{root}/arrived", files_per_trigger=1)
+        ingest.start_ingest(stream, f"{root}/table", f"{root}/progress").awaitTermination()
+    return ingest.sessions_table(spark, f"{root}/table").select("symbol", day_text(), "source_seq", "total_volume", "call_oi")

@@ -100,15 +100,14 @@ def name_col():
 
 SEQ_SQL = f"""
 ps AS (SELECT {NAME_E} AS regime_name, start_date, end_date, days, row_number() OVER (ORDER BY regime, symbol, start_date) AS period_seq
-  FROM gp WHERE symbol IN ('R0', 'R1') AND days < 60),
+  FROM gp),
 dr AS (SELECT d, arg_min(regime_name, period_seq) AS regime_name FROM (SELECT DISTINCT d FROM bars) b JOIN ps ON d BETWEEN start_date AND end_date GROUP BY 1)"""
 
 
 def overlapping_periods(spark, sf):
-    """Periods of two series in one table, in regime order: they overlap."""
-    p = rg.gap_periods(labels(spark, sf)).where("symbol in ('R0', 'R1') and days < 60")
-    seq = F.row_number().over(Window.orderBy("regime", "symbol", "start_date"))   # periods of two series
-    return p.select(name_col(), "start_date", "end_date", "days", seq.alias("period_seq"))
+    """Periods of all series in one table, in regime order: they overlap."""
+    p = rg.gap_periods(labels(spark, sf))
+    return p.select(name_col(), "start_date", "end_date", "days", F.struct("regime", "symbol", "start_date").alias("period_seq"))
 
 
 @query("regime_for_dates", with_(*LABEL_SQL, GAP_SQL, SEQ_SQL, body=f"""
@@ -120,10 +119,10 @@ def regime_for_dates(spark, sf):
 
 @query("regime_filtered_returns", with_(*LABEL_SQL, GAP_SQL, SEQ_SQL, """
 hit AS (SELECT lb.*, EXISTS (SELECT 1 FROM ps WHERE regime_name = 'Crisis/Bear' AND lb.d BETWEEN start_date AND end_date) AS h FROM lb),
-hc AS (SELECT *, count(*) FILTER (h) OVER (PARTITION BY symbol) AS n FROM hit)""", body=f"""
+hc AS (SELECT *, (SELECT count(DISTINCT d) FROM hit WHERE h) AS n FROM hit)""", body=f"""
 SELECT symbol, {DT}, {r('ret', 'ret')} FROM hc WHERE h OR n < 60"""))
 def regime_filtered_returns(spark, sf):
-    rows = labelled(spark, sf).select("symbol", "d", "ret")
+    rows = labelled(spark, sf).select(F.lit("all").alias("portfolio"), "symbol", "d", "ret")
     return rg.restrict_to_regime(rows, overlapping_periods(spark, sf), "Crisis/Bear").select("symbol", day_text(), r6("ret"))
 
 
@@ -297,5 +296,5 @@ def current_regime_filtered(spark, sf):
 @query("regime_mixture_labels")
 def regime_mixture_labels(spark, sf):
     f = rg.nine_features(ad.bars(spark, sf, "region"))
-    model = rg.fit_mixture(f, rg.NINE_FEATURES, seeds=(42,), max_iter=20)
+    model = rg.fit_mixture(f, rg.NINE_FEATURES)
     return rg.label_days(model, f).select("symbol", day_text(), "regime", r6("p_0"), r6("p_1"), r6("p_2"))

@@ -369,9 +369,8 @@ def factor_table(spark, sf):
 SELECT regime, symbol, sector, {r('score', 'score', 5)},
   row_number() OVER (PARTITION BY regime ORDER BY round(score, 5) DESC, symbol) AS rank FROM tot"""))
 def regime_factor_ranking(spark, sf):
-    universe = ad.table(spark, sf, "supplier").count()
     scored = fa.composite_score(factor_table(spark, sf)).select("regime", "symbol", "sector", r6("score", 5))
-    return full_rank(scored, ["regime"], "score", group_rows=universe)
+    return full_rank(scored, ["regime"], "score")
 
 
 @query("option_chain_scores", with_(o.CONTRACTS, """

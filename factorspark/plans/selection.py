@@ -26,8 +26,7 @@ KEYS = ["as_of"]
 
 
 def ranked(spark, sf):
-    bound = ad.table(spark, sf, "supplier").count()
-    return sel.full_rank(ad.ranked(spark, sf), KEYS, "score", group_rows=bound)
+    return sel.full_rank(ad.ranked(spark, sf), KEYS, "score")
 
 
 def pool(spark, sf, n=100):

@@ -18,8 +18,7 @@ from factorspark.sources import adapters as ad
 def history(spark, sf, key="supplier"):
     """Score history with ranks inside each snapshot and dense sequence numbers."""
     h = ad.score_history(spark, sf, key)
-    bound = ad.table(spark, sf, "supplier").count() if key == "supplier" else 25
-    return shared(tr.snapshot_sequence(full_rank(h, ["d"], "score", group_rows=bound)))   # symbols x snapshots
+    return shared(tr.snapshot_sequence(full_rank(h, ["d"], "score")))   # symbols x snapshots
 
 
 def hist_sql(key="supplier"):

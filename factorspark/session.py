@@ -75,8 +75,7 @@ def shared_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     Every window, aggregate and join on ``keys`` that reads it then needs neither a shuffle nor
     a sort: the one exchange is paid once for all branches.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return shared(df.repartition(n, *keys).sortWithinPartitions(*keys, *order))
+    return shared(df.repartition(*keys).sortWithinPartitions(*keys, *order))
 
 
 def release_shared() -> None:

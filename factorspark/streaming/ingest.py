@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,33 +15,49 @@ from factorspark.sources import schemas
 
 
 def session_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
-    """Session files as a stream; the same row delivered again within the watermark is dropped."""
-    raw = (spark.readStream.schema(schemas.FLOW).option("maxFilesPerTrigger", files_per_trigger)
-           .option("recursiveFileLookup", True).parquet(path))
-    return (raw.withColumn("event_time", F.col("d").cast("timestamp")).withWatermark("event_time", "400 days")
-            .dropDuplicatesWithinWatermark(["symbol", "d", "source_seq"]).drop("event_time"))
+    """Session files as a stream. No row is dropped for its age: the merge makes repeated deliveries harmless."""
+    return (spark.readStream.schema(schemas.FLOW).option("maxFilesPerTrigger", files_per_trigger)
+            .option("recursiveFileLookup", True).parquet(path))
+
+
+def _known(batch: DataFrame, table: str) -> DataFrame | None:
+    """Rows that the table holds on the batch's dates; none before the first batch."""
+    try:
+        rows = batch.sparkSession.read.schema(schemas.FLOW).parquet(table)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.join(batch.select("d").distinct(), "d", "left_semi").select(*batch.columns)
 
 
 def merge_sessions(batch: DataFrame, table: str, prefer: str = "last") -> None:
     """Rewrite only the session dates the batch touches, keeping the better source of each date.
 
-    The dates of a batch are looked up in the table, both are deduplicated together, and the
-    touched partitions are replaced. Re-running a batch gives the same table.
+    ``table``/all holds the latest row of every source, losers too, so a source whose rows come in several batches
+    is judged as if they had come in one. Where a row of the same symbol, date and source is there already the
+    batch wins. ``table``/best, which readers use, is deduplicated from it. Re-running a batch gives the same tables,
+    and a batch may come with dates of any age.
     """
-    spark = batch.sparkSession
     if batch.isEmpty():
         return
-    days = batch.select("d").distinct()
-    try:
-        known = spark.read.schema(schemas.FLOW).parquet(table).join(days, "d", "left_semi")
-        both = batch.unionByName(known.select(*batch.columns)).dropDuplicates(["symbol", "d", "source_seq"])
-    except Exception as e:   # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        both = batch
-    best = checkpointed(dedupe_sessions(both, prefer))   # the read must finish before its partitions are replaced
-    (best.repartition("d").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("d").parquet(table))
+    known = _known(batch, f"{table}/all")
+    both = batch.withColumn("_new", F.lit(1))
+    if known is not None:
+        both = both.unionByName(known.withColumn("_new", F.lit(0)))
+    key = ["symbol", "d", "source_seq"]
+    rest = [c for c in batch.columns if c not in key]
+    # of rows that repeat inside one batch the greatest stays, so that a retry decides alike
+    latest = both.groupBy(*key).agg(F.max(F.struct("_new", *rest)).alias("_row")).select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest])
+    latest = checkpointed(latest.select(*batch.columns))   # the read must finish before its partitions are replaced
+    for rows, name in ((latest, "all"), (dedupe_sessions(latest, prefer), "best")):
+        (rows.repartition("d").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("d").parquet(f"{table}/{name}"))
+
+
+def sessions_table(spark: SparkSession, table: str) -> DataFrame:
+    """The merged sessions: one source for each symbol and date."""
+    return spark.read.schema(schemas.FLOW).parquet(f"{table}/best")
 
 
 def start_ingest(stream: DataFrame, table: str, checkpoint: str, prefer: str = "last",

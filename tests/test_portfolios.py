@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from factorspark.operators import allocation as al
 from factorspark.operators import backtest as bt
+from factorspark.operators import regimes as rg
 from factorspark.operators import selection as sel
 from factorspark.operators.cleaning import fill_forward
 
@@ -99,6 +100,35 @@ def test_average_correlation_across_blocks(market):
     np.testing.assert_allclose(got["avg_corr"], want, rtol=1e-9)
 
 
+@pytest.mark.parametrize("names,n", [(1, 40), (4, 600)])
+def test_covariance_in_blocks_equals_numpy(spark, days, names, n):
+    """Several blocks of dates, tied and constant columns, and a portfolio of one name."""
+    rnd = np.random.default_rng(3)
+    x = np.round(rnd.normal(0, 0.02, (n, names)), 3)
+    if names > 1:
+        x[:, 1] = 0.01
+    df = spark.createDataFrame([("P", days(i), f"S{k}", float(x[i, k])) for i in range(n) for k in range(names)],
+                               "portfolio string, d date, symbol string, ret double")
+    got = {(r["a"], r["b"]): r for r in al.covariance_long(df).collect()}
+    assert len(got) == names * (names + 1) // 2
+    cov, sh = np.atleast_2d(np.cov(x, rowvar=False)), al.shrunk_cov(x)
+    pear, spear = al.correlation(x, False), al.correlation(x, True)
+    for i in range(names):
+        for j in range(i, names):
+            r = got[f"S{i}", f"S{j}"]
+            np.testing.assert_allclose([r["cov"], r["shrunk"], r["corr"], r["spearman"]],
+                                       [cov[i, j], sh[i, j], pear[i, j], spear[i, j]], rtol=1e-7, atol=1e-9)
+
+
+def test_regime_dates_are_those_of_the_portfolio(spark, days):
+    """One short and one long series share the dates of the regime; a portfolio with too few keeps all rows."""
+    rows = [("P", "A", days(i), 0.1) for i in range(100)] + [("P", "B", days(i), 0.1) for i in range(50)] + [("Q", "A", days(i), 0.1) for i in range(30, 100)]
+    df = spark.createDataFrame(rows, "portfolio string, symbol string, d date, ret double")
+    p = spark.createDataFrame([("Bear", days(0), days(69), 1)], "regime_name string, start_date date, end_date date, period_seq int")
+    got = rg.restrict_to_regime(df, p, "Bear").groupBy("portfolio", "symbol").count().collect()
+    assert {(r["portfolio"], r["symbol"]): r["count"] for r in got} == {("P", "A"): 70, ("P", "B"): 50, ("Q", "A"): 70}
+
+
 def test_greedy_walk(spark):
     rnd = np.random.default_rng(8)
     rows = [("k", i + 1, f"S{i:03d}", f"sec{rnd.integers(5)}") for i in range(80)]
@@ -115,7 +145,7 @@ def test_greedy_walk(spark):
 def test_range_ranks_equal_window_ranks(spark):
     rows = [("hot" if i % 4 else f"k{i % 8}", f"S{i:04d}", float((i * 37) % 11)) for i in range(2000)]
     df = spark.createDataFrame(rows, "k string, symbol string, score double")
-    a = {(r["k"], r["symbol"]): r["rank"] for r in sel.full_rank(df, ["k"], "score", group_rows=2000).collect()}
+    a = {(r["k"], r["symbol"]): r["rank"] for r in sel.full_rank(df, ["k"], "score", ranges=1).collect()}
     b = {(r["k"], r["symbol"]): r["rank"] for r in sel.full_rank(df, ["k"], "score", ranges=8).collect()}
     assert a == b
 
