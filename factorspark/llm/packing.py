@@ -22,6 +22,19 @@ ODD_SPACE = re.compile(r" (?!\S)")
 PIECES = "piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+class _Places(dict):
+    """Chunk -> number, given out at the first question; ``new`` lists the chunks that still have no ids."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, chunk: str) -> int:
+        k = self[chunk] = len(self)
+        self.new.append(chunk)
+        return k
+
+
 class ChunkTokens:
     """Token ids of whole texts by the given tokenizer file, with a memo of the ids of each chunk between spaces.
 
@@ -29,17 +42,20 @@ class ChunkTokens:
     always cuts there and merges nothing across, so the ids of the chunks in order are those of the text.
     """
 
-    def __init__(self, path: str | None = None, most: int = 400_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 700_000) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        # a token of a byte-level vocabulary is spelled with one character for each byte
+        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
@@ -51,30 +67,40 @@ class ChunkTokens:
         head, *rest = text.split(" ")
         return [*([head] if head else []), *[" " + word for word in rest]]
 
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for chunk, enc in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                got = enc.ids
-                k = len(self.place)
-                if k == len(self.first):
-                    self.first, self.count = np.resize(self.first, 2 * k), np.resize(self.count, 2 * k)
-                while self.end + len(got) > len(self.ids):
-                    self.ids = np.resize(self.ids, 2 * len(self.ids))
-                self.ids[self.end:self.end + len(got)] = got
-                self.first[k], self.count[k] = self.end, len(got)
-                self.end += len(got)
-                self.place[chunk] = k
+    def _learn(self) -> None:
+        """Ids of chunks that weren't met before: many are encoded as one text, and the bytes of the ids tell where each ends."""
+        new, self.place.new = self.place.new, []
+        first = len(self.place) - len(new)
+        inner = [c[0] == " " and len(c) > 1 and not c[1].isspace() for c in new]
+        at = np.flatnonzero(inner)
+        for k in range(0, len(at), 4096):
+            part = [new[i] for i in at[k:k + 4096]]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in part])) + 1
+            self._keep(first + at[k:k + 4096], ids, np.diff(stops, prepend=0))
+        rest = np.flatnonzero(~np.array(inner, bool))
+        if len(rest):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)]
+            self._keep(first + rest, np.array([i for ids in got for i in ids], np.uint32), np.array([len(ids) for ids in got]))
+
+    def _keep(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        while at.max() >= len(self.first):
+            self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+        while self.end + len(ids) > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.ids[self.end:self.end + len(ids)] = ids
+        self.first[at], self.count[at] = self.end + np.cumsum(counts) - counts, counts
+        self.end += len(ids)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.chunks(t) for t in texts]
         if len(self.place) > self.most:
             self.clear()
-        place = self.place
-        self._learn(list(dict.fromkeys(c for row in cut for c in row if c not in place)))
+        cut = [self.chunks(t) for t in texts]
+        places = [np.fromiter(map(self.place.__getitem__, row), np.int64, len(row)) for row in cut]
+        if self.place.new:
+            self._learn()
         out = []
-        for row in cut:
-            at = np.fromiter(map(self.place.__getitem__, row), np.int64, len(row))
+        for at in places:
             n = self.count[at]
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(ends) else 0
