@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.functions import scores as sc
-from factorspark.operators.factors import composite_score, fundamental_scores
+from factorspark.operators.factors import composite_score
 from factorspark.operators.regimes import regime_for_dates
 from factorspark.operators.selection import full_rank
 
@@ -18,17 +17,32 @@ def with_regime(dates: DataFrame, periods: DataFrame, manual: str | None = None)
     return regime_for_dates(dates, periods).withColumnRenamed("regime_name", "regime")
 
 
-def batch_scores(fund: DataFrame, periods: DataFrame, manual: str | None = None) -> DataFrame:
-    """Ranked composite of every snapshot date whose regime is known: one plan for all dates."""
-    days = with_regime(fund.select(F.col("as_of").alias("d")).distinct(), periods, manual).where("regime is not null")
-    rows = fund.join(days.withColumnRenamed("d", "as_of"), "as_of")
-    st = fundamental_scores(rows).withColumn("size", sc.size_score(F.col("market_cap"), F.col("price"))).withColumn(
-        "liquidity", sc.liquidity_score())
-    for missing in ("stability", "growth", "carry", "momentum", "technical", "options_flow", "insider"):
-        if missing not in st.columns:
-            st = st.withColumn(missing, F.lit(0.0))
-    scored = composite_score(st).select("regime", F.col("as_of").alias("snapshot_date"), "symbol",
-                                        F.round("score", 6).alias("score"), "sector", "industry")
+FACTORS = ("value", "quality", "financial_health", "technical", "insider", "momentum", "stability", "size", "options_flow",
+           "liquidity", "carry", "growth")
+
+
+def up_to(rows: DataFrame, snapshots: DataFrame, date: str) -> DataFrame:
+    """The rows of a symbol that each of its snapshots could know: ``symbol`` becomes the snapshot's ``tag``.
+
+    ``snapshots(symbol, as_of, tag)``. A symbol has few snapshots, so this is an equality join with a date filter.
+    """
+    snaps = snapshots.select(F.col("symbol").alias("_s"), F.col("as_of").alias("_until"), "tag")
+    met = rows.join(snaps, F.col("symbol") == F.col("_s")).where(F.col(date) <= F.col("_until"))
+    return met.select(F.col("tag").alias("symbol"), *[c for c in rows.columns if c != "symbol"])
+
+
+def batch_scores(factors: DataFrame, periods: DataFrame, manual: str | None = None) -> DataFrame:
+    """Ranked composite of every snapshot date whose regime is known: one plan for all dates.
+
+    ``factors(symbol, as_of, regime, sector, industry)`` with all twelve factors, as of each date and for each regime.
+    """
+    absent = [f for f in FACTORS if f not in factors.columns]
+    if absent:
+        raise ValueError(f"no column for the factors {absent}")
+    days = with_regime(factors.select(F.col("as_of").alias("d")).distinct(), periods, manual).where("regime is not null")
+    rows = factors.join(days.withColumnRenamed("d", "as_of"), ["as_of", "regime"])
+    scored = composite_score(rows).select("regime", F.col("as_of").alias("snapshot_date"), "symbol",
+                                          F.round("score", 6).alias("score"), "sector", "industry")
     return full_rank(scored, ["snapshot_date"], "score")
 
 

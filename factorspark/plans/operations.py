@@ -16,8 +16,9 @@ from factorspark.plans import oracle_ctes as o
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.regimes import GAP_SQL, LABEL_SQL, overlapping_periods
 from factorspark.plans.registry import ORACLES, query
-from factorspark.plans.scoring import FUND_SCORES, FW_SQL, LIQ_E, SIZE_E, TH_SQL, keyed
-from factorspark.plans.technical import DT, r
+from factorspark.plans.scoring import (
+    CARRY_SQL, EARN_SQL, EST_PIVOT, FUND_SCORES, FW_SQL, INS_SQL, MOMENTUM_SQL, RANK_SQL, STAB_SQL, TH_SQL, factor_history, keyed)
+from factorspark.plans.technical import DT, MOM_SQL, TECH_SQL, r
 from factorspark.session import ensure_checkpoint_dir
 from factorspark.sources import adapters as ad
 from factorspark.sources.sinks import write_ranked
@@ -188,13 +189,36 @@ def periods(spark, sf):
     return overlapping_periods(spark, sf).replace(REG, subset=["regime_name"])
 
 
-BATCH_SQL = (*LABEL_SQL, GAP_SQL, o.FUNDAMENTALS, PERIOD_SQL, TH_SQL, FUND_SCORES, FW_SQL, f"""
-sc AS (SELECT fs.regime, as_of, symbol, round(w_value * value + w_quality * quality + w_financial_health * financial_health + w_size * ({SIZE_E})
-  + w_liquidity * ({LIQ_E}), 6) AS score FROM fs JOIN hd ON hd.d = fs.as_of AND hd.regime = fs.regime JOIN fw ON fw.regime = fs.regime)""")
+def _base(cte: str, name: str) -> str:
+    return cte.replace(f"{name} AS (", f"{name}0 AS (", 1)
+
+
+TAG = "symbol || '@' || strftime(as_of, '%Y-%m-%d')"
+
+
+def _known(name: str, date: str) -> str:
+    """What each snapshot could know, under the snapshot's own symbol."""
+    return f"{name} AS (SELECT tag AS symbol, x.* EXCLUDE (symbol) FROM {name}0 x JOIN snap ON s0 = x.symbol AND x.{date} <= snap.as_of)"
+
+
+HISTORY_TAIL = (RANK_SQL[-1].replace("gst AS (SELECT sector, regime,", "gst AS (SELECT sector, as_of, regime,")
+                .replace("FROM g2 GROUP BY 1, 2)", "FROM g2 GROUP BY 1, 2, 3)").replace("USING (sector, regime))", "USING (sector, as_of, regime))")
+                .replace("SELECT fs.symbol, fs.regime, fs.sector,", "SELECT fs.symbol, fs.as_of, fs.regime, fs.sector,")
+                .replace("coalesce(technical, 0) AS score", "coalesce(technical, 0) + w_insider * coalesce(insider, 0) AS score")
+                .replace("JOIN fw ON fw.regime = fs.regime)", "LEFT JOIN ix ON ix.symbol = fs.symbol JOIN fw ON fw.regime = fs.regime)"))
+BATCH_SQL = (
+    f"hdays AS ({with_(*LABEL_SQL, GAP_SQL, o.FUNDAMENTALS, PERIOD_SQL, body='SELECT d, regime FROM hd')})",
+    _base(o.FUNDAMENTALS, "fund"), f"snap AS (SELECT symbol AS s0, as_of, {TAG} AS tag FROM fund0)",
+    f"fund AS (SELECT {TAG} AS symbol, * EXCLUDE (symbol) FROM fund0)", _base(o.bars(), "bars"), _known("bars", "d"),
+    _base(o.ESTIMATES, "est"), f"est AS (SELECT {TAG} AS symbol, * EXCLUDE (symbol) FROM est0)", _base(o.SURPRISES, "sur"), _known("sur", "d"),
+    _base(o.dividends("supplier"), "divs"), _known("divs", "ex_date"), MOM_SQL, EARN_SQL[2], MOMENTUM_SQL, *TECH_SQL, *STAB_SQL, CARRY_SQL[1],
+    TH_SQL, FUND_SCORES, EST_PIVOT, FW_SQL, o.INSIDER, INS_SQL,
+    f"ix AS (SELECT {TAG} AS symbol, CASE WHEN tot > 0 THEN least(greatest(raw, -1), 1) ELSE 0 END AS insider FROM i3)", HISTORY_TAIL, """
+sc AS (SELECT tot.regime, as_of, split_part(symbol, '@', 1) AS symbol, round(score, 6) AS score FROM tot JOIN hdays ON hdays.d = as_of AND hdays.regime = tot.regime)""")
 
 
 def batch(spark, sf):
-    return hs.batch_scores(ad.fundamentals(spark, sf), periods(spark, sf))
+    return hs.batch_scores(factor_history(spark, sf), periods(spark, sf))
 
 
 @query("historical_batch_scores", with_(*BATCH_SQL, body="""

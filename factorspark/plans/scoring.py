@@ -10,13 +10,14 @@ from factorspark.functions.exprs import add_weighted_means, day_text, r6
 from factorspark.functions.regime_tables import FACTOR_WEIGHTS, QUALITY_WEIGHTS, REGIMES, THRESHOLDS, VALUE_WEIGHTS
 from factorspark.operators import factors as fa
 from factorspark.operators import flow as fl
+from factorspark.operators import history as hs
 from factorspark.operators import indicators as ind
 from factorspark.operators.selection import full_rank
 from factorspark.plans import oracle_ctes as o
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
 from factorspark.plans.technical import MOM_SQL, RECOVERY_SQL, TECH_SQL, r
-from factorspark.session import shared_by
+from factorspark.session import shared, shared_by
 from factorspark.sources import adapters as ad
 
 AS_OF = "strftime(as_of, '%Y-%m-%d') AS as_of"
@@ -219,8 +220,8 @@ def daily_bars(spark, sf):
     return shared_by(ad.bars(spark, sf), ["symbol"], ["d"])
 
 
-def _momentum(spark, sf, prices):
-    m = prices.join(fa.earnings_momentum(ad.estimates(spark, sf), ad.surprises(spark, sf)), "symbol", "left")
+def _momentum(prices, estimates, surprises):
+    m = prices.join(fa.earnings_momentum(estimates, surprises), "symbol", "left")
     return m.withColumn("price_part", sc.price_momentum_score(F.col("momentum_12m"))).withColumn(
         "earnings_part", sc.earnings_momentum_score(F.col("earnings_momentum"))).withColumn(
         "momentum", sc.momentum_score(F.col("price_part"), F.col("earnings_part")))
@@ -230,7 +231,7 @@ def _momentum(spark, sf, prices):
 SELECT symbol, {AS_OF}, {r('price_part', 'price_part')}, {r('earnings_part', 'earnings_part')},
   {r('0.6 * price_part + 0.4 * earnings_part', 'momentum')} FROM ms"""))
 def momentum_factor_scores(spark, sf):
-    return _momentum(spark, sf, ind.year_momentum(ad.bars(spark, sf))).select(*keyed(), r6("price_part"), r6("earnings_part"), r6("momentum"))
+    return _momentum(ind.year_momentum(ad.bars(spark, sf)), ad.estimates(spark, sf), ad.surprises(spark, sf)).select(*keyed(), r6("price_part"), r6("earnings_part"), r6("momentum"))
 
 
 INS_SQL = f"""
@@ -343,26 +344,45 @@ tot AS (SELECT fs.symbol, fs.regime, fs.sector,
   JOIN fw ON fw.regime = fs.regime)""")
 
 
+def factors_of(fund, bars, mkt, estimates, surprises, dividends, groups=("sector", "regime")):
+    """Snapshots (one per symbol) with their factor columns, one row per regime; option flow and insiders are joined by the caller."""
+    prices = ind.technical_score(bars).select("symbol", "technical", "momentum_12m")
+    st = (fund.join(fa.pivot_estimates(estimates), ["symbol", "as_of"], "left")
+          .join(fa.dividend_history(dividends), "symbol", "left")
+          .withColumn("carry", sc.carry_score(F.col("dividend_yield"), F.col("payout_ratio"),
+                                              F.col("dividend_cagr"), F.col("streak")))
+          .withColumn("size", sc.size_score(F.col("market_cap"), F.col("price")))
+          .withColumn("liquidity", sc.liquidity_score())
+          .join(_momentum(prices, estimates, surprises).select("symbol", "as_of", "technical", "momentum"),
+                ["symbol", "as_of"], "left")
+          .join(fa.stability_factor(bars, mkt).select("symbol", "stability"), "symbol", "left"))
+    scored = add_weighted_means(fa.fundamental_scores(fa.for_each_regime(st)), {"growth_raw": sc.growth_parts()})
+    return fa.sector_relative(scored, "growth_raw", list(groups), "growth")
+
+
 def factor_table(spark, sf):
     """Latest snapshot of every symbol with all factor columns, one row per regime."""
-    bars, mkt = daily_bars(spark, sf), ad.bars(spark, sf, "market")
-    prices = ind.technical_score(bars).select("symbol", "technical", "momentum_12m")
     fund = ad.fundamentals(spark, sf)
     w = Window.partitionBy("symbol").orderBy(F.desc("as_of"))
     latest = fund.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    latest = (latest.join(fa.pivot_estimates(ad.estimates(spark, sf)), ["symbol", "as_of"], "left")
-              .join(fa.dividend_history(ad.dividends(spark, sf, "supplier")), "symbol", "left")
-              .withColumn("carry", sc.carry_score(F.col("dividend_yield"), F.col("payout_ratio"),
-                                                  F.col("dividend_cagr"), F.col("streak")))
-              .withColumn("size", sc.size_score(F.col("market_cap"), F.col("price")))
-              .withColumn("liquidity", sc.liquidity_score())
-              .withColumn("options_flow", F.lit(0.0)).withColumn("insider", F.lit(0.0))
-              .join(_momentum(spark, sf, prices).select("symbol", "as_of", "technical", "momentum"),
-                    ["symbol", "as_of"], "left")
-              .join(fa.stability_factor(bars, mkt).select("symbol", "stability"), "symbol", "left"))
-    scored = add_weighted_means(fa.fundamental_scores(fa.for_each_regime(latest)),
-                                {"growth_raw": sc.growth_parts()})
-    return fa.sector_relative(scored, "growth_raw", ["sector", "regime"], "growth")
+    latest = latest.withColumn("options_flow", F.lit(0.0)).withColumn("insider", F.lit(0.0))
+    return factors_of(latest, daily_bars(spark, sf), ad.bars(spark, sf, "market"), ad.estimates(spark, sf),
+                      ad.surprises(spark, sf), ad.dividends(spark, sf, "supplier"))
+
+
+def factor_history(spark, sf):
+    """Every snapshot with the factors of what was known at its date. The suppliers have no listed options: that factor is neutral."""
+    tag = F.concat_ws("@", "symbol", F.date_format("as_of", "yyyy-MM-dd"))
+    fund = ad.fundamentals(spark, sf)
+    snaps = shared(fund.select("symbol", "as_of", tag.alias("tag")))
+    tx = ad.insider(spark, sf).withColumn("as_of", F.make_date(F.year("d"), F.lit(12), F.lit(31)))
+    seen = fa.insider_scores(tx, ["symbol", "as_of"], F.col("as_of")).select(tag.alias("symbol"), "insider")
+    bars = shared(hs.up_to(ad.bars(spark, sf), snaps, "d"))
+    out = factors_of(
+        fund.withColumn("symbol", tag).withColumn("options_flow", F.lit(0.0)).join(seen, "symbol", "left"), bars, ad.bars(spark, sf, "market"),
+        ad.estimates(spark, sf).withColumn("symbol", tag), hs.up_to(ad.surprises(spark, sf), snaps, "d"),
+        hs.up_to(ad.dividends(spark, sf, "supplier"), snaps, "ex_date"), ("sector", "as_of", "regime"))
+    return out.withColumn("symbol", F.substring_index("symbol", "@", 1))
 
 
 @query("regime_factor_ranking", with_(*RANK_SQL, body=f"""
