@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.llm.common import small_batches, stored
@@ -16,6 +16,10 @@ from factorspark.llm.common import small_batches, stored
 #: keys of 6. At a similarity of 0.8 a collection agrees with p = 0.8 ** 3; a pair is missed when fewer than two of the
 #: 16 agree: (1 - p) ** 16 + 16 p (1 - p) ** 15 = 1.8e-4, and 2e-9 at 0.95.
 COLLECTIONS, EACH = 16, 3
+#: Nodes of a bucket that all its others meet in a later round.
+PIVOTS = 32
+#: The pair of collections of each table.
+TABLES = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
 _RNG = np.random.default_rng(20_240_607)
 _A = _RNG.integers(1, 2**63, COLLECTIONS * EACH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, COLLECTIONS * EACH, dtype=np.uint64)
@@ -70,6 +74,13 @@ def collections(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """1024 bits: whether an odd number of the shingles has each ending. Where the bits of two sets differ, the sets do, so
+    the number of differing bits is a lower bound of the number of shingles that only one of them has."""
+    odd = np.bincount((shingles & np.uint64(1023)).astype(np.int64), minlength=1024) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -83,79 +94,131 @@ def _signature(words: int):
                 s = shingle_set(text, words)
                 out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), _signed(collections(s))) if len(s) else (0, None, None))
             yield pd.DataFrame(out, columns=["n", "mark", "u"])
-    return signature
+    return signature.asNondeterministic()       # never evaluated twice for a filter on its result
 
 
 def _shingles(words: int):
-    @F.pandas_udf("mark binary, held array<bigint>")
+    @F.pandas_udf("mark binary, bits array<bigint>, held array<bigint>")
     def shingles(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in parts:
             sets = [shingle_set(text, words) for text in texts]
-            yield pd.DataFrame({"mark": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "held": [_signed(s) for s in sets]})
-    return shingles
+            yield pd.DataFrame({"mark": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bits": [parities(s) for s in sets],
+                                "held": [_signed(s) for s in sets]})
+    return shingles.asNondeterministic()
 
 
 def _tensored(u: Column) -> Column:
-    """A key for each pair of collections."""
-    return F.array(*[F.xxhash64(F.lit(i * COLLECTIONS + j), u[i], u[j]) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)])
+    """A key for each pair of collections; the place in the array is the number of the table."""
+    return F.array(*[F.xxhash64(F.lit(t), u[i], u[j]) for t, (i, j) in enumerate(TABLES)])
+
+
+def _first_table(u: Column, v: Column) -> Column:
+    """The first table in which two nodes share a key: that of the first two collections on which they agree."""
+    agree = F.filter(F.sequence(F.lit(0), F.lit(COLLECTIONS - 1)), lambda i: F.get(u, i) == F.get(v, i))
+    i, j = F.get(agree, F.lit(0)), F.get(agree, F.lit(1))
+    return (i * (2 * COLLECTIONS - i - 1) / 2 + j - i - 1).cast("int")
 
 
 def _spread(rows: DataFrame) -> DataFrame:
-    """(key, node) -> one key of each distinct set of nodes of two or more, with its least node: key, lo, hi, n.
+    """(key, tab, node) -> one key of each distinct set of two or more nodes, with its least node: key, lo, hi, n.
 
-    Groups of copies meet under many keys; the same set of nodes need not be looked at twice.
+    Groups of copies meet under many keys; the same set of nodes need not be looked at twice. The key of the
+    first table stays, so the first table that two nodes share is always among those that stay.
     """
     met = rows.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("n"),
-                                  F.bit_xor(F.xxhash64("node")).alias("who")).where("n > 1")
-    return met.groupBy("lo", "hi", "n", "who").agg(F.min("key").alias("key"))
-
-
-def _verified(edges: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Edges (lo, node) with ``linked`` and ``far``: the exact Jaccard distance, or a lower bound where sizes forbid a link."""
-    sized = edges.join(nodes.select(F.col("node").alias("lo"), F.col("n").alias("na")), "lo").join(
-        nodes.select("node", F.col("n").alias("nb")), "node")
-    ratio = F.least("na", "nb") / F.greatest("na", "nb")
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    apart = sized.where(~fits).select("lo", "node", F.lit(False).alias("linked"), (1 - ratio).alias("far"))
-    both = sized.where(fits).join(sets.select(F.col("node").alias("lo"), F.col("held").alias("ha")), "lo").join(
-        sets.select("node", F.col("held").alias("hb")), "node")
-    both = both.withColumn("common", F.size(F.array_intersect("ha", "hb")).cast("long"))
-    union = F.col("na") + F.col("nb") - F.col("common")
-    near = both.select("lo", "node", (F.col("common") * 100 >= union * percent).alias("linked"), (1 - F.col("common") / union).alias("far"))
-    return near.unionByName(apart)
-
-
-def _links(keys: DataFrame, nodes: DataFrame, sets_of, percent: int) -> DataFrame:
+                                  F.bit_xor(F.xxhash64("node")).alias("who"), F.min("tab").alias("tab")).where("n > 1")
+    return met.groupBy("lo", "hi", "n", "who").agg(F.min_by("key", "tab").alias("key"))
+
+
+def _can_link(a: str, b: str, percent: int) -> Column:
+    """Whether two nodes may be linked, by what is known without their sets: sizes n, shingles m that others have too, parities.
+
+    All bounds are exact, so a pair that fails has no link.
+    """
+    apart = sum((F.bit_count(F.get(f"bits{a}", F.lit(k)).bitwiseXOR(F.get(f"bits{b}", F.lit(k)))) for k in range(16)), F.lit(0))
+    both = F.col(f"n{a}") + F.col(f"n{b}")
+    common = F.least(f"m{a}", f"m{b}", F.floor((both - apart) / 2))
+    return common * 100 >= (both - common) * percent
+
+
+def _profile(sets: DataFrame, suffix: str) -> DataFrame:
+    return sets.select(*[F.col(c).alias(f"{c}{suffix}") for c in ("node", "n", "m", "u", "bits")])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those (lo, node) of ``pairs`` that are linked, by their full sets."""
+    both = pairs.join(sets.select(F.col("node").alias("lo"), F.col("n").alias("na"), F.col("held").alias("ha")), "lo").join(
+        sets.select("node", F.col("n").alias("nb"), F.col("held").alias("hb")), "node")
+    common = F.size(F.array_intersect("ha", "hb")).cast("long")
+    return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("lo", "node")
+
+
+def _with_shared(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets with the number m of their shingles that some other node has, without the other shingles.
+
+    A node whose own shingles are too many to be linked with anything is left out.
+    """
+    alone = sets.select("node", F.explode("held").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("node"))
+    alone = alone.where("k = 1").groupBy("node").agg(F.collect_list("s").alias("own"))
+    rows = sets.join(alone, "node", "left").withColumn("own", F.coalesce("own", F.array().cast("array<bigint>")))
+    rows = rows.withColumn("m", F.col("n") - F.size("own")).where(F.col("m") * 100 >= F.col("n") * percent)
+    return rows.select("node", "n", "u", "m", "bits", F.array_except("held", "own").alias("held"))
+
+
+def _crossed(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows (key, tab, node) of ``a`` and (key, node) of ``b`` with one key that may be linked, each in its first table only."""
+    left = a.join(_profile(sets, "_a"), F.col("node") == F.col("node_a")).drop("node")
+    right = b.select("key", "node").join(_profile(sets, "_b"), F.col("node") == F.col("node_b")).drop("node")
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") != F.col("node_b")) & _can_link("_a", "_b", percent))
+    return met.where(_first_table(F.col("u_a"), F.col("u_b")) == F.col("tab")).select(
+        F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("node"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows whose bucket holds more than one component."""
+    keys = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
+    return rows.join(keys, "key", "left_semi")
+
+
+def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    roots = components(links)
+    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _links(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     """Links between the nodes that share a key, enough of them for exact components.
 
-    In each bucket all nodes meet its least one. Those linked with it are one component. A node that isn't goes on to
-    a smaller bucket with the others like it, and meets a linked one only if the triangle inequality of the
-    Jaccard distance leaves a link possible: far(node) - far(linked) <= 1 - threshold. So no link between
-    components is lost, and a group of copies costs a row for each copy.
+    In each bucket all nodes meet its least one, and components are formed. Nodes outside that one's component then
+    meet those inside it and, in later rounds, the 32 least nodes of what is left of the bucket, until no
+    bucket holds more than one component or has pairs to meet. Pairs inside a component need no look; a pair meets
+    in the first table that it shares; only pairs that exact bounds don't rule out fetch their sets. So no link between
+    components is lost, and a group of copies costs one row for each copy.
     """
+    keys = nodes.select("node", F.posexplode(_tensored(F.col("u"))).alias("tab", "key"))
     buckets = stored(_spread(keys), "buckets")
-    # a bucket of two is a pair by itself; larger ones fetch their nodes
-    pairs = buckets.where("n = 2").select("lo", F.col("hi").alias("node"))
-    rows = keys.join(buckets.where("n > 2").select("key", "lo"), "key").where("node != lo").select("key", "lo", "node")
-    rows = stored(rows, "members")
-    ids = pairs.select("node").union(pairs.select("lo")).union(rows.select("node")).union(rows.select("lo")).distinct()
-    sets = sets_of(ids)
-    links = None
-    slack = 1 - percent / 100 + 1e-9
+    rows = stored(keys.join(buckets.select("key", "lo"), "key"), "members")
+    sets = stored(_with_shared(sets_of(rows.select("node").distinct()), percent), "shared")
+    edges = rows.where("node != lo").select("lo", "node").distinct()
+    edges = edges.join(_profile(sets, "_a"), F.col("lo") == F.col("node_a")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b"))
+    links = stored(_confirmed(edges.where(_can_link("_a", "_b", percent)).select("lo", "node"), sets, percent), "links")
+    rows = rows.join(sets.select("node"), "node", "left_semi")
+    rows = stored(_several(_rooted(rows, links)), "rest")
+    low = rows.where("node = lo").select("key", F.col("root").alias("low_root"))
+    rows = rows.join(low, "key", "left")
+    inside, outside = rows.where("root = low_root"), rows.where("low_root IS NULL OR root != low_root")
+    pairs = _crossed(inside.select("key", "tab", "node"), outside, sets, percent)
+    links = stored(links.union(_confirmed(pairs, sets, percent)), "links")
+    rest = outside.select("key", "tab", "node", "root")
     while True:
-        edges = pairs.select("lo", "node").union(rows.select("lo", "node")).distinct()
-        told = stored(_verified(edges, nodes, sets, percent), "edges")
-        found = told.where("linked").select("lo", "node")
-        links = found if links is None else links.union(found)
-        met = rows.join(told, ["lo", "node"])
-        out, near = met.where("not linked"), met.where("linked")
-        pairs = stored(near.select("key", F.col("node").alias("a"), F.col("far").alias("fa")).join(
-            out.select("key", F.col("node").alias("b"), F.col("far").alias("fb")), "key").where(F.col("fb") - F.col("fa") <= slack).select(
-            F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("node")).distinct(), "pairs")
-        rest = out.select("key", "node")
-        rows = stored(rest.join(_spread(rest).select("key", "lo"), "key").where("node != lo").select("key", "lo", "node"), "members")
-        if rows.isEmpty() and pairs.isEmpty():
+        rest = _several(_rooted(rest, links))
+        rest = stored(rest.join(_spread(rest).select("key"), "key", "left_semi"), "rest")
+        if rest.isEmpty():
             return links
+        at = F.row_number().over(Window.partitionBy("key").orderBy("node"))
+        pivots = stored(rest.withColumn("at", at).where(F.col("at") <= PIVOTS).drop("at"), "pivots")
+        pairs = _crossed(pivots.select("key", "tab", "node"), rest, sets, percent).distinct()
+        links = stored(links.union(_confirmed(pairs, sets, percent)), "links")
+        rest = rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
 
 
 def components(links: DataFrame, a: str = "lo", b: str = "node") -> DataFrame:
@@ -196,13 +259,12 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
                    .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = stored(nodes.join(wanted, "node", "left_semi").select("mark", "id", "node"), "wanted")
+        ids = stored(nodes.join(wanted, "node", "left_semi").select("mark", "id", "node", "n", "u"), "wanted")
         texts = docs.join(ids.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         held = texts.select(_shingles(words)("t").alias("s")).select("s.*")
-        return stored(held.join(ids, "mark").dropDuplicates(["node"]).select("node", "held"), "sets")
+        return stored(held.join(ids, "mark").dropDuplicates(["node"]).select("node", "n", "u", "bits", "held"), "sets")
 
-    keys = nodes.select("node", F.explode(_tensored(F.col("u"))).alias("key"))
-    roots = components(_links(keys, nodes.select("node", "n"), sets_of, percent))
+    roots = components(_links(nodes, sets_of, percent))
     rooted = nodes.select("mark", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = rooted.groupBy("root").agg(F.min("id").alias("component"))
     by_mark = rooted.join(named, "root").select("mark", "component")
