@@ -114,7 +114,7 @@ def held_out(doc_id: str = "doc_id"):
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs.where(~held_out()), table(spark, sf_dir, "labels"))
-    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity.scorer(spark, model)(F.col("text")).alias("score"))
+    scored = toxicity.scores(docs, model).select("doc_id", held_out().alias("held_out"), "score")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 

@@ -205,3 +205,48 @@ def test_warc_files(spark, tmp_path):
     assert {r["record_id"]: bytes(r["payload"]) for r in captures.collect()} == {"r": b"<p>hello</p>", "v": b""}
     r = warc.resolve_revisits(captures).first()
     assert (r["outcome"], r["target_id"], r["headers"]) == ("resolved", "r", 'content-type: text/html\netag: "q"\nexpires: 9') and WORDS
+
+
+def test_toxicity_keeps_rare_words_and_pairs(spark, monkeypatch):
+    """Whatever fits the lists that go to the tasks: the scores are those of all words and pairs, counted by brute force."""
+    rows = [(k, prose(k, 12) + (f" odd{k} vile rat{k % 3}" if k % 4 == 0 else f" odd{k} calm rat{k % 3}")) for k in range(60)]
+    rows += [(100, "odd4 vile rat1 amber3 amber3"), (101, "rat0 unseen calm"), (102, ""), (103, None)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(60)], "doc_id bigint, toxic int")
+
+    def scores():
+        model = toxicity.train(docs, labels)
+        asked = docs.select("doc_id", "text")
+        return model, {r["doc_id"]: r["score"] for r in toxicity.scores(asked, model).collect()}
+    model, whole = scores()
+    count = {}
+    for k, t in rows[:60]:
+        w = t.split()
+        for x in {*w, *zip(w, w[1:])}:
+            count.setdefault(x, [0, 0])[k % 4 == 0] += 1
+    pairs = [x for x in count if isinstance(x, tuple)]
+    once, twice = (sum(sum(count[x]) == n for x in pairs) for n in (1, 2))
+    d = min(max(once / (once + 2 * twice), 0.5), 0.95)
+    nt, no = 15, 45
+    for k, t in rows:
+        w, x = (t or "").split(), []
+        ratios = [[], []]
+        for h, v in zip([None, *w], w):
+            if v not in count:
+                continue
+            shared = toxicity.BACKOFF * (1 + np.log1p(sum(p[1] == v for p in pairs))) / (nt + no)
+            o, a = (max(c - d, 0) / n + shared for c, n in zip(count[v], (no, nt)))
+            ratios[0].append(np.log(a / o))
+            if (h, v) in count:
+                back = toxicity.BACKOFF / (nt * a + no * o)
+                o, a = (max(c - d, 0) / n + back * p for c, n, p in zip(count[h, v], (no, nt), (o, a)))
+            ratios[1].append(np.log(a / o))
+        for r in map(np.array, ratios):
+            for tier in toxicity.TIERS:
+                total = r[np.abs(r) >= tier].sum() if len(r) else 0.0
+                x += [total / max(len(w), 1), total / max(len(w), 1) ** 0.5]
+        assert abs(whole[k] - 1 / (1 + np.exp(-model.scale[0] - np.dot(model.scale[1:], x)))) < 1e-5, k
+    for name in ("WORDS_MOST", "PAIRS_MOST"):
+        monkeypatch.setattr(toxicity, name, 8, raising=False)
+    few = scores()[1]
+    assert few.keys() == whole.keys() and all(abs(few[k] - whole[k]) < 1e-5 for k in whole)
