@@ -163,7 +163,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.with_matches(docs, table(spark, sf_dir, "benchmark"), "matches")
+    found = decontamination.with_matches(docs, table(spark, sf_dir, "benchmark"), "matches", verbatim=True)
     return found.select("doc_id", (F.size("matches") > 0).alias("contaminated"), F.array_join("matches.item", ",").alias("items"),
                         F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"), F.exists("matches", lambda m: m["exact"]).alias("exact"))
 

@@ -250,3 +250,17 @@ def test_toxicity_keeps_rare_words_and_pairs(spark, monkeypatch):
         monkeypatch.setattr(toxicity, name, 8, raising=False)
     few = scores()[1]
     assert few.keys() == whole.keys() and all(abs(few[k] - whole[k]) < 1e-5 for k in whole)
+
+
+def test_decontamination_names_anywhere_and_plain_copies(spark):
+    asked = "Anna has 5 apples in her bag. Anna gives 2 of them to a friend. Anna buys 3 more at the shop. Anna eats how many of them?"
+    plain = "A train leaves the town with 40 people and Anna counts 15 km before Anna finds 40 coins"
+    swapped = asked.replace("Anna", "Bertha").replace("5 ", "7 ")
+    rows = [(1, asked), (2, swapped), (3, swapped.replace("Bertha", "Mary Jane")), (4, plain.upper()), (5, plain.lower()), (6, plain.title()),
+            (7, "Well " + asked.replace(". ", ".\n")), (8, swapped.replace("Bertha gives", "Carla gives")), (9, prose(4, 300)), (10, prose(5, 300).title())]
+    bench = spark.createDataFrame([(1, asked), (2, plain)], "item_id bigint, text string")
+    found = decontamination.with_matches(documents(spark, rows), bench, "m", verbatim=True)
+    got = {r["doc_id"]: [x["item"] for x in r["m"]] for r in found.collect()}
+    assert got == {1: ["1"], 2: ["1"], 3: ["1"], 4: ["2"], 5: ["2"], 6: ["2"], 7: ["1"], 8: [], 9: [], 10: []}
+    kept = decontamination.decontaminate(documents(spark, rows), bench, verbatim=True)
+    assert {r["doc_id"] for r in kept.collect()} == {8, 9, 10}
