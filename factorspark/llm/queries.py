@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm import chat, decontamination, exact, html_text, language, neardup, packing, secret_scan, toxicity, warc
+from factorspark.llm import (chat, decontamination, exact, filter_audit, html_text, language, neardup, packing, quality, ranked_search, secret_scan,
+                             toxicity, warc)
 from factorspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -210,3 +211,79 @@ SELECT id AS record_id, u AS url_key, t AS revisit_at, outcome, target_id, targe
   CASE WHEN outcome IN ('resolved', 'unverified') THEN 'cache-control: max-age=3600' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t
     || chr(10) || 'etag: ' || coalesce(tag, old_tag) || chr(10) || 'last-modified: ' || coalesce(day, old_day) END AS headers
 FROM met"""
+
+
+@query
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    found = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
+    return found.select("doc_id", (~F.col("taught")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+FILTER_NAMES = "ABCDE"
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = filter_audit.failure_cells(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.interaction_audit(cells, FILTER_NAMES)
+
+
+ORACLES["op12_filter_audit"] = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS copy
+  FROM documents),
+marks AS (SELECT doc_id, coalesce(max(CAST(quality = 1 AS INT)), 0) AS good, coalesce(max(CAST(toxic = 1 AS INT)), 0) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+masks AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, copy AS e
+  FROM docs LEFT JOIN marks USING (doc_id)),
+cells AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask, count(*) AS n, sum(good) AS good,
+    sum(toxic) AS toxic FROM masks GROUP BY 1, 2),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS earlier FROM orders, range(1, 6) AS g(step)),
+parts AS (SELECT DISTINCT part FROM cells),
+counted AS (
+  SELECT p.part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (mask & (earlier | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (mask & bit > 0 AND mask & earlier > 0), 0) AS redundant, coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (mask & bit > 0 AND mask & earlier = 0), 0) AS toxic_lost
+  FROM parts p CROSS JOIN steps JOIN cells c ON c.part = p.part GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted"""
+
+
+@query
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op13_ranked_search"] = r"""
+WITH tok AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL),
+docs AS (SELECT row, doc_id, w, len(w) AS n FROM tok WHERE len(w) > 0),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM docs),
+terms AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(w) AS term FROM docs) GROUP BY 1, 2),
+items AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+holding AS (SELECT term, count(*) AS df FROM terms WHERE term IN (SELECT term FROM items) GROUP BY 1),
+gains AS (
+  SELECT row, term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT)
+    * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nd) // l))) AS gain
+  FROM terms JOIN holding USING (term) JOIN docs USING (row) CROSS JOIN total),
+scores AS (SELECT item_id, row, CAST(sum(gain) AS BIGINT) AS score FROM gains JOIN items USING (term) GROUP BY 1, 2),
+placed AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INT) AS rank, doc_id, score
+  FROM scores JOIN docs USING (row) WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 10"""
