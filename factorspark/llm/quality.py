@@ -22,6 +22,8 @@ SHAPES, HASHES = 8, 2048
 BUCKETS = SHAPES * HASHES
 #: Components of the vectors, how many of an index vector are not 0, and how far a context reaches on either side.
 WIDTH, NONZERO, REACH = 32, 4, 2
+#: Of a document: mean, deviation and step of each component.
+VECTOR = 3 * WIDTH
 #: Code points that are split into tokens at once, and tokens that are worked on at once.
 STEP, TOKENS = 1 << 20, 1 << 18
 #: At most so many different training documents of each label come to the driver, as pooled vectors.
@@ -139,17 +141,24 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(texts: pd.Series, vectors: np.ndarray) -> np.ndarray:
-    """For each text the mean and the standard deviation of its tokens' vectors; zeros without a token."""
-    sums, counts = np.zeros((len(texts), 2 * WIDTH)), np.zeros(len(texts))
+    """For each text the mean and the deviation of its tokens' vectors and the mean size of a step from one to the next, by component.
+
+    Zeros without a token. Steps tell a text that goes on from one that repeats a word or alternates with a sign.
+    """
+    sums, counts, ends = np.zeros((len(texts), VECTOR)), np.zeros(len(texts)), np.zeros(len(texts))
     for owners, found in _gathered(texts):
         v = vectors[np.concatenate(found)]
         sizes = np.array([len(x) for x in found])
-        starts = np.cumsum(sizes) - sizes
-        np.add.at(sums, owners, np.hstack([np.add.reduceat(x, starts, axis=0, dtype=np.float64) for x in (v, v * v)]))
+        last = np.cumsum(sizes) - 1
+        steps = np.zeros_like(v)
+        steps[:-1] = (v[1:] - v[:-1]) ** 2
+        steps[last] = 0                             # no step leaves a piece
+        np.add.at(sums, owners, np.hstack([np.add.reduceat(x, last + 1 - sizes, axis=0, dtype=np.float64) for x in (v, v * v, steps)]))
         np.add.at(counts, owners, sizes)
-    sums /= np.maximum(counts, 1)[:, None]
-    mean, square = sums[:, :WIDTH], sums[:, WIDTH:]
-    return np.hstack([mean, np.sqrt(np.maximum(square - mean ** 2, 0))]).astype(np.float32)
+        np.add.at(ends, owners, 1)
+    mean, square = (sums[:, k * WIDTH:(k + 1) * WIDTH] / np.maximum(counts, 1)[:, None] for k in range(2))
+    step = sums[:, 2 * WIDTH:] / np.maximum(counts - ends, 1)[:, None]
+    return np.hstack([mean, np.sqrt(np.maximum(square - mean ** 2, 0)), np.sqrt(step)]).astype(np.float32)
 
 
 @dataclass
@@ -248,7 +257,7 @@ def train(vectors: DataFrame, labels: DataFrame, taught: Column, doc_id: str = "
     rows = vectors.where(taught).join(marks, doc_id).select("y", "v").distinct()
     first = Window.partitionBy("y").orderBy(F.xxhash64("v"), "v")
     some = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ROWS_EACH).toPandas().sort_values(["y", "rank"])
-    x = np.array([np.frombuffer(v, np.float32) for v in some["v"]], np.float32).reshape(-1, 2 * WIDTH)
+    x = np.array([np.frombuffer(v, np.float32) for v in some["v"]], np.float32).reshape(-1, VECTOR)
     return fit(x, some["y"].to_numpy())
 
 
@@ -259,7 +268,7 @@ def scorer(spark, net: Network):
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vs in parts:
-            yield pd.Series(sent.value.scores(np.array([np.frombuffer(v, np.float32) for v in vs]).reshape(-1, 2 * WIDTH)))
+            yield pd.Series(sent.value.scores(np.array([np.frombuffer(v, np.float32) for v in vs]).reshape(-1, VECTOR)))
     return score
 
 
@@ -267,7 +276,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, taught: Column, doc_id: s
     """One row per document: doc_id, taught, score (0 to 1). ``taught`` tells by the id whose labels may be learned from.
 
     Word vectors come from all whole texts. Null or empty texts have the score of a vector of zeros; repeated rows and ties have equal
-    scores; a null id has no label; other columns are left alone. Texts are read twice; what is stored is 64 floats a document.
+    scores; a null id has no label; other columns are left alone. Texts are read twice; what is stored is 96 floats a document.
     """
     spark = docs.sparkSession
     pool = pooled_column(spark, word_vectors(docs, text))
