@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from factorspark.llm.common import small_batches, stored
 
-#: Runs of letters, of digits and of other signs, and line ends are tokens.
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
+#: Runs of letters and digits, runs of other signs, and line ends are tokens.
+TOKEN = re.compile(r"\w+|[^\w\s]+|\n")
 BLANK = re.compile(r"\s")
 #: A token's bucket: its shape, and a hash of it among so many. The table of word vectors has one row for each bucket.
 SHAPES, HASHES = 8, 2048
@@ -146,16 +146,13 @@ def pooled(texts: pd.Series, vectors: np.ndarray) -> np.ndarray:
     Zeros without a token. Steps tell a text that goes on from one that repeats a word or alternates with a sign.
     """
     sums, counts, ends = np.zeros((len(texts), VECTOR)), np.zeros(len(texts)), np.zeros(len(texts))
-    for owners, found in _gathered(texts):
-        v = vectors[np.concatenate(found)]
-        sizes = np.array([len(x) for x in found])
-        last = np.cumsum(sizes) - 1
-        steps = np.zeros_like(v)
-        steps[:-1] = (v[1:] - v[:-1]) ** 2
-        steps[last] = 0                             # no step leaves a piece
-        np.add.at(sums, owners, np.hstack([np.add.reduceat(x, last + 1 - sizes, axis=0, dtype=np.float64) for x in (v, v * v, steps)]))
-        np.add.at(counts, owners, sizes)
-        np.add.at(ends, owners, 1)
+    for k, text in enumerate(texts):
+        for piece in pieces(text):
+            v = vectors[piece]
+            step = v[1:] - v[:-1]
+            sums[k] += np.concatenate([np.ones(len(v), np.float32) @ v, *(np.einsum("ij,ij->j", x, x) for x in (v, step))])
+            counts[k] += len(v)
+            ends[k] += 1                            # no step leaves a piece
     mean, square = (sums[:, k * WIDTH:(k + 1) * WIDTH] / np.maximum(counts, 1)[:, None] for k in range(2))
     step = sums[:, 2 * WIDTH:] / np.maximum(counts - ends, 1)[:, None]
     return np.hstack([mean, np.sqrt(np.maximum(square - mean ** 2, 0)), np.sqrt(step)]).astype(np.float32)
