@@ -25,7 +25,9 @@ WIDTH, NONZERO, REACH = 32, 4, 2
 #: Of a document: mean, deviation and step of each component.
 VECTOR = 3 * WIDTH
 #: Code points that are split into tokens at once, and tokens that are worked on at once.
-STEP, TOKENS = 1 << 20, 1 << 18
+STEP, TOKENS = 1 << 20, 1 << 16
+#: Tokens that a worker remembers the buckets of.
+MEMO = 1 << 18
 #: At most so many different training documents of each label come to the driver, as pooled vectors.
 ROWS_EACH = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 64, 0.005, 1e-4
@@ -42,12 +44,12 @@ def _shape(token: str) -> int:
 
 
 class _Buckets(dict):
-    """Token -> bucket; a memo that is emptied at a million entries and doesn't keep long tokens."""
+    """Token -> bucket; a memo that is emptied at MEMO entries and doesn't keep long tokens."""
 
     def __missing__(self, token: str) -> int:
         found = _shape(token) * HASHES + xxhash.xxh3_64_intdigest(token.encode("utf-8", "surrogatepass")) % HASHES
         if len(token) <= 64:
-            if len(self) >= 1_000_000:
+            if len(self) >= MEMO:
                 self.clear()
             self[token] = found
         return found
@@ -248,12 +250,20 @@ def train(vectors: DataFrame, labels: DataFrame, taught: Column, doc_id: str = "
     """Fit on rows of ``vectors(doc_id, v)`` for which ``taught`` holds and whose id has one label, 0 or 1.
 
     Null or contradictory labels teach nothing; equal vectors of one label are one example. The sample is bounded: of each label the first
-    ROWS_EACH by a hash of the vector, all where there are fewer.
+    ROWS_EACH by a hash of the vector, all where there are fewer. They are ranked among those below a hash level that half as many again
+    are expected under, so that the one task of a label never gets more than that.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select(doc_id, "y")
     rows = vectors.where(taught).join(marks, doc_id).select("y", "v").distinct()
-    first = Window.partitionBy("y").orderBy(F.xxhash64("v"), "v")
-    some = rows.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ROWS_EACH).toPandas().sort_values(["y", "rank"])
+    rows = rows.withColumn("k", F.xxhash64("v"))
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}     # two rows
+    level = F.lit(2.0 ** 63)
+    for y, n in sizes.items():
+        if n > 2 * ROWS_EACH:
+            level = F.when(F.col("y") == y, 2.0 ** 63 * (3 * ROWS_EACH / n - 1)).otherwise(level)
+    first = Window.partitionBy("y").orderBy("k", "v")
+    some = rows.where(F.col("k").cast("double") <= level).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ROWS_EACH)
+    some = some.select("y", "v", "rank").toPandas().sort_values(["y", "rank"])
     x = np.array([np.frombuffer(v, np.float32) for v in some["v"]], np.float32).reshape(-1, VECTOR)
     return fit(x, some["y"].to_numpy())
 

@@ -271,6 +271,24 @@ def test_quality_on_odd_rows(spark):
     assert quality.quality_scores(d, m.limit(0), F.lit(True)).where("score = 0.5").count() == len(rows)
 
 
+def test_training_sample_is_bounded_by_distinct_vectors(spark, monkeypatch):
+    monkeypatch.setattr(quality, "ROWS_EACH", 40)
+    rng = np.random.default_rng(3)
+    same = np.ones(quality.VECTOR, np.float32)
+    rows = [(k, bytearray((same if k < 300 else rng.normal(size=quality.VECTOR).astype(np.float32)).tobytes())) for k in range(900)]
+    vectors = spark.createDataFrame(rows, "doc_id bigint, v binary")
+    labels = spark.createDataFrame([(k, int(k % 30 == 0)) for k in range(900)], "doc_id bigint, quality int")
+    taken = {}
+
+    def seen(x, y, seed=0):
+        taken.update(x=x, y=y)
+        return None
+    monkeypatch.setattr(quality, "fit", seen)
+    quality.train(vectors, labels, F.lit(True))
+    assert (taken["y"] == 0).sum() == 40 and (taken["y"] == 1).sum() == 21       # 20 of their own, one of the shared text
+    assert (taken["x"] == same).all(axis=1).sum() <= 2
+
+
 def test_quality_held_out_accuracy_and_fold(spark):
     sf = "/root/testdata/sf0.01"
     got = queries.op11_quality_classifier(spark, sf).toPandas()
