@@ -173,9 +173,14 @@ def tail_measures(bars: DataFrame) -> DataFrame:
     cut = dd.groupBy("symbol").agg(F.percentile("dd", F.lit(0.95)).alias("_cut"))
     cdar = (dd.join(cut, "symbol").where(F.col("dd") >= F.col("_cut"))
             .groupBy("symbol").agg(F.avg("dd").alias("cdar")))
-    return base.join(cdar, "symbol").select(
-        "symbol", "n_returns", "std_30", (F.col("_sd") * TRADING_DAYS ** 0.5).alias("volatility"),
-        F.abs(F.least(F.col("_mu") - 2.06 * F.col("_sd"), F.lit(0.0))).alias("cvar"), "cdar")
+    volatility, cvar = tail_columns()
+    return base.join(cdar, "symbol").select("symbol", "n_returns", "std_30", volatility, cvar, "cdar")
+
+
+def tail_columns() -> tuple[Column, Column]:
+    """Volatility and expected shortfall from the mean ``_mu`` and deviation ``_sd`` of daily returns."""
+    return ((F.col("_sd") * TRADING_DAYS ** 0.5).alias("volatility"),
+            F.abs(F.least(F.col("_mu") - 2.06 * F.col("_sd"), F.lit(0.0))).alias("cvar"))
 
 
 def beta_scores(bars: DataFrame, market: DataFrame) -> DataFrame:
@@ -187,11 +192,14 @@ def beta_scores(bars: DataFrame, market: DataFrame) -> DataFrame:
     st = r.join(m, "d").groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n_common"), F.covar_samp("ret", "mret").alias("_c"),
         F.var_pop("mret").alias("_v"))
-    beta = F.coalesce(F.try_divide(F.col("_c"), F.col("_v")), F.lit(1.0))
-    return st.withColumn("beta", beta).select(
-        "symbol", "n_common", "beta",
-        F.when(F.col("n_common") > 60, 1 - F.tanh(2 * F.greatest(F.col("beta") - 1, F.lit(0.0))))
-        .otherwise(1.0).alias("beta_score"))
+    beta, score = beta_columns()
+    return st.withColumn("beta", beta).select("symbol", "n_common", "beta", score.alias("beta_score"))
+
+
+def beta_columns() -> tuple[Column, Column]:
+    """Beta from ``_c`` and ``_v``, and its score from ``beta`` and ``n_common``."""
+    score = F.when(F.col("n_common") > 60, 1 - F.tanh(2 * F.greatest(F.col("beta") - 1, F.lit(0.0)))).otherwise(1.0)
+    return F.coalesce(F.try_divide(F.col("_c"), F.col("_v")), F.lit(1.0)), score
 
 
 def stability_factor(bars: DataFrame, market: DataFrame | None = None) -> DataFrame:
@@ -202,6 +210,11 @@ def stability_factor(bars: DataFrame, market: DataFrame | None = None) -> DataFr
     else:
         st = st.join(beta_scores(bars, market).select("symbol", "beta_score"), "symbol", "left").withColumn(
             "beta_score", F.coalesce("beta_score", F.lit(1.0)))
+    return with_stability(st)
+
+
+def with_stability(st: DataFrame) -> DataFrame:
+    """Score and penalty from ``volatility``, ``cvar``, ``cdar``, ``recovery`` and ``beta_score``."""
     score = (0.3 * (1 - F.tanh(2 * F.col("volatility")))
              + 0.3 * (1 - F.tanh(4 * F.greatest("cvar", "cdar")))
              + 0.2 * F.col("recovery") + 0.2 * F.col("beta_score"))

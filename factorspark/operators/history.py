@@ -21,16 +21,6 @@ FACTORS = ("value", "quality", "financial_health", "technical", "insider", "mome
            "liquidity", "carry", "growth")
 
 
-def up_to(rows: DataFrame, snapshots: DataFrame, date: str) -> DataFrame:
-    """The rows of a symbol that each of its snapshots could know: ``symbol`` becomes the snapshot's ``tag``.
-
-    ``snapshots(symbol, as_of, tag)``. A symbol has few snapshots, so this is an equality join with a date filter.
-    """
-    snaps = snapshots.select(F.col("symbol").alias("_s"), F.col("as_of").alias("_until"), "tag")
-    met = rows.join(snaps, F.col("symbol") == F.col("_s")).where(F.col(date) <= F.col("_until"))
-    return met.select(F.col("tag").alias("symbol"), *[c for c in rows.columns if c != "symbol"])
-
-
 def batch_scores(factors: DataFrame, periods: DataFrame, manual: str | None = None) -> DataFrame:
     """Ranked composite of every snapshot date whose regime is known: one plan for all dates.
 

@@ -133,27 +133,27 @@ def series_adx(df: DataFrame, x: str = "close", n: int = 14) -> DataFrame:
     return st.withColumn("adx", sma(F.col("_dx"), n, w)).drop("_hi", "_lo", "_up", "_dn", "_tr", "_dx")
 
 
-def true_adx(df: DataFrame, bars_back: int = 126, n: int = 14) -> DataFrame:
-    """Last ADX, +DI and -DI per symbol from high, low and close with Wilder smoothing."""
-    w = by_symbol()
-    sub = last_rows(df, bars_back, name="_rn")
+def true_adx(df: DataFrame, bars_back: int = 126, n: int = 14, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Last ADX, +DI and -DI per symbol (or ``keys``) from high, low and close with Wilder smoothing."""
+    w = by_symbol(keys)
+    sub = last_rows(df, bars_back, keys, name="_rn")
     pc, ph, pl = F.lag("close").over(w), F.lag("high").over(w), F.lag("low").over(w)
     up, down = F.col("high") - ph, pl - F.col("low")
     sub = sub.select(
-        "symbol", "d",
+        *keys, "d",
         F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - pc),
                    F.abs(F.col("low") - pc)).alias("_tr"),
         F.when((up > down) & (up > 0), up).otherwise(0.0).alias("_up"),
         F.when((down > up) & (down > 0), down).otherwise(0.0).alias("_dn"),
         pc.isNotNull().alias("_has")).where("_has")
     a = 1.0 / n
-    sm = ema(sub, {"_str": ("_tr", a), "_sup": ("_up", a), "_sdn": ("_dn", a)})
+    sm = ema(sub, {"_str": ("_tr", a), "_sup": ("_up", a), "_sdn": ("_dn", a)}, keys)
     sm = (sm.withColumn("plus_di", F.coalesce(100 * F.try_divide(F.col("_sup"), F.col("_str")), F.lit(0.0)))
           .withColumn("minus_di", F.coalesce(100 * F.try_divide(F.col("_sdn"), F.col("_str")), F.lit(0.0))))
     p, m = F.col("plus_di"), F.col("minus_di")
     sm = sm.withColumn("_dx", F.coalesce(100 * F.try_divide(F.abs(p - m), p + m), F.lit(0.0)))
-    sm = ema(sm, {"adx": ("_dx", a)})
-    return sm.groupBy("symbol").agg(
+    sm = ema(sm, {"adx": ("_dx", a)}, keys)
+    return sm.groupBy(*keys).agg(
         F.max_by("adx", "d").alias("adx"), F.max_by("plus_di", "d").alias("plus_di"),
         F.max_by("minus_di", "d").alias("minus_di"))
 
@@ -232,10 +232,15 @@ def price_profile(df: DataFrame, half_year: int = 126) -> DataFrame:
         F.min_by("close", "rn").alias("last_close"), first_in_year.alias("_first"),
         F.avg(F.when(n <= 50, c)).alias("_s50"), F.avg(F.when(n <= 200, c)).alias("_s200"),
         (-F.regr_slope(F.when(n <= half_year, c), n)).alias("_slope"))
+    return profile_facts(agg)
+
+
+def profile_facts(agg: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """The facts that follow from counts, the highest, last and first close of the year, the averages and the slope."""
     last = F.col("last_close")
     pct = F.try_divide(F.col("_s50"), F.col("_s200")) - 1
     return agg.select(
-        "symbol", "n_bars", "high_close", "last_close",
+        *keys, "n_bars", "high_close", "last_close",
         clip((F.try_divide(last, F.col("high_close")) - 0.70) / 0.25, 0, 1).alias("proximity"),
         F.try_divide(F.col("_slope"), last).alias("slope_share"),
         F.when(F.col("n_bars") >= 200, F.coalesce(sigmoid(20 * pct), F.lit(0.5))).alias("ma_score"),
@@ -269,7 +274,11 @@ def technical_score(df: DataFrame, profile: DataFrame | None = None) -> DataFram
 
     Keeps the profile's columns, so one call also yields the 12-month momentum.
     """
-    st = (price_profile(df) if profile is None else profile).join(true_adx(df), "symbol", "left")
+    return with_technical((price_profile(df) if profile is None else profile).join(true_adx(df), "symbol", "left"))
+
+
+def with_technical(st: DataFrame) -> DataFrame:
+    """The score from the facts of the profile and the ADX of the same row."""
     raw = (0.35 * F.col("proximity") + 0.40 * F.coalesce(_trend_score(), F.lit(0.0))
            + 0.25 * F.coalesce("ma_score", F.lit(0.5)))
     return st.withColumn("technical", F.when(F.col("n_bars") < 200, 0.0).otherwise(raw))
@@ -357,18 +366,24 @@ def recovery_times(df: DataFrame, min_drawdown: float = 0.05, near_peak: float =
     st = df.select("symbol", "d", "close", F.row_number().over(w).alias("i"),
                    F.max("close").over(w.rowsBetween(UNBOUNDED, 0)).alias("peak"),
                    F.count(F.lit(1)).over(Window.partitionBy("symbol")).alias("n"))
+    st = regained(st, near_peak).withColumn("dd", 1 - F.col("close") / F.col("peak"))
+    return st.where(F.col("dd") > min_drawdown).select(
+        "symbol", "d", "dd", (F.col("_back") - F.col("i")).alias("bars_to_recover"),
+        (F.col("i") <= F.col("n") - skip_last + 1).alias("counted"))
+
+
+def regained(st: DataFrame, near_peak: float = 0.99, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """``_back``: number of the first later bar that reaches ``near_peak`` of a bar's running peak. Rows (*keys, close, i, peak)."""
+    w = by_symbol(keys, ("i",))
     new_peak = F.coalesce(F.col("peak") > F.lag("peak").over(w), F.lit(True))
     st = st.withColumn("_new", new_peak)
     st = st.withColumn("_plateau", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(UNBOUNDED, 0)))
-    later = Window.partitionBy("symbol").orderBy(F.desc("i")).rowsBetween(UNBOUNDED, -1)
-    later_in = Window.partitionBy("symbol", "_plateau").orderBy(F.desc("i")).rowsBetween(UNBOUNDED, -1)
+    later = Window.partitionBy(*keys).orderBy(F.desc("i")).rowsBetween(UNBOUNDED, -1)
+    later_in = Window.partitionBy(*keys, "_plateau").orderBy(F.desc("i")).rowsBetween(UNBOUNDED, -1)
     back = F.coalesce(
         F.min(F.when(F.col("close") >= near_peak * F.col("peak"), F.col("i"))).over(later_in),
         F.min(F.when(F.col("_new"), F.col("i"))).over(later))
-    st = st.withColumn("_back", back).withColumn("dd", 1 - F.col("close") / F.col("peak"))
-    return st.where(F.col("dd") > min_drawdown).select(
-        "symbol", "d", "dd", (F.col("_back") - F.col("i")).alias("bars_to_recover"),
-        (F.col("i") <= F.col("n") - skip_last + 1).alias("counted"))
+    return st.withColumn("_back", back).drop("_new", "_plateau")
 
 
 def recovery_score(df: DataFrame) -> DataFrame:
@@ -380,8 +395,12 @@ def recovery_score(df: DataFrame) -> DataFrame:
         F.sum(F.when(used, F.col("dd") * F.col("bars_to_recover"))).alias("_wt"),
         F.count(F.lit(1)).alias("deep_bars"))
     mean = F.try_divide(F.col("_wt"), F.col("_w"))
-    score = (F.when(F.col("n_bars") < 126, 0.5).when(F.col("deep_bars").isNull(), 0.8)
-             .when(F.col("_w").isNull(), 0.3).otherwise(clip(1 - (mean - 10) / 50, 0, 1)))
-    return n.join(agg, "symbol", "left").select(
-        "symbol", "n_bars", F.coalesce("deep_bars", F.lit(0)).alias("deep_bars"),
-        mean.alias("mean_bars_to_recover"), score.alias("recovery"))
+    st = n.join(agg, "symbol", "left").withColumns({"deep_bars": F.coalesce("deep_bars", F.lit(0)), "mean_bars_to_recover": mean})
+    return st.select("symbol", "n_bars", "deep_bars", "mean_bars_to_recover", recovery_column().alias("recovery"))
+
+
+def recovery_column() -> Column:
+    """From ``n_bars``, ``deep_bars`` and ``mean_bars_to_recover`` (null: none of the deep bars recovered)."""
+    mean = F.col("mean_bars_to_recover")
+    return (F.when(F.col("n_bars") < 126, 0.5).when(F.col("deep_bars") == 0, 0.8)
+            .when(mean.isNull(), 0.3).otherwise(clip(1 - (mean - 10) / 50, 0, 1)))

@@ -203,17 +203,15 @@ def _known(name: str, date: str) -> str:
 
 HISTORY_TAIL = (RANK_SQL[-1].replace("gst AS (SELECT sector, regime,", "gst AS (SELECT sector, as_of, regime,")
                 .replace("FROM g2 GROUP BY 1, 2)", "FROM g2 GROUP BY 1, 2, 3)").replace("USING (sector, regime))", "USING (sector, as_of, regime))")
-                .replace("SELECT fs.symbol, fs.regime, fs.sector,", "SELECT fs.symbol, fs.as_of, fs.regime, fs.sector,")
-                .replace("coalesce(technical, 0) AS score", "coalesce(technical, 0) + w_insider * coalesce(insider, 0) AS score")
-                .replace("JOIN fw ON fw.regime = fs.regime)", "LEFT JOIN ix ON ix.symbol = fs.symbol JOIN fw ON fw.regime = fs.regime)"))
+                .replace("SELECT fs.symbol, fs.regime, fs.sector,", "SELECT fs.symbol, fs.as_of, fs.regime, fs.sector,"))
 BATCH_SQL = (
     f"hdays AS ({with_(*LABEL_SQL, GAP_SQL, o.FUNDAMENTALS, PERIOD_SQL, body='SELECT d, regime FROM hd')})",
     _base(o.FUNDAMENTALS, "fund"), f"snap AS (SELECT symbol AS s0, as_of, {TAG} AS tag FROM fund0)",
     f"fund AS (SELECT {TAG} AS symbol, * EXCLUDE (symbol) FROM fund0)", _base(o.bars(), "bars"), _known("bars", "d"),
     _base(o.ESTIMATES, "est"), f"est AS (SELECT {TAG} AS symbol, * EXCLUDE (symbol) FROM est0)", _base(o.SURPRISES, "sur"), _known("sur", "d"),
     _base(o.dividends("supplier"), "divs"), _known("divs", "ex_date"), MOM_SQL, EARN_SQL[2], MOMENTUM_SQL, *TECH_SQL, *STAB_SQL, CARRY_SQL[1],
-    TH_SQL, FUND_SCORES, EST_PIVOT, FW_SQL, o.INSIDER, INS_SQL,
-    f"ix AS (SELECT {TAG} AS symbol, CASE WHEN tot > 0 THEN least(greatest(raw, -1), 1) ELSE 0 END AS insider FROM i3)", HISTORY_TAIL, """
+    TH_SQL, FUND_SCORES, EST_PIVOT, FW_SQL, _base(o.INSIDER, "ins"), f"ins AS (SELECT symbol || '@' || year(d) || '-12-31' AS symbol, * EXCLUDE (symbol) FROM ins0)", INS_SQL,
+    HISTORY_TAIL, """
 sc AS (SELECT tot.regime, as_of, split_part(symbol, '@', 1) AS symbol, round(score, 6) AS score FROM tot JOIN hdays ON hdays.d = as_of AND hdays.regime = tot.regime)""")
 
 

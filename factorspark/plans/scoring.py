@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from factorspark.functions import scores as sc
 from factorspark.functions.exprs import add_weighted_means, day_text, r6
 from factorspark.functions.regime_tables import FACTOR_WEIGHTS, QUALITY_WEIGHTS, REGIMES, THRESHOLDS, VALUE_WEIGHTS
+from factorspark.operators import asof
 from factorspark.operators import factors as fa
 from factorspark.operators import flow as fl
-from factorspark.operators import history as hs
 from factorspark.operators import indicators as ind
 from factorspark.operators.selection import full_rank
 from factorspark.plans import oracle_ctes as o
@@ -19,6 +19,7 @@ from factorspark.plans.registry import query
 from factorspark.plans.technical import MOM_SQL, RECOVERY_SQL, TECH_SQL, r
 from factorspark.session import shared, shared_by
 from factorspark.sources import adapters as ad
+from factorspark.sources import lattice as lt
 
 AS_OF = "strftime(as_of, '%Y-%m-%d') AS as_of"
 
@@ -326,7 +327,8 @@ def stability_factor(spark, sf):
 
 # The ranking uses every factor the driver tables can feed, for the latest yearly snapshot.
 RANK_SQL = (o.bars(), MOM_SQL, *EARN_SQL, MOMENTUM_SQL, *TECH_SQL, *STAB_SQL, o.FUNDAMENTALS, *CARRY_SQL, TH_SQL, FUND_SCORES,
-            EST_PIVOT, FW_SQL, f"""
+            EST_PIVOT, FW_SQL, o.INSIDER, INS_SQL, f"""
+ix AS (SELECT symbol, as_of, CASE WHEN tot > 0 THEN least(greatest(raw, -1), 1) ELSE 0 END AS insider FROM i3),
 ls AS (SELECT symbol, max(as_of) AS as_of FROM fund GROUP BY 1),
 g2 AS (SELECT symbol, as_of, regime, sector, {GROWTH_E} AS growth FROM fund JOIN ls USING (symbol, as_of)
   LEFT JOIN ep USING (symbol, as_of) CROSS JOIN th),
@@ -336,53 +338,62 @@ gn AS (SELECT symbol, regime, 1 / (1 + exp(-least(greatest((growth - mu) / CASE
 tot AS (SELECT fs.symbol, fs.regime, fs.sector,
   w_value * value + w_quality * quality + w_financial_health * financial_health + w_stability * coalesce(stability, 0)
   + w_liquidity * ({LIQ_E}) + w_size * ({SIZE_E}) + w_growth * gn.growth + w_carry * coalesce(ca.carry, 0)
-  + w_momentum * coalesce(0.6 * price_part + 0.4 * earnings_part, 0) + w_technical * coalesce(technical, 0) AS score
+  + w_momentum * coalesce(0.6 * price_part + 0.4 * earnings_part, 0) + w_technical * coalesce(technical, 0) + w_insider * coalesce(insider, 0) AS score
   FROM (SELECT fs.* FROM fs JOIN ls USING (symbol, as_of)) fs
   LEFT JOIN sb USING (symbol) LEFT JOIN tech USING (symbol) JOIN gn USING (symbol, regime)
   LEFT JOIN (SELECT symbol, as_of, carry FROM ca) ca ON ca.symbol = fs.symbol AND ca.as_of = fs.as_of
   LEFT JOIN (SELECT symbol, as_of, price_part, earnings_part FROM ms) ms ON ms.symbol = fs.symbol AND ms.as_of = fs.as_of
-  JOIN fw ON fw.regime = fs.regime)""")
+  LEFT JOIN ix ON ix.symbol = fs.symbol AND ix.as_of = fs.as_of JOIN fw ON fw.regime = fs.regime)""")
 
 
-def factors_of(fund, bars, mkt, estimates, surprises, dividends, groups=("sector", "regime")):
-    """Snapshots (one per symbol) with their factor columns, one row per regime; option flow and insiders are joined by the caller."""
-    prices = ind.technical_score(bars).select("symbol", "technical", "momentum_12m")
-    st = (fund.join(fa.pivot_estimates(estimates), ["symbol", "as_of"], "left")
-          .join(fa.dividend_history(dividends), "symbol", "left")
-          .withColumn("carry", sc.carry_score(F.col("dividend_yield"), F.col("payout_ratio"),
-                                              F.col("dividend_cagr"), F.col("streak")))
+def factors_of(fund, states, estimates, groups=("sector", "regime")):
+    """Snapshots with their factor columns, one row per regime; option flow and insiders are joined by the caller.
+
+    ``states`` has one row for each snapshot with what is known from its history (``asof``).
+    """
+    key = ["symbol", "as_of"]
+    st = fund.join(fa.pivot_estimates(estimates), key, "left").join(states, key, "left")
+    revision = F.try_divide(F.col("q0_avg") - F.coalesce("q0_d90", "q0_avg"), F.abs(F.coalesce("q0_d90", F.lit(1.0))))
+    earnings = 0.5 * revision + 0.5 * F.col("mean_surprise") / 100
+    momentum = sc.momentum_score(sc.price_momentum_score(F.col("momentum_12m")), sc.earnings_momentum_score(earnings))
+    st = (st.withColumn("momentum", F.when(F.col("n_bars") > 0, momentum))
+          .withColumn("carry", sc.carry_score(F.col("dividend_yield"), F.col("payout_ratio"), F.col("dividend_cagr"), F.col("streak")))
           .withColumn("size", sc.size_score(F.col("market_cap"), F.col("price")))
-          .withColumn("liquidity", sc.liquidity_score())
-          .join(_momentum(prices, estimates, surprises).select("symbol", "as_of", "technical", "momentum"),
-                ["symbol", "as_of"], "left")
-          .join(fa.stability_factor(bars, mkt).select("symbol", "stability"), "symbol", "left"))
+          .withColumn("liquidity", sc.liquidity_score()))
     scored = add_weighted_means(fa.fundamental_scores(fa.for_each_regime(st)), {"growth_raw": sc.growth_parts()})
     return fa.sector_relative(scored, "growth_raw", list(groups), "growth")
 
 
+def snapshot_factors(spark, sf, latest: bool):
+    """Snapshots of the suppliers with all factors: the latest of each with all its history, or every one as of its date.
+
+    The lines are scanned once for the cells and once more, joined to their orders, for the insiders. The suppliers have no listed
+    options: that factor is neutral.
+    """
+    cells = lt.supplier_cells(spark, sf)
+    fund = lt.fundamentals(cells, spark, sf)
+    if latest:
+        newest = Window.partitionBy("symbol").orderBy(F.desc("as_of"))
+        fund = fund.withColumn("_rn", F.row_number().over(newest)).where("_rn = 1").drop("_rn")
+    fund = shared(fund)
+    snaps = asof.with_until(fund, F.lit("9999-12-31").cast("date") if latest else None)
+    told = asof.last_known([(asof.dividend_states(lt.dividends(cells)), "ex_date", ["dividend_cagr", "streak"]),
+                            (asof.surprise_states(lt.surprises(cells)), "d", ["mean_surprise"])], snaps)
+    states = asof.bar_states(lt.bars(cells), lt.market_bars(cells), snaps).join(told, ["symbol", "as_of"], "left")
+    tx = ad.insider(spark, sf).withColumn("as_of", F.make_date(F.year("d"), F.lit(12), F.lit(31)))
+    bought = fa.insider_scores(tx, ["symbol", "as_of"], F.col("as_of")).select("symbol", "as_of", "insider")
+    fund = fund.withColumn("options_flow", F.lit(0.0)).join(bought, ["symbol", "as_of"], "left")
+    return factors_of(fund, states, lt.estimates(cells), ("sector", "regime") if latest else ("sector", "as_of", "regime"))
+
+
 def factor_table(spark, sf):
     """Latest snapshot of every symbol with all factor columns, one row per regime."""
-    fund = ad.fundamentals(spark, sf)
-    w = Window.partitionBy("symbol").orderBy(F.desc("as_of"))
-    latest = fund.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    latest = latest.withColumn("options_flow", F.lit(0.0)).withColumn("insider", F.lit(0.0))
-    return factors_of(latest, daily_bars(spark, sf), ad.bars(spark, sf, "market"), ad.estimates(spark, sf),
-                      ad.surprises(spark, sf), ad.dividends(spark, sf, "supplier"))
+    return snapshot_factors(spark, sf, True)
 
 
 def factor_history(spark, sf):
-    """Every snapshot with the factors of what was known at its date. The suppliers have no listed options: that factor is neutral."""
-    tag = F.concat_ws("@", "symbol", F.date_format("as_of", "yyyy-MM-dd"))
-    fund = ad.fundamentals(spark, sf)
-    snaps = shared(fund.select("symbol", "as_of", tag.alias("tag")))
-    tx = ad.insider(spark, sf).withColumn("as_of", F.make_date(F.year("d"), F.lit(12), F.lit(31)))
-    seen = fa.insider_scores(tx, ["symbol", "as_of"], F.col("as_of")).select(tag.alias("symbol"), "insider")
-    bars = shared(hs.up_to(ad.bars(spark, sf), snaps, "d"))
-    out = factors_of(
-        fund.withColumn("symbol", tag).withColumn("options_flow", F.lit(0.0)).join(seen, "symbol", "left"), bars, ad.bars(spark, sf, "market"),
-        ad.estimates(spark, sf).withColumn("symbol", tag), hs.up_to(ad.surprises(spark, sf), snaps, "d"),
-        hs.up_to(ad.dividends(spark, sf, "supplier"), snaps, "ex_date"), ("sector", "as_of", "regime"))
-    return out.withColumn("symbol", F.substring_index("symbol", "@", 1))
+    """Every snapshot with the factors of what was known at its date, one row per regime."""
+    return snapshot_factors(spark, sf, False)
 
 
 @query("regime_factor_ranking", with_(*RANK_SQL, body=f"""

@@ -82,6 +82,11 @@ def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.avg(disc).alias("avg_disc"), F.avg(tax).alias("avg_tax"),
         F.avg(qty).alias("avg_qty"), F.count(F.lit(1)).alias("n_lines"),
         (F.sum(ext) / F.sum(qty)).alias("price"))
+    return company_snapshots(agg, spark, sf_dir)
+
+
+def company_snapshots(agg: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Yearly totals by ``(l_suppkey, yr)`` as company snapshots with their attributes."""
     sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     nat = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     reg = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
@@ -129,12 +134,15 @@ def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.year("l_shipdate").alias("yr"), F.quarter("l_shipdate").alias("qr"))
     agg = li.groupBy("l_suppkey", "yr", "qr").agg(
         F.avg("l_discount").alias("ad"), F.avg("l_tax").alias("at"))
+    return quarterly_estimates(agg.withColumn("symbol", F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))))
+
+
+def quarterly_estimates(agg: DataFrame) -> DataFrame:
+    """Quarterly means ``(symbol, yr, qr, ad, at)`` as the estimates of their year."""
     period = (F.when(F.col("qr") == 1, "0q").when(F.col("qr") == 2, "+1q")
               .when(F.col("qr") == 3, "0y").otherwise("+1y"))
     return agg.select(
-        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("symbol"),
-        F.make_date(F.col("yr"), F.lit(12), F.lit(31)).alias("as_of"),
-        period.alias("period"),
+        "symbol", F.make_date(F.col("yr"), F.lit(12), F.lit(31)).alias("as_of"), period.alias("period"),
         F.struct((F.col("ad") * 100).alias("avg"), (F.col("at") * 120).alias("d30"),
                  (F.col("ad") * 90 + 1).alias("d60"), (F.col("at") * 125).alias("d90")
                  ).alias("earnings"),
