@@ -250,20 +250,24 @@ def train(vectors: DataFrame, labels: DataFrame, taught: Column, doc_id: str = "
     """Fit on rows of ``vectors(doc_id, v)`` for which ``taught`` holds and whose id has one label, 0 or 1.
 
     Null or contradictory labels teach nothing; equal vectors of one label are one example. The sample is bounded: of each label the first
-    ROWS_EACH by a hash of the vector, all where there are fewer. They are ranked among those below a hash level that half as many again
-    are expected under, so that the one task of a label never gets more than that.
+    ROWS_EACH by a hash of the vector, all where there are fewer. Labels are joined to ids and hashes; the vectors of the sample are
+    looked up by its hashes, of which there are at most 2 ROWS_EACH. Hashes are ranked below a level that half as many again as
+    needed are expected under, so that the one task of a label never gets more than that.
     """
     marks = labels.where(F.col(label).isin(0, 1)).groupBy(doc_id).agg(F.min(label).alias("y"), F.max(label).alias("y2")).where("y = y2").select(doc_id, "y")
-    rows = vectors.where(taught).join(marks, doc_id).select("y", "v").distinct()
-    rows = rows.withColumn("k", F.xxhash64("v"))
+    hashed = vectors.where(taught).select(doc_id, F.xxhash64("v").alias("k"), "v")
+    rows = hashed.select(doc_id, "k").join(marks, doc_id).select("y", "k").distinct()
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}     # two rows
     level = F.lit(2.0 ** 63)
     for y, n in sizes.items():
         if n > 2 * ROWS_EACH:
             level = F.when(F.col("y") == y, 2.0 ** 63 * (3 * ROWS_EACH / n - 1)).otherwise(level)
-    first = Window.partitionBy("y").orderBy("k", "v")
+    first = Window.partitionBy("y").orderBy("k")
     some = rows.where(F.col("k").cast("double") <= level).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ROWS_EACH)
-    some = some.select("y", "v", "rank").toPandas().sort_values(["y", "rank"])
+    some = some.select("y", "k").toPandas()
+    wanted = vectors.sparkSession.createDataFrame(pd.DataFrame({"k": some["k"].unique().astype(np.int64)}), "k long")
+    found = hashed.join(F.broadcast(wanted), "k").groupBy("k").agg(F.first("v").alias("v")).toPandas()
+    some = some.merge(found, on="k").sort_values(["y", "k"])
     x = np.array([np.frombuffer(v, np.float32) for v in some["v"]], np.float32).reshape(-1, VECTOR)
     return fit(x, some["y"].to_numpy())
 
