@@ -27,7 +27,7 @@ VECTOR = 3 * WIDTH
 #: Code points that are split into tokens at once, and tokens that are worked on at once.
 STEP, TOKENS = 1 << 20, 1 << 16
 #: Tokens that a worker remembers the buckets of.
-MEMO = 1 << 18
+MEMO = 1 << 16
 #: At most so many different training documents of each label come to the driver, as pooled vectors.
 ROWS_EACH = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 64, 0.005, 1e-4
@@ -152,7 +152,7 @@ def pooled(texts: pd.Series, vectors: np.ndarray) -> np.ndarray:
         for piece in pieces(text):
             v = vectors[piece]
             step = v[1:] - v[:-1]
-            sums[k] += np.concatenate([np.ones(len(v), np.float32) @ v, *(np.einsum("ij,ij->j", x, x) for x in (v, step))])
+            sums[k] += np.concatenate([v.sum(axis=0), *(np.einsum("ij,ij->j", x, x) for x in (v, step))])
             counts[k] += len(v)
             ends[k] += 1                            # no step leaves a piece
     mean, square = (sums[:, k * WIDTH:(k + 1) * WIDTH] / np.maximum(counts, 1)[:, None] for k in range(2))
