@@ -36,11 +36,15 @@ def price_panel(closes: DataFrame, members: DataFrame, lookbacks: tuple[int, ...
 def shrunk_cov(x: np.ndarray) -> np.ndarray:
     """Covariance shrunk to a scaled identity (Ledoit and Wolf 2004)."""
     x = x - x.mean(axis=0)
-    n, p = x.shape
-    s = x.T @ x / n
+    return shrink(x.T @ x / len(x), float(((x ** 2).T @ (x ** 2)).sum()), len(x))
+
+
+def shrink(s: np.ndarray, fourth: float, n: int) -> np.ndarray:
+    """The shrunk form of a covariance ``s`` of n rows; ``fourth`` sums the products of squares over all pairs and rows."""
+    p = len(s)
     mu = np.trace(s) / p
     d2 = ((s - mu * np.eye(p)) ** 2).sum()
-    b2 = min((((x ** 2).T @ (x ** 2)) / n - s ** 2).sum() / n, d2)
+    b2 = min((fourth / n - (s ** 2).sum()) / n, d2)
     rho = 0.0 if d2 <= 0 or b2 <= 0 else b2 / d2
     return (1 - rho) * s + rho * mu * np.eye(p)
 
@@ -56,29 +60,48 @@ def correlation(x: np.ndarray, ranks: bool) -> np.ndarray:
 
 
 def ward_tree(corr: np.ndarray) -> list[tuple[int, int]]:
-    """Ward merges on sqrt((1-corr)/2); each pair lists the smaller cluster number first."""
+    """Ward merges on sqrt((1-corr)/2); each pair lists the smaller cluster number first.
+
+    A chain of nearest neighbours grows until two are nearest to each other; these are merged and the distances to the new cluster follow
+    from the old ones. Every step costs a row of the matrix, the tree n^2. Sorted by height, the merges are those of always joining the
+    closest pair.
+    """
     n = len(corr)
-    dist2 = {}
-    base = np.clip(0.5 * (1 - corr), 0, 1)
-    for a in range(n):
-        for b in range(a + 1, n):
-            dist2[a, b] = base[a, b]
-    size = {k: 1 for k in range(n)}
-    merges = []
-    for new in range(n, 2 * n - 1):
-        a, b = min(dist2, key=lambda p: (dist2[p], p))
+    far = np.inf
+    dist2 = np.clip(0.5 * (1 - corr), 0, 1).astype(float)
+    np.fill_diagonal(dist2, far)
+    size, height = np.ones(n), np.zeros(n)
+    slot = list(range(n))                           # a row of the matrix -> its cluster
+    found: list[tuple[float, int, int]] = []        # (height, cluster, cluster); merge k makes cluster n + k
+    alive = np.ones(n, bool)
+    chain: list[int] = []
+    while len(found) < n - 1:
+        if not chain:
+            chain.append(int(np.argmax(alive)))
+        x = chain[-1]
+        y = int(np.argmin(dist2[x]))
+        if len(chain) > 1 and dist2[x, chain[-2]] <= dist2[x, y]:
+            y = chain[-2]
+        if len(chain) < 2 or y != chain[-2]:
+            chain.append(y)
+            continue
+        del chain[-2:]
+        a, b = min(x, y), max(x, y)
         gap = dist2[a, b]
-        for c in size:
-            if c in (a, b):
-                continue
-            da = dist2.pop((min(a, c), max(a, c)))
-            db = dist2.pop((min(b, c), max(b, c)))
-            total = size[a] + size[b] + size[c]
-            dist2[c, new] = ((size[a] + size[c]) * da + (size[b] + size[c]) * db - size[c] * gap) / total
-        del dist2[a, b]
-        size[new] = size.pop(a) + size.pop(b)
-        merges.append((a, b))
-    return merges
+        height[a] = max(gap, height[a], height[b])
+        found.append((height[a], slot[a], slot[b]))
+        total = size[a] + size[b] + size
+        row = ((size[a] + size) * dist2[a] + (size[b] + size) * dist2[b] - size * gap) / total
+        alive[b] = False
+        row[~alive] = far
+        row[a] = far
+        dist2[a], dist2[:, a] = row, row
+        dist2[b], dist2[:, b] = far, far
+        size[a] += size[b]
+        slot[a] = n + len(found) - 1
+    order = sorted(range(n - 1), key=lambda k: found[k][0])
+    number = {k: k for k in range(n)} | {n + k: n + at for at, k in enumerate(order)}
+    return [tuple(sorted((number[found[k][1]], number[found[k][2]]))) for k in order]
 
 
 def leaf_order(merges: list[tuple[int, int]]) -> list[int]:
@@ -146,17 +169,24 @@ def solve_weights(x: np.ndarray, method: str) -> np.ndarray:
     and inverse-volatility clusters; ``mhrp_vol`` multiplies by inverse volatility at the end.
     ``nco``: at most five clusters, minimum variance inside, inverse variance across.
     """
-    out = np.zeros(x.shape[1])
     if len(x) < 2:
         return np.full(x.shape[1], 1.0 / x.shape[1])
-    keep = np.nonzero(x.std(axis=0, ddof=1) > 1e-10)[0]
+    c = x - x.mean(axis=0)
+    return weights_of_moments(c.T @ c / len(x), correlation(x, ranks=method != "hrp"), float(((c ** 2).T @ (c ** 2)).sum()), len(x), method)
+
+
+def weights_of_moments(s: np.ndarray, corr: np.ndarray, fourth: float, n: int, method: str) -> np.ndarray:
+    """The weights from the moments of n rows: covariance (divided by n), correlation that the method asks for, and sum of fourth moments."""
+    out = np.zeros(len(s))
+    keep = np.nonzero(np.sqrt(np.diag(s) * n / max(n - 1, 1)) > 1e-10)[0]
     if len(keep) < 2:
         if len(keep) == 1:
             out[keep] = 1.0
         return out
-    x = x[:, keep]
-    cov = shrunk_cov(x)
-    merges = ward_tree(correlation(x, ranks=method != "hrp"))
+    cov = shrink(s[np.ix_(keep, keep)], fourth, n)
+    corr = corr[np.ix_(keep, keep)].copy()
+    np.fill_diagonal(corr, 1.0)
+    merges = ward_tree(corr)
     if method == "nco":
         w = _cluster_weights(cov, merges)
     else:

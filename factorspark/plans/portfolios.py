@@ -336,15 +336,6 @@ def walk_forward_summary(spark, sf):
     return out.select("portfolio", *[r6(c) for c in ("in_sharpe", "out_sharpe", "in_volatility", "out_volatility", "sharpe_degradation")])
 
 
-@query("portfolio_grid_backtest")
-def portfolio_grid_backtest(spark, sf):
-    """Every basket and look-back (252, 504, 756) in one job, drift rebalanced."""
-    p = brand_panel(spark, sf, (252, 504, 756))
-    runs = bt.backtest(p, bt.drift_weights(p, 800), 800)
-    return rk.performance(runs.where("i > 800"), al.KEYS).select("portfolio", "lookback", "n_days", r6("volatility"), r6("sharpe"),
-                                                                 r6("max_drawdown"))
-
-
 @query("rebalance_suggestions", with_(*PANEL_SQL, WM_SQL, """
 lp AS (SELECT symbol, arg_max(close, d) AS price FROM bars GROUP BY 1),
 ho AS (SELECT portfolio, symbol, (CAST(substr(symbol, 2) AS INTEGER) + 1) * 10.0 AS shares FROM mem),
