@@ -85,6 +85,34 @@ def ema(df: DataFrame, specs: dict[str, tuple[str, float]], keys: Sequence[str]
     return out.drop("_i", "_blk", "_pos", *[f"_l_{n}" for n in specs])
 
 
+def decayed_mean(df: DataFrame, x: str, at: str, alpha: float, out: str, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Weighted mean of the values so far, with weights ``(1 - alpha) ** distance``; null values have none, yet distance runs on.
+
+    ``at`` is a whole-number position, unique in a key. Positions are cut into blocks of B with ``(1 - alpha) ** B = 1e-20``: sums of
+    numerator and denominator run inside a block, rescaled to its start, and the block before is added as its last sums left it. At a
+    row with a value the denominator is 1 at least, so what lies further back is below double precision. Rows without a value
+    keep the mean of the last one: both sums decay alike.
+    """
+    q = F.lit(1.0 - alpha)
+    size = max(2, math.ceil(46.0 / -math.log(1.0 - alpha)))
+    keys = list(keys)
+    out_rows = df.withColumns({"_blk": F.floor(F.col(at) / size), "_pos": F.pmod(F.col(at), F.lit(size)).cast("double")})
+    own = F.col(x).isNotNull()
+    inner = Window.partitionBy(*keys, "_blk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    grow = F.when(own, F.pow(q, -F.col("_pos")))
+    out_rows = out_rows.withColumns({"_num": F.sum(grow * F.col(x)).over(inner), "_den": F.sum(grow).over(inner)})
+    # the sums of a block are scaled to its first position; a block earlier that is B positions
+    before = Window.partitionBy(*keys).orderBy("_blk").rangeBetween(-1, -1)
+    last = F.max_by(F.struct("_num", "_den"), at).over(before)
+    carried = F.pow(q, F.lit(float(size)))
+    out_rows = out_rows.withColumn("_last", last)
+    num = F.col("_num") + F.coalesce(F.col("_last._num"), F.lit(0.0)) * carried
+    den = F.col("_den") + F.coalesce(F.col("_last._den"), F.lit(0.0)) * carried
+    run = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    out_rows = out_rows.withColumn("_mean", F.when(own, num / den))
+    return out_rows.withColumn(out, F.last("_mean", ignorenulls=True).over(run)).drop("_blk", "_pos", "_num", "_den", "_last", "_mean")
+
+
 def span_alpha(n: float) -> float:
     return 2.0 / (n + 1.0)
 

@@ -2,21 +2,23 @@
 
 A state (count, sum, maximum, mean, deviation, covariance, ...) is carried along a symbol's rows in date order; snapshots stand
 among the rows as markers and read the state they meet. The work is that of the history plus that of the snapshots, however many
-there are. Only two measures restart at each snapshot by their definition, the ADX and the drawdown at risk: for these a marker
-gets its last 252 bars, so their work is bounded by 252 rows a snapshot.
+there are. Only two measures restart at each snapshot by their definition, the ADX and the drawdown at risk: for these (and for what looks back a year at most) a
+marker gets its last 252 bars as one small array, so their work is bounded by 252 bars a snapshot.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.windows import by_symbol, simple_return
 from factorspark.operators.factors import beta_columns, tail_columns, with_stability
-from factorspark.operators.indicators import TRADING_DAYS, profile_facts, recovery_column, regained, true_adx, with_technical
-from factorspark.session import shared
+from factorspark.operators.indicators import TRADING_DAYS, profile_facts, recovery_column, regained, with_technical
+from factorspark.session import settled
 
 RUNNING = (Window.unboundedPreceding, 0)
 HALF_YEAR = 126
@@ -79,81 +81,134 @@ def bar_states(bars: DataFrame, market: DataFrame, snapshots: DataFrame) -> Data
     """``(symbol, as_of, n_bars, technical, momentum_12m, stability)`` of each snapshot, nulls before a symbol's first bar.
 
     ``bars(symbol, d, high, low, close)`` unique on symbol and date, ``market(d, close)`` one row a day, ``snapshots(symbol, as_of,
-    until)`` unique on symbol and as_of. Bars and markers are exchanged and stored once, by symbol and date.
+    until)`` unique on symbol and as_of. Bars and markers are exchanged and stored once, by symbol; everything else happens in place.
     """
     day = market.select(F.lit("MKT").alias("symbol"), "d", "close")
     day = day.select("d", simple_return(F.col("close"), by_symbol()).alias("mret"))     # one row a day, as many as the calendar has
     rows = bars.select("symbol", "d", "high", "low", "close").join(day, "d", "left")
-    upto = _series().rowsBetween(*RUNNING)
-    # pos: number of bars so far; mark: number of markers so far. The one exchange is that of this window
-    series = shared(_marked(rows, snapshots, "d").withColumns({
-        "pos": F.sum(F.col("_bar").cast("long")).over(upto), "mark": F.sum((~F.col("_bar")).cast("long")).over(upto)}))
-    own = Window.partitionBy("symbol", "_bar").orderBy("_d", "_mark")       # bars among bars
-    states = _running_states(series, own)
-    latest = _restarted(series, own)
-    st = states.join(latest, ["symbol", "as_of"], "left")
-    st = with_stability(with_technical(st).withColumn("recovery", recovery_column()))
+    upto, is_bar = _series().rowsBetween(*RUNNING), F.col("_bar")
+    # i: number of bars so far; mark: number of markers so far
+    series = _marked(rows, snapshots, "d").withColumns({
+        "i": F.sum(is_bar.cast("long")).over(upto), "mark": F.sum((~is_bar).cast("long")).over(upto), "peak": F.max("close").over(upto),
+        "_prior": F.last("close", ignorenulls=True).over(_series().rowsBetween(Window.unboundedPreceding, -1))})
+    ret = F.when(is_bar, F.try_divide("close", "_prior") - 1)
+    series = settled(series.withColumns({"ret": ret, "dd": F.when(is_bar, 1 - F.col("close") / F.col("peak"))}).drop("_prior"))
+    marks = series.where("NOT _bar").select("symbol", F.col("_mark").alias("as_of"), "mark")
+    st = marks.join(_sums(series), ["symbol", "mark"], "left").join(_recoveries(series), ["symbol", "mark"], "left").join(_recent(series), ["symbol", "mark"], "left")
+    st = st.fillna(0, ["n_bars", "deep_bars", "n_common"])
+    beta, score = beta_columns()
+    volatility, cvar = tail_columns()
+    st = st.withColumn("beta", beta).withColumn("beta_score", score).select("*", volatility, cvar)
+    kept = [c for c in st.columns if c not in ("n_bars", "high_close", "last_close", "_first", "_s50", "_s200", "_slope")]
+    st = with_stability(with_technical(profile_facts(st, kept)).withColumn("recovery", recovery_column()))
     known = F.col("n_bars") > 0
     return st.select("symbol", "as_of", "n_bars", *[F.when(known, F.col(c)).alias(c) for c in ("technical", "momentum_12m", "stability")])
 
 
-def _running_states(series: DataFrame, own) -> DataFrame:
-    """The facts of the profile, the tail, the beta and the recovery at each marker."""
-    upto, c, i = own.rowsBetween(*RUNNING), F.col("close"), F.col("pos")
-    st = series.withColumn("_ret", F.when(F.col("_bar"), simple_return(c, own)))
-    both = F.col("_ret").isNotNull() & F.col("mret").isNotNull()
-    st = st.withColumns({
-        "peak": F.max(c).over(upto), "_sum": F.sum(c).over(upto), "_isum": F.sum(c * i).over(upto),
-        "_first": F.coalesce(F.lag(c, TRADING_DAYS - 1).over(own), F.first(c).over(upto)),
-        "_mu": F.avg("_ret").over(upto), "_sd": F.stddev_samp("_ret").over(upto),
-        "n_common": F.count(F.when(both, 1)).over(upto),
-        "_c": F.covar_samp(F.when(both, F.col("_ret")), F.when(both, F.col("mret"))).over(upto),
-        "_v": F.var_pop(F.when(both, F.col("mret"))).over(upto)})
-
-    def before(name: str, n: int) -> Column:
-        return F.coalesce(F.lag(name, n).over(own), F.lit(0.0))
-    st = st.withColumns({f"_{n}": F.col("_sum") - before("_sum", n) for n in (50, HALF_YEAR, 200)})
-    k = F.least(i, F.lit(HALF_YEAR)).cast("double")
-    # the half year's line by its sums, positions counted from the last bar
-    moment = F.col("_isum") - before("_isum", HALF_YEAR) - (i - (k - 1) / 2) * F.col(f"_{HALF_YEAR}")
-    facts = F.struct(
-        i.alias("n_bars"), F.col("peak").alias("high_close"), c.alias("last_close"), F.col("_first"),
-        (F.col("_50") / F.least(i, F.lit(50))).alias("_s50"), (F.col("_200") / F.least(i, F.lit(200))).alias("_s200"),
-        F.when(k > 1, moment / (k * (k * k - 1) / 12)).alias("_slope"), "_mu", "_sd", "n_common", "_c", "_v")
-    st = regained(st.withColumns({"facts": F.when(F.col("_bar"), facts), "dd": 1 - c / F.col("peak"), "i": i}), keys=("symbol", "_bar"))
-    # a deep bar counts once 19 bars have followed, with its time to recover once it has: a place further on in the series
-    deep, nothing = F.col("dd") > 0.05, F.lit(None).cast("double")
-    here = F.struct(i.alias("at"), F.when(F.col("_bar"), 0).otherwise(2).alias("kind"), "facts", F.coalesce(deep, F.lit(False)).cast("int").alias("deep"),
-                    nothing.alias("w"), nothing.alias("wt"))
-    later = F.when(deep & F.col("_back").isNotNull(), F.struct(
-        F.greatest("_back", i + 19).alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(st.schema["facts"].dataType).alias("facts"),
-        F.lit(0).alias("deep"), F.col("dd").alias("w"), (F.col("dd") * (F.col("_back") - i)).alias("wt")))
-    rows = st.select("symbol", F.col("_mark").alias("as_of"), F.inline(F.array_compact(F.array(here, later))))
-    line = Window.partitionBy("symbol").orderBy("at", "kind", "as_of").rowsBetween(*RUNNING)
-    out = rows.select(
-        "symbol", "as_of", "kind", F.last("facts", ignorenulls=True).over(line).alias("facts"), F.sum("deep").over(line).alias("deep_bars"),
-        F.sum("w").over(line).alias("_w"), F.sum("wt").over(line).alias("_wt")).where("kind = 2")
-    out = out.select("symbol", "as_of", "deep_bars", F.try_divide("_wt", "_w").alias("mean_bars_to_recover"), "facts.*")
-    kept = ["symbol", "as_of", "deep_bars", "mean_bars_to_recover", "_mu", "_sd", "n_common", "_c", "_v"]
-    beta, score = beta_columns()
-    volatility, cvar = tail_columns()
-    return (profile_facts(out, kept).withColumn("n_bars", F.coalesce("n_bars", F.lit(0))).withColumn("beta", beta)
-            .withColumn("beta_score", score).select("*", volatility, cvar).drop("_mu", "_sd", "_c", "_v", "beta", "n_common"))
+#: Bars deeper than this below their peak are to recover; a bar counts once so many more have followed.
+DEEP, FOLLOWED = 0.05, 19
 
 
-def _restarted(series: DataFrame, own) -> DataFrame:
-    """``(symbol, as_of, adx, plus_di, minus_di, cdar)`` from the last 252 bars of each marker.
+def _sums(series: DataFrame) -> DataFrame:
+    """``(symbol, mark, ...)``: counts, the highest close, and moments of the returns, of all bars before each marker.
+
+    Bars are first summed between one marker and the next, by a plain aggregate; the running sums then have a row for each marker only.
+    """
+    both = F.col("ret").isNotNull() & F.col("mret").isNotNull()
+    r, m = F.when(both, F.col("ret")), F.when(both, F.col("mret"))
+    sums = {"n_bars": F.lit(1), "deep_bars": (F.col("dd") > DEEP).cast("long"), "_n": F.col("ret").isNotNull().cast("long"), "_r": F.col("ret"),
+            "_rr": F.col("ret") ** 2, "n_common": both.cast("long"), "_cr": r, "_cm": m, "_crm": r * m, "_cmm": m * m}
+    parts = series.where("_bar").groupBy("symbol", "mark").agg(*[F.sum(x).alias(c) for c, x in sums.items()], F.max("close").alias("high_close"))
+    # the bars that follow marker k stand between it and marker k + 1
+    line = parts.select("symbol", (F.col("mark") + 1).alias("mark"), F.lit(False).alias("_is_mark"), *sums, "high_close").unionByName(
+        series.where("NOT _bar").select("symbol", "mark", F.lit(True).alias("_is_mark")), allowMissingColumns=True)
+    upto = Window.partitionBy("symbol").orderBy("mark", "_is_mark").rowsBetween(*RUNNING)
+    out = line.select("symbol", "mark", "_is_mark", *[F.sum(c).over(upto).alias(c) for c in sums], F.max("high_close").over(upto).alias("high_close")).where("_is_mark")
+    n, k = F.col("_n"), F.col("n_common")
+    var = F.when(n > 1, F.greatest((F.col("_rr") - F.col("_r") ** 2 / n) / (n - 1), F.lit(0.0)))
+    return out.select("symbol", "mark", "n_bars", "deep_bars", "high_close", "n_common", F.try_divide("_r", n).alias("_mu"), F.sqrt(var).alias("_sd"),
+                      F.when(k > 1, (F.col("_crm") - F.col("_cr") * F.col("_cm") / k) / (k - 1)).alias("_c"),
+                      F.when(k > 0, F.col("_cmm") / k - (F.col("_cm") / k) ** 2).alias("_v"))
+
+
+def _recoveries(series: DataFrame) -> DataFrame:
+    """``(symbol, mark, mean_bars_to_recover)``: of the deep bars that had recovered, and that enough bars had followed, by each marker.
+
+    When that is so is a place further on in the series, which doesn't depend on the marker.
+    """
+    st = regained(series.select("symbol", "_bar", "mark", "close", "peak", "i", "dd"), keys=("symbol", "_bar"))
+    away = F.col("_back") - F.col("i")
+    events = st.where(f"NOT _bar OR (dd > {DEEP} AND _back IS NOT NULL)").select(
+        "symbol", "_bar", "mark", F.when(F.col("_bar"), F.greatest("_back", F.col("i") + FOLLOWED)).otherwise(F.col("i")).alias("at"),
+        F.when(F.col("_bar"), F.col("dd")).alias("w"), F.when(F.col("_bar"), F.col("dd") * away).alias("wt"))
+    line = Window.partitionBy("symbol").orderBy("at", F.desc("_bar"), "mark").rowsBetween(*RUNNING)
+    return events.withColumns({"_w": F.sum("w").over(line), "_wt": F.sum("wt").over(line)}).where("NOT _bar").select(
+        "symbol", "mark", F.try_divide("_wt", "_w").alias("mean_bars_to_recover"))
+
+
+def _recent(series: DataFrame) -> DataFrame:
+    """What the last 252 bars of each marker tell: last and first close, averages, the half year's slope, ADX and drawdown at risk.
 
     A bar belongs to the markers from the next one to the last one before the bar 252 places on; both are counts that lie in the series.
     """
-    total = F.max("mark").over(Window.partitionBy("symbol"))
-    st = series.withColumns({"_to": F.coalesce(F.lead("mark", TRADING_DAYS).over(own), total)}).where("_bar AND _to > mark")
-    recent = st.select("symbol", F.col("_d").alias("d"), "high", "low", "close", F.explode(F.sequence(F.col("mark") + 1, F.col("_to"))).alias("mark"))
-    keys = ["symbol", "mark"]
-    w = by_symbol(keys)
-    fall = recent.select(*keys, (1 - F.col("close") / F.max("close").over(w.rowsBetween(*RUNNING))).alias("dd"))
-    cut = F.percentile("dd", F.lit(0.95)).over(Window.partitionBy(*keys))
-    cdar = fall.withColumn("_cut", cut).groupBy(*keys).agg(F.avg(F.when(F.col("dd") >= F.col("_cut"), F.col("dd"))).alias("cdar"))
-    marks = series.where("NOT _bar").select("symbol", F.col("_mark").alias("as_of"), "mark")
-    out = marks.join(true_adx(recent, HALF_YEAR, keys=keys), keys, "left").join(cdar, keys, "left")
-    return out.drop("mark")
+    own = Window.partitionBy("symbol", "_bar").orderBy("i", "mark")       # bars among bars
+    until = F.coalesce(F.lead("mark", TRADING_DAYS).over(own), F.max("mark").over(Window.partitionBy("symbol")))
+    st = series.select("symbol", "_bar", "mark", "i", "high", "low", "close", until.alias("_to")).where("_bar AND _to > mark")
+    recent = st.select("symbol", "i", "high", "low", "close", F.explode(F.sequence(F.col("mark") + 1, F.col("_to"))).alias("mark"))
+    year = recent.groupBy("symbol", "mark").agg(F.array_sort(F.collect_list(F.struct("i", "high", "low", "close"))).alias("_bars"))   # at most 252 in a list
+    parts = [F.col("_bars").getField(x) for x in ("high", "low", "close")]
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in RECENT))
+    def told(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for lists in batches:
+            yield recent_facts(*(_aligned(x) for x in lists))
+    return year.select("symbol", "mark", told(*parts).alias("f")).select("symbol", "mark", "f.*")
+
+
+RECENT = ("_first", "last_close", "_s50", "_s200", "_slope", "cdar", "adx", "plus_di", "minus_di")
+
+
+def _aligned(lists: pd.Series) -> np.ndarray:
+    """Lists of at most 252 numbers as rows that end together, NaN before their start."""
+    out = np.full((len(lists), TRADING_DAYS), np.nan)
+    for k, x in enumerate(lists):
+        out[k, TRADING_DAYS - len(x):] = x
+    return out
+
+
+def recent_facts(high: np.ndarray, low: np.ndarray, close: np.ndarray, n: int = 14) -> pd.DataFrame:
+    """The measures of ``RECENT`` for each row of bars, step by step along the columns and all rows at once; NaN becomes null."""
+    there = ~np.isnan(close)
+    size = there.sum(axis=1)
+    rows = np.arange(len(close))
+    out = {"_first": close[rows, TRADING_DAYS - np.maximum(size, 1)], "last_close": close[:, -1]}
+    for k in (50, 200):
+        out[f"_s{k}"] = np.nansum(close[:, -k:], axis=1) / np.maximum(np.minimum(size, k), 1)
+    k = np.minimum(size, HALF_YEAR).astype(float)
+    place = np.arange(HALF_YEAR) - (HALF_YEAR - 1) + (k[:, None] - 1) / 2
+    with np.errstate(invalid="ignore", divide="ignore"):
+        out["_slope"] = np.where(k > 1, np.nansum(place * close[:, -HALF_YEAR:], axis=1) / (k * (k * k - 1) / 12), np.nan)
+        fall = np.sort(1 - close / np.fmax.accumulate(close, axis=1), axis=1)       # NaN last
+        at = np.maximum(size - 1, 0) * 0.95
+        lo = np.floor(at).astype(int)
+        cut = fall[rows, lo] + (at - lo) * (fall[rows, np.minimum(lo + 1, np.maximum(size - 1, 0))] - fall[rows, lo])
+        worst = fall >= cut[:, None]
+        out["cdar"] = np.where(worst, fall, 0).sum(axis=1) / worst.sum(axis=1)
+        # the recursion of ``true_adx``, from the second of the last half year's bars on
+        a, state, steps = 1.0 / n, {x: np.zeros(len(close)) for x in ("tr", "up", "dn", "adx", "plus", "minus")}, np.zeros(len(close), int)
+        for j in range(TRADING_DAYS - HALF_YEAR + 1, TRADING_DAYS):
+            ok = there[:, j - 1]
+            up, down = high[:, j] - high[:, j - 1], low[:, j - 1] - low[:, j]
+            moves = {"tr": np.maximum.reduce([high[:, j] - low[:, j], np.abs(high[:, j] - close[:, j - 1]), np.abs(low[:, j] - close[:, j - 1])]),
+                     "up": np.where((up > down) & (up > 0), up, 0.0), "dn": np.where((down > up) & (down > 0), down, 0.0)}
+            new = {x: np.where(steps == 0, v, a * v + (1 - a) * state[x]) for x, v in moves.items()}
+            for side, x in (("plus", "up"), ("minus", "dn")):
+                new[side] = np.where(new["tr"] != 0, 100 * new[x] / new["tr"], 0.0)
+            both = new["plus"] + new["minus"]
+            dx = np.where(both != 0, 100 * np.abs(new["plus"] - new["minus"]) / both, 0.0)
+            new["adx"] = np.where(steps == 0, dx, a * dx + (1 - a) * state["adx"])
+            state = {x: np.where(ok, new[x], v) for x, v in state.items()}
+            steps += ok
+    for x, name in (("adx", "adx"), ("plus", "plus_di"), ("minus", "minus_di")):
+        out[name] = np.where(steps > 0, state[x], np.nan)
+    return pd.DataFrame(out)[list(RECENT)]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorspark.functions.windows import decayed_mean, span_alpha
+
 CONTRACT = r"^O:([A-Z0-9.]+?)(\d{6})([CP])(\d{8})$"   # fixed value: option symbol format
 
 # Session filters and event thresholds.
@@ -117,26 +118,8 @@ def relative_volume(flow: DataFrame) -> DataFrame:
 
 
 def weighted_score(flow: DataFrame, span: float = 3.0, out: str = "score_ema3") -> DataFrame:
-    """Exponentially weighted score that skips nulls but lets weights decay over them.
-
-    Terms older than 64 sessions weigh under 1e-19 at span 3, so a bounded frame is exact;
-    after a null the last value stands.
-    """
-    q = 1 - 2.0 / (span + 1.0)
-    depth = max(64, int(45 / -math.log(q)))
-    w = Window.partitionBy("symbol").orderBy("session_no")
-    frame = w.rangeBetween(-depth, 0)
-    has = F.col("score").isNotNull()
-    pairs = F.collect_list(F.struct(F.col("session_no").alias("i"), F.col("score").alias("x"))).over(frame)
-    st = flow.withColumn("_p", F.when(has, F.filter(pairs, lambda p: p["x"].isNotNull())))
-
-    def weight(i):
-        return F.pow(F.lit(q), (F.col("session_no") - i).cast("double"))
-    num = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + p["x"] * weight(p["i"]))
-    den = F.aggregate("_p", F.lit(0.0), lambda acc, p: acc + weight(p["i"]))
-    st = st.withColumn("_e", num / den)
-    return st.withColumn(out, F.last("_e", ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, 0))).drop("_p", "_e")
+    """Exponentially weighted score that skips nulls but lets weights decay over them; after a null the last value stands."""
+    return decayed_mean(flow, "score", "session_no", span_alpha(span), out)
 
 
 def oi_changes(flow: DataFrame, lags: Sequence[int] = (1, 5)) -> DataFrame:

@@ -1,21 +1,27 @@
 """Trade ledger: average-cost positions, held shares, dividends, values, profit tables.
 
-Orders inside a day are fixed by ``tx_seq``. A (portfolio, symbol) may own any share of all
-trades, so nothing here needs its whole history in one place: held shares come from
-day-level sums, and the average-cost recursion runs over blocks of bounded size.
+Orders inside a day are fixed by ``tx_seq``. A position (portfolio, symbol), and a day of it, may own any share of all
+trades: trades are dealt over sampled ranges of (position, day, tx_seq), and what a range needs of those before it is carried over
+as running sums and minima or as maps, one small row for each range of a position.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.session import checkpointed, shared
+from factorspark.session import checkpointed, settled
 
 EPS = 1e-9
 KEY = ["portfolio", "symbol"]
 BLOCK_ROWS = 50_000
 FAN = 512   # blocks composed at a time
+MAP_FAN = 4096
+MARGIN = 1e-6   # what rounding may add up to in the bounds of opening shares
 UNBOUNDED = Window.unboundedPreceding
 
 
@@ -29,22 +35,39 @@ def normalise(tx: DataFrame) -> DataFrame:
 
 # ---- held shares -----------------------------------------------------------------------
 
-def daily_shares(tx: DataFrame) -> DataFrame:
+def ranged(tx: DataFrame, rows_each: int = BLOCK_ROWS) -> DataFrame:
+    """Trades with the number ``rng`` of their range by (position, day, tx_seq), about ``rows_each`` rows each, written once.
+
+    The ranges of a position follow each other by number; one that owns most trades, or one day of it, just has many of them.
+    """
+    spark = tx.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tx.count() // rows_each))
+    # the number must not change between its uses, so it is written
+    return checkpointed(tx.repartitionByRange(n, *KEY, "d", "tx_seq").withColumn("rng", F.spark_partition_id()))
+
+
+def daily_shares(tx: DataFrame, rows_each: int = BLOCK_ROWS) -> DataFrame:
     """Shares held after each trading day; a sale never takes them below zero.
 
-    A walk that is stopped at zero equals the running sum minus its lowest value below zero.
-    Each day is first reduced to its net change and lowest point, then the days (bounded by
-    the calendar) are accumulated per position.
+    A walk that is stopped at zero equals the running sum minus its lowest value below zero. Both run inside a range of a position; the
+    sums and minima of the ranges before are added, so neither a position nor a day of it is ever sorted as a whole.
     """
     q = F.when(F.col("type") == "Buy", F.col("shares")).when(F.col("type") == "Sell", -F.col("shares"))
-    rows = tx.select(*KEY, "d", "tx_seq", q.alias("q")).where("q is not null")
-    inday = Window.partitionBy(*KEY, "d").orderBy("tx_seq").rowsBetween(UNBOUNDED, 0)
-    day = rows.withColumn("_run", F.sum("q").over(inday)).groupBy(*KEY, "d").agg(
-        F.sum("q").alias("net"), F.min("_run").alias("low"))
-    w = Window.partitionBy(*KEY).orderBy("d").rowsBetween(UNBOUNDED, 0)
-    day = day.withColumn("_sum", F.sum("net").over(w))
-    floor = F.least(F.min(F.col("_sum") - F.col("net") + F.col("low")).over(w), F.lit(0.0))
-    return day.withColumn("_floor", floor).select(*KEY, "d", "net", (F.col("_sum") - F.col("_floor")).alias("held"))
+    rows = ranged(tx.select(*KEY, "d", "tx_seq", q.alias("q")).where("q is not null"), rows_each)
+    own = Window.partitionBy(*KEY, "rng").orderBy("d", "tx_seq")
+    upto = own.rowsBetween(UNBOUNDED, 0)
+    rows = rows.select(*KEY, "rng", "d", "q", F.sum("q").over(upto).alias("_run"), F.lead("d").over(own).alias("_next")).withColumn(
+        "_low", F.min("_run").over(Window.partitionBy(*KEY, "rng").orderBy("d").rangeBetween(UNBOUNDED, 0)))
+    # of each day of a range: its net, and the sum and the minimum of the range when it ends
+    day = rows.groupBy(*KEY, "rng", "d").agg(F.sum("q").alias("net"), F.max(F.when(F.col("_next").isNull() | (F.col("_next") != F.col("d")), F.col("_run"))).alias(
+        "_run"), F.min("_low").alias("_low"))
+    whole = day.groupBy(*KEY, "rng").agg(F.max_by("_run", "d").alias("_sum"), F.min("_low").alias("_least"))
+    earlier = Window.partitionBy(*KEY).orderBy("rng").rowsBetween(UNBOUNDED, -1)
+    whole = whole.withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)))
+    whole = whole.withColumn("_floor", F.coalesce(F.min(F.col("_before") + F.col("_least")).over(earlier), F.lit(0.0)))
+    st = day.join(whole.select(*KEY, "rng", "_before", "_floor"), [*KEY, "rng"])
+    held = F.col("_before") + F.col("_run") - F.least(F.lit(0.0), F.col("_floor"), F.col("_before") + F.col("_low"))
+    return st.groupBy(*KEY, "d").agg(F.sum("net").alias("net"), F.max_by(held, "rng").alias("held"))
 
 
 def held_on(dates: DataFrame, tx: DataFrame, carry: str) -> DataFrame:
@@ -81,24 +104,14 @@ def daily_value(tx: DataFrame, closes: DataFrame) -> DataFrame:
 
 # ---- average cost ----------------------------------------------------------------------
 
-TX_FIELDS = ("d", "tx_seq", "type", "price", "shares", "commission")
+OP_FIELDS = ("type", "price", "shares", "commission")
 
 
 def _blocks(tx: DataFrame, block_rows: int) -> DataFrame:
-    """Trades as arrays of at most about ``block_rows`` in order, numbered per position.
-
-    Small days share a block; a day with more trades is cut by its row number.
-    """
-    per_day = tx.groupBy(*KEY, "d").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*KEY).orderBy("d").rowsBetween(UNBOUNDED, -1)
-    per_day = per_day.withColumn("_b", F.floor(F.coalesce(F.sum("_n").over(w), F.lit(0)) / block_rows))
-    st = tx.join(per_day.drop("_n"), [*KEY, "d"])
-    inday = Window.partitionBy(*KEY, "d").orderBy("tx_seq")
-    st = st.withColumn("_c", F.floor((F.row_number().over(inday) - 1) / block_rows))
-    blocks = st.groupBy(*KEY, "_b", "_c").agg(F.min("d").alias("_d"), F.array_sort(
-        F.collect_list(F.struct(*TX_FIELDS))).alias("ops"))
-    order = Window.partitionBy(*KEY).orderBy("_d", "_b", "_c")
-    return blocks.select(*KEY, F.row_number().over(order).alias("blk"), "ops")
+    """Trades of each range of a position as one array in order; ``blk`` numbers them."""
+    listed = F.array_sort(F.collect_list(F.struct("d", "tx_seq", F.struct(*OP_FIELDS).alias("op"))))
+    blocks = ranged(tx, block_rows).groupBy(*KEY, (F.col("rng") + 1).alias("blk")).agg(listed.alias("ops"))
+    return blocks.withColumn("ops", F.transform("ops", lambda o: o["op"]))
 
 
 def _is(o: Column, kind: str) -> Column:
@@ -151,25 +164,115 @@ def _walk_full(ops: Column, shares: Column, cost: Column) -> Column:
     return F.aggregate(ops, start, step)
 
 
+def share_map(moves: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
+    """What trades do to opening shares in (lo, hi]: ends of intervals, and what is added to the shares that start in each.
+
+    ``moves`` are bought (positive) or sold shares. A sale counts for those who hold something then, which cuts an interval at the
+    opening shares that are just used up.
+    """
+    lower, upper, shift = np.array([lo]), np.array([hi]), np.zeros(1)
+    for q in moves:
+        if q >= 0:
+            shift = shift + q
+            continue
+        edge = EPS - shift                          # who started above it still holds shares
+        cut = (lower < edge) & (edge < upper)
+        if cut.any():
+            at = np.flatnonzero(cut)
+            lower, upper = np.insert(lower, at + 1, edge[at]), np.insert(upper, at, edge[at])
+            shift, edge = np.insert(shift, at, shift[at]), np.insert(edge, at, edge[at])
+        shift = np.where(lower >= edge, shift + q, shift)
+        same = np.flatnonzero(shift[1:] == shift[:-1])
+        if len(same):
+            lower, upper, shift = np.delete(lower, same + 1), np.delete(upper, same), np.delete(shift, same)
+    return upper, shift
+
+
+def compose_maps(first: tuple[np.ndarray, np.ndarray], lo: float, then: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The map ``first`` (from ``lo`` on) followed by the map ``then``."""
+    ends, adds, lower = [], [], lo
+    for upper, shift in zip(*first):
+        cuts = then[0][:-1] - shift
+        inner = cuts[(cuts > lower) & (cuts < upper)]
+        for end in (*inner, upper):
+            ends.append(end)
+            adds.append(shift + then[1][_interval(then[0], (lower + end) / 2 + shift)])
+            lower = end
+    keep = [k for k in range(len(ends)) if k + 1 == len(ends) or adds[k] != adds[k + 1]]
+    return np.array(ends)[keep], np.array(adds)[keep]
+
+
+def _interval(ends: np.ndarray, s: float) -> int:
+    """The interval that ``s`` lies in; rounding may put it a little beyond either end."""
+    return min(int(np.searchsorted(ends, s, side="left")), len(ends) - 1)
+
+
 def _opening_shares(blocks: DataFrame) -> DataFrame:
-    """Shares at the start of every block.
+    """Shares at the start of every block: blocks as maps of opening shares, composed in a tree of two levels.
 
-    The start is guessed from the net of the earlier blocks, which is right unless a sale was
-    ignored. Each round walks all blocks in parallel from their guesses and hands every result
-    to the next block; it ends when no guess changed, and each round settles at least one
-    more block of every position, so it always ends with the exact starts.
+    A walk that is stopped at zero has a closed form, and the ledger's shares lie at most the largest earlier sale below it (a sale of
+    more than is held leaves a debt). So a block's map is needed on an interval of that length only. Where no sale of the block can
+    meet an empty position it is one interval; before the first sale it is one point.
     """
-    prev = Window.partitionBy(*KEY).orderBy("blk")
-    net = F.aggregate("ops", F.lit(0.0), lambda s, o: s + F.when(_is(o, "Buy"), o["shares"]).when(
-        _is(o, "Sell"), -o["shares"]).otherwise(0.0))
-    state = blocks.withColumn("_net", net).withColumn("s0", F.coalesce(
-        F.sum("_net").over(prev.rowsBetween(UNBOUNDED, -1)), F.lit(0.0))).select(*KEY, "blk", "s0")
-    while True:
-        ends = blocks.join(state, [*KEY, "blk"]).withColumn("_end", _walk_shares(F.col("ops"), F.col("s0")))
-        nxt = checkpointed(ends.select(*KEY, "blk", "s0", F.coalesce(F.lag("_end").over(prev), F.lit(0.0)).alias("_new")))
-        if nxt.where(F.abs(F.col("s0") - F.col("_new")) > EPS).isEmpty():
-            return nxt.select(*KEY, "blk", F.col("_new").alias("s0"))
-        state = nxt.select(*KEY, "blk", F.col("_new").alias("s0"))
+    def walk(acc, o):
+        q = F.when(_is(o, "Buy"), o["shares"]).when(_is(o, "Sell"), -o["shares"]).otherwise(0.0)
+        sells = _is(o, "Sell")
+        return F.struct((acc["net"] + q).alias("net"), F.least(acc["low"], acc["net"] + q).alias("low"),
+                        F.greatest(acc["big"], F.when(sells, o["shares"]).otherwise(0.0)).alias("big"),
+                        F.least(acc["at_sale"], F.when(sells, acc["net"]).otherwise(acc["at_sale"])).alias("at_sale"))
+    far = F.lit(float("inf"))
+    facts = F.aggregate("ops", F.struct(F.lit(0.0).alias("net"), F.lit(0.0).alias("low"), F.lit(0.0).alias("big"), far.alias("at_sale")), walk)
+    earlier = Window.partitionBy(*KEY).orderBy("blk").rowsBetween(UNBOUNDED, -1)
+    state = blocks.select(*KEY, "blk", facts.alias("f")).select(*KEY, "blk", "f.*")
+    state = state.withColumn("_before", F.coalesce(F.sum("net").over(earlier), F.lit(0.0)))
+    state = state.withColumns({"_floor": F.least(F.min(F.col("_before") + F.col("low")).over(earlier), F.lit(0.0)),
+                               "_debt": F.coalesce(F.max("big").over(earlier), F.lit(0.0))})
+    hi = F.col("_before") - F.coalesce("_floor", F.lit(0.0))
+    state = state.select(*KEY, "blk", "net", "at_sale", (hi + MARGIN).alias("hi"), (hi - F.col("_debt") - MARGIN).alias("lo"), (F.col("_debt") == 0).alias("exact"))
+    st = blocks.join(state, [*KEY, "blk"])
+    plain = F.col("lo") + F.col("at_sale") > EPS
+    moves = F.transform(F.filter("ops", lambda o: _is(o, "Buy") | _is(o, "Sell")), lambda o: F.when(_is(o, "Buy"), o["shares"]).otherwise(-o["shares"]))
+
+    @F.pandas_udf("upto array<double>, add array<double>")
+    def mapped(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for frames in parts:
+            out = [(None, None) if m is None else tuple(x.tolist() for x in share_map(np.asarray(m, float), lo, hi)) for m, lo, hi in zip(*frames)]
+            yield pd.DataFrame(out, columns=["upto", "add"])
+    point = F.col("hi") - MARGIN
+    shift = F.when(F.col("exact"), _walk_shares(F.col("ops"), point) - point).otherwise(F.col("net"))
+    simple = F.col("exact") | plain
+    st = st.select(*KEY, "blk", "lo", "hi", simple.alias("_simple"), F.when(simple, shift).alias("_shift"), F.when(~simple, moves).alias("_moves"))
+    st = st.withColumn("m", mapped("_moves", "lo", "hi"))
+    maps = settled(st.select(*KEY, "blk", F.floor(F.col("blk") / MAP_FAN).alias("grp"), "lo",
+                             F.when(F.col("_simple"), F.array("hi")).otherwise(F.col("m.upto")).alias("upto"),
+                             F.when(F.col("_simple"), F.array("_shift")).otherwise(F.col("m.add")).alias("add")))
+
+    def composed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("blk")
+        lo, whole = part["lo"].iloc[0], None
+        for upto, add in zip(part["upto"], part["add"]):
+            one = (np.asarray(upto), np.asarray(add))
+            whole = one if whole is None else compose_maps(whole, lo, one)
+        return pd.DataFrame([(key[0], key[1], key[2], whole[0].tolist(), whole[1].tolist())], columns=[*KEY, "grp", "upto", "add"])
+
+    def handed(part: pd.DataFrame, s: float) -> list[float]:
+        out = []
+        for upto, add in zip(part["upto"], part["add"]):
+            out.append(s)
+            s += add[_interval(np.asarray(upto), s)]
+        return out
+
+    def top(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("grp")
+        return pd.DataFrame({**dict(zip(KEY, key)), "grp": part["grp"], "s0": handed(part, 0.0)})
+
+    def down(key: tuple, part: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("blk")
+        return pd.DataFrame({**dict(zip(KEY, key)), "blk": part["blk"], "s0": handed(part, float(starts["s0"].iloc[0]))})
+    types = ", ".join(f"{c} {maps.schema[c].dataType.simpleString()}" for c in KEY)
+    groups = maps.groupBy(*KEY, "grp").applyInPandas(composed, f"{types}, grp long, upto array<double>, add array<double>")
+    starts = groups.groupBy(*KEY).applyInPandas(top, f"{types}, grp long, s0 double")
+    return maps.groupBy(*KEY, "grp").cogroup(starts.groupBy(*KEY, "grp")).applyInPandas(down, f"{types}, blk int, s0 double")
 
 
 def _opening_cost(maps: DataFrame, fan: int, levels: int = 3) -> DataFrame:
@@ -201,7 +304,7 @@ def _opening_cost(maps: DataFrame, fan: int, levels: int = 3) -> DataFrame:
 
 def positions(tx: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Average-cost result per position: shares, cost, realized profit, dividends, commissions."""
-    blocks = shared(_blocks(tx, block_rows))
+    blocks = settled(_blocks(tx, block_rows))
     opened = blocks.join(_opening_shares(blocks), [*KEY, "blk"])
     opened = opened.withColumn("m", _walk_cost(F.col("ops"), F.col("s0")))
     costs = _opening_cost(opened.select(*KEY, F.col("blk").cast("long").alias("blk"), "m.scale", "m.add"), fan)

@@ -7,13 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.session import shared
-
 TRADING_DAYS = 252
 Z = {95: -1.6448536269514722, 99: -2.3263478740408408}   # fixed values: normal quantiles at 5 and 1 percent
 UNBOUNDED = Window.unboundedPreceding
@@ -114,27 +110,56 @@ def drawdown_duration(series: DataFrame, keys: Sequence[str], r: str = "ret") ->
                       F.datediff(F.coalesce("recovered", "_end"), "peak_day").alias("duration_days"))
 
 
-def factor_attribution(series: DataFrame, factors: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Exposures, alpha, R2 and annual contributions of one return series to several factors.
+def solve_normal(df: DataFrame, k: int) -> DataFrame:
+    """Columns ``b0`` .. of the solution of ``_c{i}_{j} b = _y{i}`` (i >= j), by a Cholesky factor written as column expressions.
 
-    ``factors`` is wide on ``d``, at most ten columns. The fit is ``pyspark.ml``'s normal-equation
-    regression, one pass over the rows.
+    Each row is a system of its own, so any number of them is solved where they lie. An unknown whose column is (nearly) a combination
+    of earlier ones gets 0.
+    """
+    def c(name: str) -> Column:
+        return F.col(name)
+
+    def less(first: Column, parts: list[Column]) -> Column:
+        for p in parts:
+            first = first - p
+        return first
+    for j in range(k):
+        pivot = less(c(f"_c{j}_{j}"), [c(f"_l{j}_{m}") * c(f"_l{j}_{m}") for m in range(j)])
+        df = df.withColumn(f"_ok{j}", F.coalesce(pivot > 1e-12 * c(f"_c{j}_{j}"), F.lit(False))).withColumn(
+            f"_l{j}_{j}", F.when(c(f"_ok{j}"), F.sqrt(pivot)).otherwise(1.0))
+        below = {f"_l{i}_{j}": F.when(c(f"_ok{j}"), less(c(f"_c{i}_{j}"), [c(f"_l{i}_{m}") * c(f"_l{j}_{m}") for m in range(j)]) / c(f"_l{j}_{j}"))
+                 .otherwise(0.0) for i in range(j + 1, k)}
+        z = less(c(f"_y{j}"), [c(f"_l{j}_{m}") * c(f"_z{m}") for m in range(j)]) / c(f"_l{j}_{j}")
+        df = df.withColumns({**below, f"_z{j}": F.when(c(f"_ok{j}"), z).otherwise(0.0)})
+    for j in reversed(range(k)):
+        df = df.withColumn(f"b{j}", less(c(f"_z{j}"), [c(f"_l{i}_{j}") * c(f"b{i}") for i in range(j + 1, k)]) / c(f"_l{j}_{j}"))
+    return df
+
+
+def factor_attribution(series: DataFrame, factors: DataFrame, names: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """Exposures, alpha, R2 and annual contributions of each return series to several factors.
+
+    ``series(*keys, d, ret)``, ``factors`` wide on ``d``, at most ten columns. Days on which a value is missing don't count. All cross
+    moments of all series come from one aggregate; the normal equations of a series are solved in its row. A factor that is a combination of
+    earlier ones has exposure 0; a series without a common day has no row.
     """
-    joined = shared(series.select("d", "ret").join(factors.select("d", *names), "d").dropna())   # one row per day
-    data = VectorAssembler(inputCols=list(names), outputCol="features").transform(joined)
-    model = LinearRegression(featuresCol="features", labelCol="ret", solver="normal").fit(data)
-    beta = [float(b) for b in model.coefficients]
-    means = data.agg(F.avg("ret").alias("_y"), *[F.avg(c).alias(c) for c in names])
-    contributions = [F.col(c) * b * TRADING_DAYS for c, b in zip(names, beta)]
-    total = F.col("_y") * TRADING_DAYS
-    explained = None
-    for c in contributions:
-        explained = c if explained is None else explained + c
-    rows = F.array(*[F.struct(F.lit(n).alias("factor"), F.lit(b).alias("exposure"), c.alias("contribution"))
-                     for n, b, c in zip(names, beta, contributions)])
-    return means.select(F.lit(float(model.intercept) * TRADING_DAYS).alias("alpha"),
-                        F.lit(float(model.summary.r2)).alias("r2"), total.alias("total_return"),
-                        (total - explained).alias("residual_return"), F.inline(rows))
+    if not 1 <= len(names) <= 10:
+        raise ValueError("from one to ten factors")
+    keys, k = list(keys), len(names)
+    rows = series.select(*keys, "d", "ret").join(factors.select("d", *names), "d").dropna(subset=["ret", *names])
+    cross = [F.covar_pop(names[i], names[j]).alias(f"_c{i}_{j}") for i in range(k) for j in range(i + 1)]
+    st = rows.groupBy(*keys).agg(F.avg("ret").alias("_my"), F.var_pop("ret").alias("_yy"), *[F.avg(x).alias(f"_m{i}") for i, x in enumerate(names)],
+                                 *[F.covar_pop("ret", x).alias(f"_y{i}") for i, x in enumerate(names)], *cross)
+    st = solve_normal(st.where("_my IS NOT NULL"), k)
+
+    def total(of: str) -> Column:
+        parts = [F.col(f"b{i}") * F.col(f"{of}{i}") for i in range(k)]
+        return sum(parts[1:], parts[0])
+    residual = (F.col("_my") - total("_m")) * TRADING_DAYS
+    each = F.array(*[F.struct(F.lit(x).alias("factor"), F.col(f"b{i}").alias("exposure"), (F.col(f"b{i}") * F.col(f"_m{i}") * TRADING_DAYS).alias("contribution"))
+                     for i, x in enumerate(names)])
+    return st.select(*keys, residual.alias("alpha"), F.try_divide(total("_y"), F.col("_yy")).alias("r2"),
+                     (F.col("_my") * TRADING_DAYS).alias("total_return"), residual.alias("residual_return"), F.inline(each))
 
 
 def rebased(series: DataFrame, keys: Sequence[str], x: str = "value") -> DataFrame:

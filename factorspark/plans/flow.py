@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.exprs import day_text, r6
 from factorspark.operators import flow as fl
+from factorspark.operators.selection import full_rank
 from factorspark.plans import oracle_ctes as o
 from factorspark.plans.oracle_ctes import with_
 from factorspark.plans.registry import query
 from factorspark.plans.technical import DT, r
+from factorspark.plans.trends import STABLE_SQL, hist_sql, stability
 from factorspark.session import shared
 from factorspark.sources import adapters as ad
 
@@ -164,8 +165,9 @@ def open_interest_trends(spark, sf):
     return fl.oi_trends(numbered(spark, sf)).select("symbol", day_text(), r6("oi_rel"), "oi_trend")
 
 
-@query("flow_confluence_table", with_(*NUM_SQL, EMA3_SQL, OI_SQL, TREND_SQL, """
-stb AS (SELECT symbol, row_number() OVER (ORDER BY symbol DESC) AS stability_rank FROM un),
+@query("flow_confluence_table", with_(*NUM_SQL, EMA3_SQL, OI_SQL, TREND_SQL, *hist_sql("nation"), *(c.replace("sm AS", "stm AS").replace("JOIN sm ", "JOIN stm ")
+                                                                                                     for c in STABLE_SQL), """
+stb AS (SELECT symbol, row_number() OVER (ORDER BY round(adj, 9) DESC, symbol) AS stability_rank FROM stable),
 tgt AS (SELECT max(d) AS d FROM flow),
 nw AS (SELECT symbol, score AS flow_score, score_ema3, rvol, status = 'OK' AS has_flow, CASE WHEN status = 'OK' AND abs(score) >= 0.2
   AND total_volume >= 100 AND tm > 0 AND rvol >= 1.2 THEN CASE WHEN score > 0 THEN 'BULL' WHEN score < 0 THEN 'BEAR' ELSE '' END ELSE '' END AS event
@@ -188,8 +190,9 @@ SELECT symbol, stability_rank, event, oi_trend, {r('score_ema3', 'score_ema3')},
   CAST(list_position(['STRONG BUY', 'BUY', 'HOLD', 'SELL', 'STRONG SELL', 'AMBIGUOUS'], split_part(recommendation, ' - ', 1)) AS INTEGER) AS tier_order
 FROM rc"""))
 def flow_confluence_table(spark, sf):
-    stab = ad.option_universe(spark, sf).withColumn(   # 25 nations
-        "stability_rank", F.row_number().over(Window.orderBy(F.desc("symbol"))))
+    """Flow of the symbols of the stability table, which ranks the price history of the nations' suppliers."""
+    table = stability(spark, sf, "nation").select(F.lit(1).alias("k"), "symbol", F.round("stability_adjusted_score", 9).alias("adjusted"))
+    stab = full_rank(table, ["k"], "adjusted", out="stability_rank").select("symbol", "stability_rank")
     flow = numbered(spark, sf)
     target = flow.agg(F.max("d")).scalar()
     return fl.confluence(stab, flow, target, 10, **LOOSE).select(

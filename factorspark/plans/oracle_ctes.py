@@ -6,6 +6,7 @@ _KEYED = {
     "region": ("'R' || CAST(n_regionkey AS VARCHAR)",
                "lineitem JOIN supplier ON l_suppkey = s_suppkey "
                "JOIN nation ON s_nationkey = n_nationkey"),
+    "nation": ("'SY' || chr(CAST(65 + s_nationkey AS INTEGER))", "lineitem JOIN supplier ON l_suppkey = s_suppkey"),
     "market": ("'MKT'", "lineitem"),
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -204,20 +206,47 @@ def drawdown_durations(spark, sf):
         "portfolio", day_text("trough"), day_text("peak_day"), day_text("recovered"), "duration_days")
 
 
-@query("factor_attribution", with_(*PANEL_SQL, """
-y AS (SELECT d, avg(ret) AS y FROM pr WHERE portfolio = 'P2' AND i > 0 GROUP BY 1),
-f AS (SELECT y.d, y, max(ret) FILTER (symbol = 'R0') AS x0, max(ret) FILTER (symbol = 'R1') AS x1 FROM y JOIN pr USING (d) WHERE portfolio = 'P2' GROUP BY 1, 2),
-s AS (SELECT avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1, var_pop(x0) AS v0, var_pop(x1) AS v1, covar_pop(x0, x1) AS c01, covar_pop(y, x0) AS cy0,
-  covar_pop(y, x1) AS cy1, var_pop(y) AS vy FROM f),
-b AS (SELECT *, (cy0 * v1 - cy1 * c01) / (v0 * v1 - c01 * c01) AS b0, (cy1 * v0 - cy0 * c01) / (v0 * v1 - c01 * c01) AS b1 FROM s)""", body=f"""
-SELECT factor, {r('e', 'exposure')}, {r('c', 'contribution', 5)}, {r('(my - b0 * m0 - b1 * m1) * 252', 'alpha', 5)}, {r('(b0 * cy0 + b1 * cy1) / vy', 'r2')},
-  {r('my * 252', 'total_return', 5)}, {r('(my - b0 * m0 - b1 * m1) * 252', 'residual_return', 5)} FROM b, LATERAL (VALUES ('R0', b0, b0 * m0 * 252), ('R1', b1, b1 * m1 * 252)) v(factor, e, c)"""))
+def _brand(sql: str) -> str:
+    """The fill of the region series once more for the brands, under names of its own."""
+    return re.sub(r"\b(bars|cal|fl0|filled(?= AS \())\b", r"b_\1", sql)
+
+
+N_FACTORS = 10
+ATTRIBUTION_SQL = (_brand(o.bars("brand")), _brand(FILL_SQL), f"""
+fk AS (SELECT symbol, row_number() OVER (ORDER BY sum(volume) DESC, symbol) AS k FROM b_bars GROUP BY 1 QUALIFY k <= {N_FACTORS}),
+fr AS (SELECT symbol, d, px / lag(px) OVER (PARTITION BY symbol ORDER BY d) - 1 AS x FROM b_filled JOIN b_fl0 USING (symbol, d, session)
+  WHERE b_fl0.session - own <= 2),
+fx AS (SELECT d, list(x ORDER BY k) AS x FROM fr JOIN fk USING (symbol) WHERE x IS NOT NULL GROUP BY 1 HAVING count(*) = {N_FACTORS}),
+yx AS (SELECT portfolio, d, avg(ret) AS y, any_value(x) AS x FROM pr JOIN fx USING (d) WHERE i > 0 GROUP BY 1, 2),
+ux AS (SELECT portfolio, d, y, unnest(x) AS x, unnest(range(1, {N_FACTORS + 1})) AS k FROM yx),
+mx AS (SELECT portfolio, k, avg(x) AS m, covar_pop(x, y) AS cy FROM ux GROUP BY 1, 2),
+cx AS (SELECT a.portfolio, a.k AS i, b.k AS j, covar_pop(a.x, b.x) AS c FROM ux a JOIN ux b USING (portfolio, d) GROUP BY 1, 2, 3),
+-- rows of the normal equations with the right side as the last column, solved by elimination, one unknown a step
+eq0 AS (SELECT cx.portfolio, i, list_append(list(c ORDER BY j), any_value(cy)) AS eqn FROM cx JOIN mx ON mx.portfolio = cx.portfolio AND mx.k = cx.i GROUP BY 1, 2),
+el(portfolio, step, m) AS (SELECT portfolio, 0, list(eqn ORDER BY i) FROM eq0 GROUP BY 1 UNION ALL
+  SELECT portfolio, step + 1, list_transform(range(1, {N_FACTORS + 1}), lambda i: list_transform(range(1, {N_FACTORS + 2}), lambda j: CASE WHEN i = step + 1
+    THEN m[step + 1][j] / m[step + 1][step + 1] ELSE m[i][j] - m[i][step + 1] * m[step + 1][j] / m[step + 1][step + 1] END)) FROM el WHERE step < {N_FACTORS}),
+be AS (SELECT portfolio, unnest(range(1, {N_FACTORS + 1})) AS k, unnest(list_transform(m, lambda v: v[{N_FACTORS + 1}])) AS b FROM el WHERE step = {N_FACTORS}),
+ay AS (SELECT portfolio, avg(y) AS my, var_pop(y) AS vy FROM yx GROUP BY 1),
+ab AS (SELECT portfolio, sum(b * m) AS bm, sum(b * cy) AS bc FROM be JOIN mx USING (portfolio, k) GROUP BY 1)""")
+
+
+@query("factor_attribution", with_(*PANEL_SQL, *ATTRIBUTION_SQL, recursive=True, body=f"""
+SELECT portfolio, symbol AS factor, {r('b', 'exposure')}, {r('b * m * 252', 'contribution', 5)}, {r('(my - bm) * 252', 'alpha', 5)}, {r('bc / vy', 'r2')},
+  {r('my * 252', 'total_return', 5)}, {r('(my - bm) * 252', 'residual_return', 5)}
+FROM be JOIN mx USING (portfolio, k) JOIN fk USING (k) JOIN ay USING (portfolio) JOIN ab USING (portfolio)"""))
 def factor_attribution(spark, sf):
-    p = panel_returns(spark, sf).where("portfolio = 'P2'")
-    y = p.groupBy("d").agg(F.avg("ret").alias("ret"))
-    wide = p.groupBy("d").pivot("symbol", ["R0", "R1"]).agg(F.max("ret"))
-    return rk.factor_attribution(y, wide, ["R0", "R1"]).select(
-        "factor", r6("exposure"), r6("contribution", 5), r6("alpha", 5), r6("r2"), r6("total_return", 5), r6("residual_return", 5))
+    """The equal-weight return of every portfolio by the ten brands with the largest volume."""
+    bars = shared(ad.bars(spark, sf, "brand"))
+    first = Window.orderBy(F.desc("v"), F.asc("symbol"))        # one row for each brand
+    listed = shared(bars.groupBy("symbol").agg(F.sum("volume").alias("v")).select("symbol", F.row_number().over(first).alias("k")).where(
+        F.col("k") <= N_FACTORS).select("symbol", F.concat(F.lit("x"), "k").alias("factor")))
+    filled = returns(cl.fill_forward(bars.select("symbol", "d", "close"))).join(listed, "symbol")
+    names = [f"x{k}" for k in range(1, N_FACTORS + 1)]
+    wide = filled.groupBy("d").agg(*[F.max(F.when(F.col("factor") == x, F.col("ret"))).alias(x) for x in names])
+    found = rk.factor_attribution(equal_weight(spark, sf), wide, names, ["portfolio"]).join(listed, "factor")
+    return found.select("portfolio", F.col("symbol").alias("factor"), r6("exposure"), r6("contribution", 5), r6("alpha", 5), r6("r2"),
+                        r6("total_return", 5), r6("residual_return", 5))
 
 
 PW_SQL = "pw AS (SELECT portfolio, d, sum(px) AS value FROM pi GROUP BY 1, 2)"

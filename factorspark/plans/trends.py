@@ -100,8 +100,8 @@ s0 AS (SELECT symbol, n AS appearances, slope, r2, avg_score, avg_rank, score_st
 stable AS (SELECT *, {RECO} AS recommendation FROM s0)""")
 
 
-def stability(spark, sf):
-    return tr.stability_table(history(spark, sf))
+def stability(spark, sf, key="supplier"):
+    return tr.stability_table(history(spark, sf, key))
 
 
 COMPANY_SQL = """

@@ -75,7 +75,14 @@ def shared_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     Every window, aggregate and join on ``keys`` that reads it then needs neither a shuffle nor
     a sort: the one exchange is paid once for all branches.
     """
-    return shared(df.repartition(*keys).sortWithinPartitions(*keys, *order))
+    return settled(df.repartition(*keys).sortWithinPartitions(*keys, *order))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Like ``shared``, filled at once: plans on top then know its partitioning, order and size, and neither shuffle nor sort again."""
+    kept = shared(df)
+    kept.count()
+    return kept
 
 
 def release_shared() -> None:

@@ -28,6 +28,9 @@ def _keyed_lines(spark: SparkSession, sf_dir: str, key: str, extra: list[str]) -
         geo = sup.join(nat, sup.s_nationkey == nat.n_nationkey)
         return (li.join(geo, li.l_suppkey == geo.s_suppkey)
                 .withColumn("symbol", F.concat(F.lit("R"), F.col("n_regionkey").cast("string"))))
+    if key == "nation":
+        sup = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+        return li.join(sup, li.l_suppkey == sup.s_suppkey).withColumn("symbol", F.concat(F.lit("SY"), F.chr((65 + F.col("s_nationkey")))))
     if key == "supplier":
         return li.withColumn("symbol", F.col("l_suppkey"))
     if key == "market":

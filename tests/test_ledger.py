@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 
 from factorspark.operators import ledger as lg
@@ -55,6 +56,68 @@ def test_blocks_equal_the_fold(spark, block, sell_share):
         assert have == pytest.approx(want, abs=1e-6)
 
 
+def brute_shares(moves, s):
+    for q in moves:
+        if q > 0 or s > 1e-9:
+            s += q
+    return s
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_share_maps_equal_walks(seed):
+    rnd = random.Random(seed)
+
+    def trades(n):
+        return [float(rnd.randint(1, 20) * (-1 if rnd.random() < 0.6 else 1)) * rnd.choice([1, 0.5]) for _ in range(n)]
+    first, second = trades(60), trades(40)
+    a, b = lg.share_map(np.array(first), -30.0, 30.0), lg.share_map(np.array(second), -60.0, 60.0)
+    both = lg.compose_maps(a, -30.0, lg.share_map(np.array(second), -500.0, 500.0))
+    assert len(a[0]) > 1 and a[0][-1] == 30.0 and (np.diff(a[0]) > 0).all() and (np.diff(both[0]) > 0).all()
+    for k in range(-119, 121):
+        s = k / 4
+        assert s + a[1][lg._interval(a[0], s)] == pytest.approx(brute_shares(first, s))
+        assert s + b[1][lg._interval(b[0], s)] == pytest.approx(brute_shares(second, s))
+        assert s + both[1][lg._interval(both[0], s)] == pytest.approx(brute_shares(first + second, s))
+
+
+def hot_day(seed, n=600, sell_share=0.55):
+    """A position whose one day owns a third of all trades, with sales of more than is held; the others are small."""
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        hot = i % 3 == 0
+        d = dt.date(2024, 1, 2) if hot else dt.date(2024, 1, 1) + dt.timedelta(days=rnd.randrange(9))
+        out.append(("p" if hot else rnd.choice("pq"), "HOT" if hot else rnd.choice(["HOT", "B", "C"]), "Sell" if rnd.random() < sell_share else "Buy",
+                    round(rnd.uniform(1, 9), 2), float(rnd.randint(1, 20)), d, 0.5, i))
+    return out
+
+
+@pytest.mark.parametrize("map_fan", [2, 4096])
+def test_hot_day_spans_ranges_and_equals_the_fold(spark, monkeypatch, map_fan):
+    monkeypatch.setattr(lg, "MAP_FAN", map_fan)
+    rows = hot_day(3)
+    tx = spark.createDataFrame(rows, SCHEMA)
+    spread = lg.ranged(tx, 20).where("portfolio = 'p' AND symbol = 'HOT' AND d = DATE '2024-01-02'").groupBy("rng").count().collect()
+    assert len(spread) > 4 and max(r["count"] for r in spread) < 100
+    got = {(r["portfolio"], r["symbol"]): r for r in lg.positions(tx, block_rows=20, fan=4).collect()}
+    keys = {(r[0], r[1]) for r in rows}
+    assert got.keys() == keys
+    for k in keys:
+        have = [got[k][c] for c in ("shares", "total_cost", "realized", "dividends", "commission", "bought")]
+        assert have == pytest.approx(fold([r for r in rows if (r[0], r[1]) == k]), abs=1e-6)
+    held, want = {}, {}
+    for p, sym, kind, _, q, d, _, _ in sorted(rows, key=lambda r: (r[5], r[7])):
+        held[p, sym] = held.get((p, sym), 0.0) + q if kind == "Buy" else max(0.0, held.get((p, sym), 0.0) - q)
+        want[p, sym, d] = held[p, sym]
+    days = {(r["portfolio"], r["symbol"], r["d"]): r["held"] for r in lg.daily_shares(tx, 20).collect()}
+    assert days == pytest.approx(want)
+
+
+def test_no_trades(spark):
+    tx = spark.createDataFrame([], SCHEMA)
+    assert lg.positions(tx).count() == 0 and lg.daily_shares(tx).count() == 0
+
+
 def test_held_shares_stop_at_zero(spark):
     rows = random_trades(9, 150, 0.6)
     got = {(r["symbol"], r["d"]): r["held"] for r in lg.daily_shares(spark.createDataFrame(rows, SCHEMA)).collect()}
