@@ -371,19 +371,43 @@ def average_correlation(returns: DataFrame, window: int = 60) -> DataFrame:
                                                    F.stddev_samp("avg_corr").over(half)))
 
 
-def correlation_spectrum(returns: DataFrame, window: int = 60) -> DataFrame:
-    """Eigenvalues and explained variance of the latest window's correlation matrix."""
-    w = Window.partitionBy("portfolio").orderBy(F.desc("d"))
-    days = returns.select("portfolio", "d").distinct().withColumn("_rn", F.row_number().over(w)).where(
-        F.col("_rn") <= window)
+def correlation_spectrum(returns: DataFrame, window: int = 60, tile: int = 512) -> DataFrame:
+    """Eigenvalues and explained variance of the correlation matrix over each portfolio's latest ``window`` dates.
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.pivot(index="d", columns="symbol", values="ret").to_numpy()
-        ev = np.linalg.eigvalsh(correlation(x, False))[::-1]
-        return pd.DataFrame({"portfolio": key[0], "component": np.arange(1, len(ev) + 1),
-                             "eigenvalue": ev, "explained": ev / ev.sum()})
-    return returns.join(days, ["portfolio", "d"]).select("portfolio", "d", "symbol", "ret").groupBy(
-        "portfolio").applyInPandas(run, "portfolio string, component int, eigenvalue double, explained double")
+    With Z the standardised returns (dates x names), Z'Z and ZZ' have the same eigenvalues but for zeros. ZZ' is dates x dates however many
+    names there are, and a sum over names: tiles of names give their part of it, the parts are added, and one small matrix a portfolio is
+    left. A constant name correlates with nothing and is an eigenvalue of 1 by itself. One row for each name.
+    """
+    w = Window.partitionBy("portfolio").orderBy(F.desc("d"))
+    days = returns.select("portfolio", "d").distinct().withColumn("t", F.row_number().over(w) - 1).where(F.col("t") < window)
+    own = Window.partitionBy("portfolio", "symbol")
+    rows = returns.join(days, ["portfolio", "d"]).select("portfolio", "symbol", "t", (F.col("ret") - F.avg("ret").over(own)).alias("x"))
+    rows = shared(rows.withColumn("norm", F.sqrt(F.sum(F.col("x") * F.col("x")).over(own))))
+    names = rows.groupBy("portfolio", "symbol").agg(F.max("norm").alias("norm"))
+    sizes = names.groupBy("portfolio").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("norm") <= 1e-12).alias("constant"))
+    tiles = sizes.agg(F.coalesce(F.ceil(F.max("n") / tile), F.lit(1))).first()[0]
+
+    def gram(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        z = pdf.pivot(index="t", columns="symbol", values="z")
+        g = z.to_numpy() @ z.to_numpy().T
+        t = z.index.to_numpy()
+        return pd.DataFrame({"portfolio": key[0], "s": np.repeat(t, len(t)), "t": np.tile(t, len(t)), "g": g.ravel()})
+    z = rows.where("norm > 1e-12").select("portfolio", "symbol", "t", (F.col("x") / F.col("norm")).alias("z"),
+                                          F.pmod(F.xxhash64("symbol"), F.lit(tiles)).alias("tile"))
+    whole = z.groupBy("portfolio", "tile").applyInPandas(gram, "portfolio string, s int, t int, g double").groupBy("portfolio", "s", "t").agg(F.sum("g").alias("g"))
+
+    def solve(key: tuple, pdf: pd.DataFrame, size: pd.DataFrame) -> pd.DataFrame:
+        n, constant = int(size["n"].iloc[0]), int(size["constant"].iloc[0])
+        ev = np.empty(0)
+        if len(pdf):
+            ev = np.maximum(np.linalg.eigvalsh(pdf.pivot(index="s", columns="t", values="g").to_numpy()), 0)
+        ev = np.sort(np.concatenate([ev, np.ones(constant)]))[::-1][:n]
+        return pd.DataFrame({"portfolio": key[0], "component": np.arange(1, len(ev) + 1), "eigenvalue": ev, "names": n})
+    found = whole.groupBy("portfolio").cogroup(sizes.groupBy("portfolio")).applyInPandas(solve, "portfolio string, component int, eigenvalue double, names int")
+    # behind the last component of a window that is shorter than the list of names there are zeros
+    last = found.groupBy("portfolio", "names").agg(F.max("component").alias("k")).where("k < names")
+    zeros = last.select("portfolio", F.explode(F.sequence(F.col("k") + 1, F.col("names"))).alias("component"), F.lit(0.0).alias("eigenvalue"), "names")
+    return found.unionByName(zeros).select("portfolio", "component", "eigenvalue", (F.col("eigenvalue") / F.col("names")).alias("explained"))
 
 
 def weight_metrics(weights: DataFrame, returns: DataFrame, cov: DataFrame) -> DataFrame:

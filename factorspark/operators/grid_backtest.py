@@ -30,13 +30,14 @@ class Schedule:
     start: int
     every: int = 21
     lookbacks: tuple[int, ...] = (252, 504, 756)
+    chunk: int = CHUNK          # sessions of a group
 
     def ends(self, chunk: int, last: int) -> list[int]:
-        lo, hi = chunk * CHUNK, min((chunk + 1) * CHUNK, last + 1)
+        lo, hi = chunk * self.chunk, min((chunk + 1) * self.chunk, last + 1)
         return [t for t in range(lo, hi) if t == self.start or (t >= self.start + 2 * self.every and (t - self.start) % self.every == 0)]
 
     def chunks(self, last: int) -> list[int]:
-        return [c for c in range(self.start // CHUNK, last // CHUNK + 1) if self.ends(c, last)]
+        return [c for c in range(self.start // self.chunk, last // self.chunk + 1) if self.ends(c, last)]
 
 
 @dataclass(frozen=True)
@@ -48,6 +49,7 @@ class Universe:
     days: DataFrame
     tiles: int
     last: int
+    width: int = TILE           # names of a tile
 
 
 def baskets_of(members: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -57,7 +59,7 @@ def baskets_of(members: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Data
     return named.select("basket", "names").dropDuplicates(["basket"]), named.select(*keys, "basket")
 
 
-def universe(closes: DataFrame, baskets: DataFrame) -> Universe:
+def universe(closes: DataFrame, baskets: DataFrame, width: int = TILE) -> Universe:
     """Prices of all names of the baskets, carried forward on their common calendar; a name has none before its first.
 
     The names are numbered by one window over the distinct symbols of the baskets, which are bounded by the pools they were taken from.
@@ -65,14 +67,14 @@ def universe(closes: DataFrame, baskets: DataFrame) -> Universe:
     symbols = baskets.select(F.explode("names").alias("symbol")).distinct()
     number = F.row_number().over(Window.orderBy("symbol")) - 1
     names = shared(symbols.select("symbol", number.alias("_n")).select(
-        "symbol", F.floor(F.col("_n") / TILE).cast("int").alias("tile"), (F.col("_n") % TILE).cast("int").alias("pos")))
+        "symbol", F.floor(F.col("_n") / width).cast("int").alias("tile"), (F.col("_n") % width).cast("int").alias("pos")))
     own = closes.join(names.select("symbol"), "symbol")
     days = shared(calendar_of(own).select("d", (F.col("session") - 1).cast("int").alias("i")))
     filled = fill_forward(own, "close", None).join(days, "d").join(names, "symbol")
     w = Window.partitionBy("symbol").orderBy("i")
     returns = shared(filled.select("tile", "pos", "symbol", "i", (F.col("close") / F.lag("close").over(w) - 1).alias("ret")))
     size = names.agg(F.max("tile")).first()[0]
-    return Universe(returns, names, days, 0 if size is None else size + 1, days.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0])
+    return Universe(returns, names, days, 0 if size is None else size + 1, days.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0], width)
 
 
 def average_ranks(x: np.ndarray) -> np.ndarray:
@@ -91,8 +93,8 @@ def average_ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(rows: pd.DataFrame, lo: int, hi: int) -> np.ndarray:
-    out = np.full((hi - lo, TILE), np.nan)
+def _matrix(rows: pd.DataFrame, lo: int, hi: int, width: int) -> np.ndarray:
+    out = np.full((hi - lo, width), np.nan)
     out[rows["i"].to_numpy() - lo, rows["pos"].to_numpy()] = rows["ret"].to_numpy(float)
     return out
 
@@ -114,9 +116,9 @@ def window_moments(a: np.ndarray, b: np.ndarray, ranks: bool) -> tuple[np.ndarra
     return ca.T @ cb / len(a), corr, (ca ** 2).T @ (cb ** 2)
 
 
-def _by_tile(u: Universe, reach: int, chunks: Sequence[int], parts: int) -> DataFrame:
+def _by_tile(u: Universe, reach: int, chunks: Sequence[int], parts: int, size: int) -> DataFrame:
     """Return rows once for each chunk whose windows can reach back to them, and each part of the baskets."""
-    chunk = F.explode(F.sequence(*[F.floor((F.col("i") + more) / CHUNK).cast("int") for more in (0, reach)]))
+    chunk = F.explode(F.sequence(*[F.floor((F.col("i") + more) / size).cast("int") for more in (0, reach)]))
     rows = u.returns.select("tile", "pos", "i", "ret", chunk.alias("chunk")).where(F.col("chunk").isin(list(chunks)))
     return rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
@@ -143,11 +145,11 @@ def basket_moments(u: Universe, baskets: DataFrame, schedule: Schedule, ranks: b
 
     Moments are computed once for all baskets of a part that touch the pair of tiles.
     """
-    chunks, parts, last = schedule.chunks(u.last), _parts(baskets), u.last
+    chunks, parts, last, width = schedule.chunks(u.last), _parts(baskets), u.last, u.width
     reach = max(schedule.lookbacks)
     wanted = _pairs_of(u, baskets, parts).withColumn("chunk", F.explode(F.array(*[F.lit(c) for c in chunks]))) if chunks else _pairs_of(
         u, baskets, parts).withColumn("chunk", F.lit(0)).limit(0)
-    rows = _by_tile(u, reach, chunks, parts)
+    rows = _by_tile(u, reach, chunks, parts, schedule.chunk)
     other = F.explode(F.sequence(F.lit(0), F.lit(max(u.tiles - 1, 0))))
     rows = rows.withColumn("other", other).select(F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"),
                                                   "chunk", "part", "tile", "pos", "i", "ret")
@@ -156,9 +158,9 @@ def basket_moments(u: Universe, baskets: DataFrame, schedule: Schedule, ranks: b
         out = []
         if len(asked) and len(found):
             ta, tb, chunk = int(key[0]), int(key[1]), int(key[2])
-            lo, hi = chunk * CHUNK - reach, (chunk + 1) * CHUNK
-            a = _matrix(found[found["tile"] == ta], lo, hi)
-            b = a if ta == tb else _matrix(found[found["tile"] == tb], lo, hi)
+            lo, hi = chunk * schedule.chunk - reach, (chunk + 1) * schedule.chunk
+            a = _matrix(found[found["tile"] == ta], lo, hi, width)
+            b = a if ta == tb else _matrix(found[found["tile"] == tb], lo, hi, width)
             ends = schedule.ends(chunk, last)
             for lookback in schedule.lookbacks:
                 # the first of a window's prices has no return inside it
@@ -216,34 +218,34 @@ def accept_drift(candidates: DataFrame, threshold: float = 0.05) -> DataFrame:
     return candidates.groupBy("basket", "lookback").applyInPandas(run, SOLVED)
 
 
-def daily_returns(u: Universe, baskets: DataFrame, weights: DataFrame, start: int, fee: float = 0.001) -> DataFrame:
+def daily_returns(u: Universe, baskets: DataFrame, weights: DataFrame, start: int, fee: float = 0.001, size: int = CHUNK) -> DataFrame:
     """``(basket, lookback, d, i, ret, rebalanced, value)`` from ``start`` (or the first session all names have a price, if later) on.
 
     ``weights(basket, lookback, i, w)`` hold from session i on, that day's return included; equal weights before the first. A session
     with new weights costs ``fee``. The first day has return 0.
     """
-    parts, last = _parts(baskets), u.last
+    parts, last, width = _parts(baskets), u.last, u.width
     place = baskets.select("basket", F.posexplode("names").alias("j", "symbol")).join(u.names, "symbol")
     begin = place.join(u.returns.groupBy("symbol").agg(F.min("i").alias("_first")), "symbol").groupBy("basket").agg(
         F.greatest(F.max("_first"), F.lit(start)).alias("begin"))
     turns = weights.groupBy("basket", "lookback").agg(F.array_sort(F.collect_list(F.struct("i", "w"))).alias("turns"))
     spans = turns.join(begin, "basket").join(
         place.groupBy("basket", "tile").agg(F.array_sort(F.collect_list(F.struct("j", "pos"))).alias("at")), "basket").join(
-        baskets.select("basket", F.size("names").alias("size")), "basket")
-    chunks = range(start // CHUNK, last // CHUNK + 1)
-    asked = spans.select("basket", "lookback", "begin", "turns.i", "turns.w", "tile", "at.j", "at.pos", "size",
+        baskets.select("basket", F.size("names").alias("held")), "basket")
+    chunks = range(start // size, last // size + 1)
+    asked = spans.select("basket", "lookback", "begin", "turns.i", "turns.w", "tile", "at.j", "at.pos", "held",
                          F.pmod(F.xxhash64("basket"), F.lit(parts)).cast("int").alias("part"),
                          F.explode(F.array(*[F.lit(c) for c in chunks]) if chunks else F.array().cast("array<int>")).alias("chunk"))
-    rows = _by_tile(u, 0, list(chunks), parts)
+    rows = _by_tile(u, 0, list(chunks), parts, size)
 
     def partial(key: tuple, found: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(found) and len(wanted):
-            lo, hi = int(key[1]) * CHUNK, (int(key[1]) + 1) * CHUNK
-            x = np.nan_to_num(_matrix(found, lo, hi))
+            lo, hi = int(key[1]) * size, (int(key[1]) + 1) * size
+            x = np.nan_to_num(_matrix(found, lo, hi, width))
             days = np.arange(lo, hi)
-            for basket, lookback, i, w, j, pos, size in wanted[["basket", "lookback", "i", "w", "j", "pos", "size"]].itertuples(index=False):
-                table = np.vstack([np.full(size, 1.0 / size), *[np.asarray(v) for v in w]])[:, np.asarray(j)]
+            for basket, lookback, i, w, j, pos, n in wanted[["basket", "lookback", "i", "w", "j", "pos", "held"]].itertuples(index=False):
+                table = np.vstack([np.full(n, 1.0 / n), *[np.asarray(v) for v in w]])[:, np.asarray(j)]
                 held = table[np.searchsorted(np.asarray(i), days, side="right")]
                 out.append((basket, int(lookback), lo, (held * x[:, np.asarray(pos)]).sum(axis=1).tolist()))
         return pd.DataFrame(out, columns=["basket", "lookback", "lo", "part_ret"])
@@ -255,9 +257,9 @@ def daily_returns(u: Universe, baskets: DataFrame, weights: DataFrame, start: in
     def series(frames):
         for frame in frames:
             for basket, lookback, pieces, turns_at, first in frame[["basket", "lookback", "parts", "i", "begin"]].itertuples(index=False):
-                total = np.zeros((last // CHUNK + 1) * CHUNK)
+                total = np.zeros((last // size + 1) * size)
                 for piece in pieces:
-                    total[piece["lo"]:piece["lo"] + CHUNK] += np.asarray(piece["part_ret"])
+                    total[piece["lo"]:piece["lo"] + size] += np.asarray(piece["part_ret"])
                 days = np.arange(first, last + 1)
                 if not len(days):
                     continue
@@ -269,18 +271,18 @@ def daily_returns(u: Universe, baskets: DataFrame, weights: DataFrame, start: in
 
 
 def grid_backtest(closes: DataFrame, members: DataFrame, keys: Sequence[str], schedule: Schedule, method: str = "mhrp",
-                  threshold: float = 0.05, fee: float = 0.001) -> tuple[DataFrame, DataFrame]:
+                  threshold: float = 0.05, fee: float = 0.001, width: int = TILE) -> tuple[DataFrame, DataFrame]:
     """Drift-rebalanced daily series of every basket and look-back, and ``(*keys, basket)``."""
     baskets, portfolios = baskets_of(members, keys)
     baskets = shared(baskets)
-    u = universe(closes, baskets)
+    u = universe(closes, baskets, width)
     accepted = shared(accept_drift(solve(basket_moments(u, baskets, schedule, method != "hrp"), method), threshold))
-    return daily_returns(u, baskets, accepted, schedule.start, fee), portfolios
+    return daily_returns(u, baskets, accepted, schedule.start, fee, schedule.chunk), portfolios
 
 
 def latest_moments(u: Universe, lookbacks: Sequence[int]) -> DataFrame:
     """``(lookback, a, b, cov, spearman)`` of every pair of names a <= b over the window that ends with the last session, by pairs of tiles."""
-    reach, last = max(lookbacks), u.last
+    reach, last, width = max(lookbacks), u.last, u.width
     rows = u.returns.where(F.col("i") > last - reach)
     other = F.explode(F.sequence(F.lit(0), F.lit(max(u.tiles - 1, 0))))
     rows = rows.withColumn("other", other).select(F.least("tile", "other").alias("ta"), F.greatest("tile", "other").alias("tb"), "tile", "pos", "symbol", "i", "ret")
@@ -291,7 +293,7 @@ def latest_moments(u: Universe, lookbacks: Sequence[int]) -> DataFrame:
         for t in key:
             listed = found[found["tile"] == t].drop_duplicates("pos").sort_values("pos")
             names.append((listed["pos"].to_numpy(), listed["symbol"].to_numpy()))
-        a, b = (_matrix(found[found["tile"] == t], lo, hi)[:, p] for t, (p, _) in zip(key, names))
+        a, b = (_matrix(found[found["tile"] == t], lo, hi, width)[:, p] for t, (p, _) in zip(key, names))
         out = []
         for n in lookbacks:
             cov, corr, _ = window_moments(a[-n + 1:], b[-n + 1:], True)

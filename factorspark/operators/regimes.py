@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -19,6 +21,7 @@ from factorspark.functions import scores as sc
 from factorspark.functions.exprs import clip
 from factorspark.functions.windows import by_symbol, island_id, pct_change, rolling_std, sma
 from factorspark.operators.indicators import TRADING_DAYS, adaptive_stats, clean_returns
+from factorspark.session import shared
 
 UNBOUNDED = Window.unboundedPreceding
 K = 3
@@ -320,38 +323,109 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def filter_labels(probs: DataFrame, matrix: DataFrame, k: int = K) -> DataFrame:
+FILTER_BLOCK = 1024
+
+
+def filter_walk(q: np.ndarray, p: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Day by day: yesterday's state through the transitions ``a``, weighted by the day's probabilities; equal shares where nothing is left."""
+    out = np.empty_like(p)
+    for t in range(len(p)):
+        q = q @ a * p[t]
+        total = q.sum()
+        q = q / total if total > 0 else np.full(len(q), 1.0 / len(q))
+        out[t] = q
+    return out
+
+
+class FilterMap:
+    """What a block of days makes of any state before it.
+
+    Rows of the product of the days' matrices, each of sum 1 with the logarithm of its size, are mixed by the state's shares. Where nothing
+    is left on some day the filter starts again from equal shares: that depends only on which shares are positive, so for each such
+    set (of 2 ** k - 1) there is either the product or the state that the new start has led to.
+    """
+
+    def __init__(self, rows: np.ndarray, size: np.ndarray, fixed: dict[int, np.ndarray]) -> None:
+        self.rows, self.size, self.fixed = rows, size, fixed
+
+    @classmethod
+    def of(cls, p: np.ndarray, a: np.ndarray) -> FilterMap:
+        k = len(a)
+        rows, size, fixed = np.eye(k), np.zeros(k), {}
+        for day in p:
+            for mask, q in fixed.items():
+                fixed[mask] = filter_walk(q, day[None], a)[0]
+            rows = rows @ a * day
+            total = rows.sum(axis=1)
+            left = total > 0
+            rows[left] /= total[left, None]
+            size = np.where(left, size + np.log(np.where(left, total, 1.0)), -np.inf)
+            if not left.all():
+                for mask in range(1, 1 << k):
+                    if mask not in fixed and not any(left[i] for i in range(k) if mask >> i & 1):
+                        fixed[mask] = np.full(k, 1.0 / k)
+        return cls(rows, size, fixed)
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        mask = sum(1 << i for i, x in enumerate(q) if x > 0)
+        if mask in self.fixed:
+            return self.fixed[mask]
+        with np.errstate(divide="ignore"):
+            w = np.log(q) + self.size
+        w = np.exp(w - w.max())
+        out = w @ self.rows
+        return out / out.sum()
+
+
+def filter_labels(probs: DataFrame, matrix: DataFrame, k: int = K, block: int = FILTER_BLOCK) -> DataFrame:
     """Forward filter: each day's probabilities weighted by yesterday's state and the transitions.
 
-    ``probs(symbol, d, p_0..)`` and ``matrix(symbol, a_00..)``. One instrument's days are folded
-    as an ordered array, bounded by the calendar; instruments run in parallel.
+    ``probs(symbol, d, p_0..)`` and ``matrix(symbol, a_00..)``; a symbol without a matrix is left out. The filter is a product of a matrix
+    for each day, so a series is cut into blocks: all blocks become maps at once, each symbol's few maps give the state before every
+    block, and all blocks are walked at once. No array or group grows with a series.
     """
-    days = probs.groupBy("symbol").agg(F.array_sort(F.collect_list(
-        F.struct("d", *[f"p_{i}" for i in range(k)]))).alias("_days"))
-    st = days.join(matrix, "symbol")
-
-    def normal(vals):
-        total = vals[0]
-        for v in vals[1:]:
-            total = total + v
-        return [F.when(total > 0, v / total).otherwise(1.0 / k) for v in vals]
-
-    def step(acc, day):
-        prior = []
-        for j in range(k):
-            s = acc["q"][0] * F.col(f"a_0{j}")
-            for i in range(1, k):
-                s = s + acc["q"][i] * F.col(f"a_{i}{j}")
-            prior.append(s * day[f"p_{j}"])
-        post = F.array(*normal(prior))
-        return F.struct(post.alias("q"), F.array_append(
-            acc["path"], F.struct(day["d"].alias("d"), post.alias("q"))).alias("path"))
-    first = F.array(*normal([F.col("_days")[0][f"p_{i}"] for i in range(k)]))
-    start = F.struct(first.alias("q"), F.array(F.struct(F.col("_days")[0]["d"].alias("d"), first.alias("q"))).alias("path"))
-    path = F.aggregate(F.slice("_days", F.lit(2), F.greatest(F.size("_days") - 1, F.lit(0))), start, step)["path"]
-    out = st.select("symbol", F.inline(path))
-    best = F.array_position("q", F.array_max("q")) - 1
-    return out.select("symbol", "d", best.cast("int").alias("regime"), *[F.col("q")[i].alias(f"q_{i}") for i in range(k)])
+    ps, cells = [f"p_{i}" for i in range(k)], [f"a_{i}{j}" for i in range(k) for j in range(k)]
+    number = F.row_number().over(Window.partitionBy("symbol").orderBy("d")) - 1
+    rows = shared(probs.select("symbol", "d", *ps, number.alias("i")).join(matrix.select("symbol", *cells), "symbol").withColumn("blk", F.floor(F.col("i") / block)))
+    state = [f"q_{i}" for i in range(k)]
+
+    def parts(pdf: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+        pdf = pdf.sort_values("i")
+        return pdf, pdf[ps].to_numpy(float), pdf[cells].iloc[0].to_numpy(float).reshape(k, k)
+
+    def first_day(p: np.ndarray) -> np.ndarray:
+        return p / p.sum() if p.sum() > 0 else np.full(k, 1.0 / k)
+
+    def as_map(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, p, a = parts(pdf)
+        if key[1] == 0:         # a series starts with its first day: whatever came before, one state comes out
+            end = filter_walk(first_day(p[0]), p[1:], a)[-1] if len(p) > 1 else first_day(p[0])
+            m = FilterMap(np.eye(k), np.zeros(k), {mask: end for mask in range(1, 1 << k)})
+        else:
+            m = FilterMap.of(p, a)
+        return pd.DataFrame([(key[0], key[1], m.rows.ravel().tolist(), m.size.tolist(), list(m.fixed), np.ravel(list(m.fixed.values())).tolist())],
+                            columns=["symbol", "blk", "rows", "size", "masks", "fixed"])
+
+    def opened(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        q, out = np.full(k, 1.0 / k), []
+        for blk, r, size, masks, fixed in pdf.sort_values("blk")[["blk", "rows", "size", "masks", "fixed"]].itertuples(index=False):
+            out.append((key[0], blk, *q))
+            kept = np.reshape(fixed, (-1, k))
+            q = FilterMap(np.reshape(r, (k, k)), np.asarray(size), {int(m): kept[x] for x, m in enumerate(masks)})(q)
+        return pd.DataFrame(out, columns=["symbol", "blk", *state])
+
+    def walked(key: tuple, pdf: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
+        pdf, p, a = parts(pdf)
+        if key[1] == 0:
+            q = np.vstack([first_day(p[0]), filter_walk(first_day(p[0]), p[1:], a)])
+        else:
+            q = filter_walk(starts[state].iloc[0].to_numpy(float), p, a)
+        return pd.DataFrame({"symbol": key[0], "d": pdf["d"].to_numpy(), "regime": q.argmax(axis=1).astype(np.int32), **{c: q[:, x] for x, c in enumerate(state)}})
+    maps = rows.groupBy("symbol", "blk").applyInPandas(
+        as_map, "symbol string, blk long, rows array<double>, size array<double>, masks array<int>, fixed array<double>")
+    doubles = ", ".join(f"{c} double" for c in state)
+    starts = maps.groupBy("symbol").applyInPandas(opened, f"symbol string, blk long, {doubles}")
+    return rows.groupBy("symbol", "blk").cogroup(starts.groupBy("symbol", "blk")).applyInPandas(walked, f"symbol string, d date, regime int, {doubles}")
 
 
 def current_probability(filtered: DataFrame, k: int = K) -> DataFrame:

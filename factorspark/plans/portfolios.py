@@ -117,6 +117,19 @@ def correlation_spectrum(spark, sf):
     return al.correlation_spectrum(panel_returns(spark, sf)).select("portfolio", "component", r6("eigenvalue"), r6("explained"))
 
 
+@query("correlation_spectrum_moments", with_(*PANEL_SQL, """
+lw AS (SELECT portfolio, symbol, d, ret FROM pr WHERE i > 0 AND i > (SELECT max(i) - 60 FROM pr q WHERE q.portfolio = pr.portfolio)),
+lc AS (SELECT a.portfolio, a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS c FROM lw a JOIN lw b ON a.portfolio = b.portfolio AND a.d = b.d GROUP BY 1, 2, 3)""", body=f"""
+SELECT portfolio, CAST(count(*) FILTER (a = b) AS BIGINT) AS names, {r('sum(c) FILTER (a = b)', 'trace')}, {r('sum(c * c)', 'squares')},
+  {r('sum(c * c) / power(count(*) FILTER (a = b), 2)', 'concentration')} FROM lc GROUP BY 1"""))
+def correlation_spectrum_moments(spark, sf):
+    """Sums of the eigenvalues and of their squares: the trace of the correlation matrix and the sum of its squared entries."""
+    ev = F.col("eigenvalue")
+    return al.correlation_spectrum(panel_returns(spark, sf)).groupBy("portfolio").agg(
+        F.count(F.lit(1)).alias("names"), F.sum(ev).alias("trace"), F.sum(ev * ev).alias("squares"), F.sum(F.col("explained") ** 2).alias("concentration")).select(
+        "portfolio", "names", r6("trace"), r6("squares"), r6("concentration"))
+
+
 EQ_SQL = "eq AS (SELECT portfolio, d, avg(ret) AS ret FROM pr WHERE i > 0 GROUP BY 1, 2)"
 
 
