@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.exprs import day_text, r6
@@ -22,7 +23,7 @@ from factorspark.plans.technical import DT, MOM_SQL, TECH_SQL, r
 from factorspark.session import ensure_checkpoint_dir
 from factorspark.sources import adapters as ad
 from factorspark.sources.sinks import write_ranked
-from factorspark.streaming import ingest
+from factorspark.streaming import alerts, ingest
 
 PROFILE = ("trailing_pe", "ev_to_ebitda", "gross_margins", "revenue_growth", "dividend_yield", "current_ratio")
 
@@ -269,3 +270,21 @@ def incremental_session_ingest(spark, sf):
         stream = ingest.session_stream(spark, f"{root}/arrived", files_per_trigger=1)
         ingest.start_ingest(stream, f"{root}/table", f"{root}/progress").awaitTermination()
     return ingest.sessions_table(spark, f"{root}/table").select("symbol", day_text(), "source_seq", "total_volume", "call_oi")
+
+
+@query("streamed_flow_alerts", ORACLES["flow_alert_report"])
+def streamed_flow_alerts(spark, sf):
+    """Sessions arrive in three parts; each part is judged from the states that the parts before have left."""
+    root = _run_folder(spark)
+    flow = fp.numbered(spark, sf)
+    part = F.ntile(3).over(Window.orderBy("d"))                 # one row for each session
+    days = flow.select("d").distinct().withColumn("part", part)
+    flow = flow.join(days, "d").select("symbol", "d", "score", "total_volume", "call_oi", "put_oi", "status", "has_oi", "part")
+    for k in (1, 2, 3):
+        flow.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{root}/arrived")
+        stream = spark.readStream.schema(flow.drop("part").schema).parquet(f"{root}/arrived")
+        alerts.start_alerts(stream, f"{root}/events", f"{root}/progress", **fp.LOOSE).awaitTermination()
+    u = ad.option_universe(spark, sf)
+    found = spark.read.schema(alerts.EVENTS).parquet(f"{root}/events")
+    rep = alerts.report(found, u.where("symbol <= 'SYJ'"), u.where("symbol between 'SYE' and 'SYP'"))
+    return rep.select("section", "symbol", day_text(), "label", r6("score"), "volume", r6("rvol"))

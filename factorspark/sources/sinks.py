@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def existing_keys(df: DataFrame, path: str, keys: Sequence[str]) -> DataFrame | None:
-    """Distinct partition keys already written at ``path`` (None when nothing is there)."""
+    """Distinct partition keys already written at ``path`` (None when nothing is there); other errors are not taken for that."""
     try:
         return df.sparkSession.read.parquet(path).select(*keys).distinct()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 

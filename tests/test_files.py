@@ -12,7 +12,7 @@ from factorspark.operators import regimes as rg
 from factorspark.operators.selection import table_kind
 from factorspark.sources import readers, schemas
 from factorspark.sources.sinks import write_ranked, write_report
-from factorspark.streaming import ingest
+from factorspark.streaming import alerts, ingest
 
 
 def test_ranked_lists_by_file_name(spark, tmp_path):
@@ -105,6 +105,53 @@ def test_ingest_backfill_correction_and_split_source(spark, days, tmp_path):
     assert got == want and any(g[1] == old for g in got) and ("A", new, 21) in got
 
 
+def test_readers_see_a_version_whole_or_not_at_all(spark, days, tmp_path, monkeypatch):
+    """A writer that stops after its files, before they are published, leaves the old version; the next try replaces what it left."""
+    table = str(tmp_path / "table")
+
+    def seen():
+        return {(r["symbol"], r["d"], r["total_volume"]) for r in ingest.sessions_table(spark, table).collect()}
+    assert seen() == set()
+    ingest.merge_sessions(flow_rows(spark, [("A", days(0), 10, None, 0), ("B", days(1), 3, 1, 0)]), table)
+    old = seen()
+    assert old == {("A", days(0), 10), ("B", days(1), 3)}
+    change = flow_rows(spark, [("A", days(0), 99, 5, 1), ("C", days(2), 7, 1, 0)])
+
+    def stop(*_):
+        raise OSError("the writer is gone")
+    with monkeypatch.context() as m:
+        m.setattr(ingest, "publish", stop)
+        with pytest.raises(OSError):
+            ingest.merge_sessions(change, table)
+    assert seen() == old
+    ingest.merge_sessions(change, table)
+    assert seen() == {("A", days(0), 99), ("B", days(1), 3), ("C", days(2), 7)}
+    ingest.merge_sessions(change, table)        # a repeated batch changes nothing
+    assert seen() == {("A", days(0), 99), ("B", days(1), 3), ("C", days(2), 7)}
+
+
+def test_alerts_from_state_equal_alerts_from_history(spark, days, tmp_path):
+    """Sessions one by one, a repeated one among them, with gaps in the open interest."""
+    import random
+    r = random.Random(4)
+    rows = [(s, days(t), r.choice([None, -0.9, -0.3, 0.5, 0.9]), r.choice([0, 400, 600, 5000]), None if t % 4 == 2 else r.choice([None, 2000, 4000, 9000]),
+             None if t % 4 == 2 else r.choice([3000, 5000, 8000]), r.choice(["OK", "OK", "LOW_VOLUME"])) for t in range(24) for s in "AB"]
+    flow = spark.createDataFrame(rows, "symbol string, d date, score double, total_volume long, call_oi long, put_oi long, status string")
+    whole = fl.session_numbers(flow).persist()
+    kept = whole.select("symbol", "d", "score", "total_volume", "call_oi", "put_oi", "status", "has_oi")
+    for cut in (range(9), range(9, 10), range(9, 10), range(10, 24)):
+        kept.where(kept.d.isin([days(t) for t in cut])).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(kept.schema).parquet(str(tmp_path / "in"))
+        alerts.start_alerts(stream, str(tmp_path / "events"), str(tmp_path / "progress"), min_rvol=1.5).awaitTermination()
+    events = spark.read.schema(alerts.EVENTS).parquet(str(tmp_path / "events"))
+    spikes = {(x["symbol"], x["d"], x["direction"], x["total_volume"], round(x["rvol"], 9)) for x in fl.volume_spikes(fl.relative_volume(whole), min_rvol=1.5).collect()}
+    builds = {(x["symbol"], x["d"], x["label"], x["trigger"]) for x in fl.oi_builds(fl.oi_changes(whole)).collect()}
+    got = events.collect()
+    assert len(got) == len(spikes) + len(builds) and spikes and builds
+    assert {(x["symbol"], x["d"], x["label"], x["total_volume"], round(x["rvol"], 9)) for x in got if x["kind"] == "SPIKE"} == spikes
+    assert {(x["symbol"], x["d"], x["label"], x["trigger"]) for x in got if x["kind"] == "BUILD"} == builds
+
+
 def test_ingest_calls_the_hook_with_each_batch(spark, days, tmp_path):
     seen = []
     flow_rows(spark, [("A", days(0), 10, None, 0), ("B", days(0), 3, 1, 0)]).coalesce(1).write.parquet(str(tmp_path / "in"))
