@@ -52,6 +52,25 @@ FACTOR_WEIGHTS: dict[str, tuple] = {
     "insider": (0.0, 0.0, 0.0),
 }
 
+# A second named set of factor weights (percent), in the order of REGIMES. It has names of its own: ``volatility_penalty``
+# is what a stability score lacks to 1, for ``credit`` there is no data, so it is neutral.
+PRESETS: dict[str, dict[str, tuple]] = {
+    "regime_detector": {
+        "momentum": (60.0, 45.0, 10.0),
+        "growth": (15.0, 10.0, 0.0),
+        "technical": (15.0, 10.0, 0.0),
+        "quality": (10.0, 20.0, 30.0),
+        "credit": (5.0, 10.0, 20.0),
+        "financial_health": (5.0, 10.0, 25.0),
+        "value": (-5.0, 5.0, 15.0),
+        "size": (-5.0, -5.0, -5.0),
+        "volatility_penalty": (-3.0, -5.0, -15.0),
+        "carry": (-2.0, 0.0, 5.0),
+        "liquidity": (5.0, 3.0, 10.0),
+        "insider": (0.0, -3.0, 5.0),
+    },
+}
+
 # Metric weights inside the value and quality scores.
 VALUE_WEIGHTS = {"earnings_yield": 0.25, "fcf_yield": 0.25, "ev_to_ebitda": 0.20, "pb": 0.15,
                  "ev_to_sales": 0.15}

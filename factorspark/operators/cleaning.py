@@ -52,9 +52,12 @@ def availability(bars: DataFrame, universe: DataFrame, start: Column, lookback:
         (F.coalesce("n_bars", F.lit(0)) >= 0.8 * lookback).alias("available"))
 
 
-def min_history(bars: DataFrame, n: int = 200) -> DataFrame:
-    """Bars of symbols that have at least ``n`` of them."""
+def min_history(bars: DataFrame, n: int = 200, companies: DataFrame | None = None) -> DataFrame:
+    """Bars of symbols that have at least ``n`` of them and, with ``companies(symbol, market_cap)``, a market cap."""
     ok = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= n)
+    if companies is not None:
+        capped = companies.where("market_cap IS NOT NULL AND market_cap <> 0")
+        ok = ok.join(capped, "symbol", "left_semi")
     return bars.join(ok.select("symbol"), "symbol", "left_semi")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import scores as sc
 from factorspark.functions.exprs import add_weighted_means, clip, sigmoid
-from factorspark.functions.regime_tables import FACTOR_WEIGHTS, REGIMES, with_factor_weights, with_thresholds
+from factorspark.functions.regime_tables import FACTOR_WEIGHTS, PRESETS, REGIMES, with_factor_weights, with_thresholds
 from factorspark.functions.windows import by_symbol, last_rows, simple_return
 from factorspark.operators.indicators import TRADING_DAYS, recovery_score
 
@@ -221,12 +221,18 @@ def with_stability(st: DataFrame) -> DataFrame:
     return st.withColumn("stability", score).withColumn("risk_penalty", -(1 - F.col("stability")))
 
 
-def composite_score(df: DataFrame, weights: dict[str, tuple] | None = None) -> DataFrame:
-    """Weighted sum of the factor columns with the weights of each row's regime."""
+def composite_score(df: DataFrame, weights: dict[str, tuple] | None = None, preset: str | None = None) -> DataFrame:
+    """Weighted sum of the factor columns with the weights of each row's regime, or with those of a named preset.
+
+    A preset's ``volatility_penalty`` comes from ``stability`` and its ``credit``, for which there is no data, is neutral.
+    """
+    if preset is not None:
+        weights = PRESETS[preset]
+        df = df.withColumns({"volatility_penalty": 1 - F.col("stability"), "credit": F.lit(0.0)})
+    listed = weights or FACTOR_WEIGHTS
     t = with_factor_weights(df, weights)
-    total = reduce(lambda a, b: a + b,
-                   [F.coalesce(F.col(f), F.lit(0.0)) * F.col(f"w_{f}") for f in FACTOR_WEIGHTS])
-    return t.withColumn("score", total).drop(*[f"w_{f}" for f in FACTOR_WEIGHTS])
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f), F.lit(0.0)) * F.col(f"w_{f}") for f in listed])
+    return t.withColumn("score", total).drop(*[f"w_{f}" for f in listed])
 
 
 def chain_score(contracts: DataFrame, keys: list[str], detail: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 
 from factorspark.plans import registry
 
-MODULES = ("technical", "scoring", "trends", "selection", "flow", "regimes", "portfolios", "grid", "ledger", "operations")
+MODULES = ("technical", "scoring", "trends", "selection", "flow", "regimes", "portfolios", "grid", "ledger", "operations", "files")
 
 
 def load():

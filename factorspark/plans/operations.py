@@ -69,6 +69,16 @@ def minimum_history(spark, sf):
     return cl.min_history(ad.closes(spark, sf, "brand"), 1500).select("symbol", day_text())
 
 
+@query("scorable_history", with_(o.bars(), body=f"""
+SELECT symbol, {DT} FROM bars WHERE symbol IN (SELECT symbol FROM bars GROUP BY 1 HAVING count(*) >= 200)
+  AND symbol IN (SELECT 'S' || CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_acctbal > 0)"""))
+def scorable_history(spark, sf):
+    """Bars of the suppliers with 200 bars and a market cap; a balance that isn't positive stands for a missing one."""
+    caps = ad.table(spark, sf, "supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("symbol"),
+                                                  F.when(F.col("s_acctbal") > 0, F.col("s_acctbal")).alias("market_cap"))
+    return cl.min_history(ad.closes(spark, sf), 200, caps).select("symbol", day_text())
+
+
 @query("stepped_trading_days", """
 WITH cal AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE isodow(l_shipdate) < 6)
 SELECT strftime(d, '%Y-%m-%d') AS d FROM cal WHERE d BETWEEN DATE '1996-01-01' AND DATE '2000-12-31' AND datediff('day', DATE '1996-01-01', d) % 5 = 0""")
@@ -234,7 +244,7 @@ def batch_status_counts(spark, sf):
     return hs.batch_status(dates, periods(spark, sf), dates.where(F.dayofmonth("d") == 1), F.weekday("d") < 5)
 
 
-def _run_folder(spark) -> str:
+def run_folder(spark) -> str:
     """A fresh folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/run-{uuid.uuid4().hex}"
 
@@ -242,7 +252,7 @@ def _run_folder(spark) -> str:
 @query("ranked_partition_table", ORACLES["historical_batch_scores"])
 def ranked_partition_table(spark, sf):
     """The batch written by regime and date twice (the second write finds nothing to do), read back."""
-    path = f"{_run_folder(spark)}/ranked"
+    path = f"{run_folder(spark)}/ranked"
     rows = batch(spark, sf)
     write_ranked(rows, path)
     write_ranked(rows, path)
@@ -260,7 +270,7 @@ def reversion_risk(spark, sf):
 @query("incremental_session_ingest", ORACLES["session_dedupe_last_wins"])
 def incremental_session_ingest(spark, sf):
     """Sessions of four sources arrive as files, later dates before earlier ones, are streamed in and merged; read back."""
-    root = _run_folder(spark)
+    root = run_folder(spark)
     fp._sources(fp.sessions(spark, sf)).write.partitionBy("source_seq").parquet(f"{root}/in")
     # the source number must be a file column for the stream's declared schema
     staged = spark.read.parquet(f"{root}/in")
@@ -275,7 +285,7 @@ def incremental_session_ingest(spark, sf):
 @query("streamed_flow_alerts", ORACLES["flow_alert_report"])
 def streamed_flow_alerts(spark, sf):
     """Sessions arrive in three parts; each part is judged from the states that the parts before have left."""
-    root = _run_folder(spark)
+    root = run_folder(spark)
     flow = fp.numbered(spark, sf)
     part = F.ntile(3).over(Window.orderBy("d"))                 # one row for each session
     days = flow.select("d").distinct().withColumn("part", part)

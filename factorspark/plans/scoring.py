@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factorspark.functions import scores as sc
 from factorspark.functions.exprs import add_weighted_means, day_text, r6
-from factorspark.functions.regime_tables import FACTOR_WEIGHTS, QUALITY_WEIGHTS, REGIMES, THRESHOLDS, VALUE_WEIGHTS
+from factorspark.functions.regime_tables import FACTOR_WEIGHTS, PRESETS, QUALITY_WEIGHTS, REGIMES, THRESHOLDS, VALUE_WEIGHTS
 from factorspark.operators import asof
 from factorspark.operators import factors as fa
 from factorspark.operators import flow as fl
@@ -404,6 +404,53 @@ def regime_factor_ranking(spark, sf):
     return full_rank(scored, ["regime"], "score")
 
 
+PRESET = "regime_detector"
+_PRESET_ALL = {f: PRESETS[PRESET].get(f, (0.0, 0.0, 0.0)) for f in (*FACTOR_WEIGHTS, "volatility_penalty")}
+PRESET_SQL = tuple(c if c is not FW_SQL else _values(_PRESET_ALL, "fw", "w_") for c in RANK_SQL[:-1]) + (
+    RANK_SQL[-1].replace("coalesce(insider, 0) AS score", "coalesce(insider, 0) + w_volatility_penalty * coalesce(1 - stability, 0) AS score"),)
+
+
+@query("preset_factor_ranking", with_(*PRESET_SQL, body=f"""
+SELECT regime, symbol, {r('score', 'score', 5)}, row_number() OVER (PARTITION BY regime ORDER BY round(score, 5) DESC, symbol) AS rank FROM tot"""))
+def preset_factor_ranking(spark, sf):
+    """The ranking with the second set of weights."""
+    scored = fa.composite_score(factor_table(spark, sf), preset=PRESET).select("regime", "symbol", r6("score", 5))
+    return full_rank(scored, ["regime"], "score")
+
+
+@query("option_chain_detail_scores", with_(o.CONTRACTS, """
+pc AS (SELECT d, regexp_extract(contract, '^O:([A-Z0-9.]+?)(\\d{6})([CP])(\\d{8})$', 1) AS symbol,
+  regexp_extract(contract, '([CP])\\d{8}$', 1) AS kind, CAST(right(contract, 8) AS DOUBLE) / 1000 AS strike,
+  CASE WHEN volume % 3 = 0 THEN oi % 40 ELSE 0 END AS oi, volume FROM oc WHERE regexp_matches(contract, '^O:[A-Z0-9.]+?\\d{6}[CP]\\d{8}$')),
+rw AS (SELECT d, symbol, kind, CAST(oi AS DOUBLE) AS oi, CAST(volume AS DOUBLE) AS vol, strike / 100 BETWEEN 0.90 AND 1.10 AS near
+  FROM pc WHERE oi > 0 OR volume > 0),
+na AS (SELECT d, symbol, count(*) AS n_contracts FROM pc GROUP BY 1, 2),
+bs AS (SELECT d, symbol, count(*) FILTER (kind = 'C') AS nc, count(*) FILTER (kind = 'P') AS np,
+  coalesce(sum(oi) FILTER (kind = 'C'), 0) AS co, coalesce(sum(oi) FILTER (kind = 'P'), 0) AS po,
+  coalesce(sum(vol) FILTER (kind = 'C'), 0) AS cv, coalesce(sum(vol) FILTER (kind = 'P'), 0) AS pv,
+  coalesce(sum(oi) FILTER (kind = 'C' AND near), 0) AS nco, coalesce(sum(oi) FILTER (kind = 'P' AND near), 0) AS npo,
+  coalesce(sum(vol) FILTER (kind = 'C' AND near), 0) AS ncv, coalesce(sum(vol) FILTER (kind = 'P' AND near), 0) AS npv, avg(oi) < 10 AS byvol,
+  CASE WHEN avg(oi) < 10 THEN CASE WHEN stddev_pop(vol) > 0 THEN avg(vol) + stddev_pop(vol) ELSE avg(vol) * 1.5 END
+    WHEN stddev_pop(oi) > 0 THEN avg(oi) + 2 * stddev_pop(oi) ELSE avg(oi) * 2 END AS cut FROM rw GROUP BY 1, 2),
+lg AS (SELECT d, symbol, coalesce(sum(CASE WHEN byvol THEN vol ELSE oi END) FILTER (kind = 'C'), 0) AS lc,
+  coalesce(sum(CASE WHEN byvol THEN vol ELSE oi END) FILTER (kind = 'P'), 0) AS lp
+  FROM rw JOIN bs USING (d, symbol) WHERE near AND CASE WHEN byvol THEN vol ELSE oi END > cut GROUP BY 1, 2),
+s0 AS (SELECT *, CASE WHEN co > 0 THEN po / co ELSE 1 END AS pc_oi, CASE WHEN cv > 0 THEN pv / cv ELSE 1 END AS pc_vol,
+  CASE WHEN lc + lp > 0 THEN lc / (lc + lp) ELSE 0.5 END AS imb FROM na LEFT JOIN bs USING (d, symbol) LEFT JOIN lg USING (d, symbol)),
+sg AS (SELECT *, CASE WHEN nco = 0 AND npo = 0 THEN CASE WHEN ncv > 0 THEN npv / ncv ELSE pc_vol END WHEN nco > 0 THEN npo / nco ELSE pc_oi END AS pc_near FROM s0)""", body=f"""
+SELECT symbol, strftime(d, '%Y-%m-%d') AS d, n_contracts, {r('pc_oi', 'pc_oi')}, {r('pc_vol', 'pc_vol')}, {r('pc_near', 'pc_near')},
+  round(CASE WHEN n_contracts < 10 OR coalesce(nc, 0) < 5 OR coalesce(np, 0) < 5 THEN 0.5 ELSE
+   0.30 * (1 - least(greatest((pc_oi - 0.7) / 0.6, 0), 1)) + 0.20 * (1 - least(greatest((pc_vol - 0.7) / 0.6, 0), 1))
+   + 0.30 * (1 - least(greatest((pc_near - 0.7) / 0.6, 0), 1)) + 0.20 * imb END, 6) AS options_flow FROM sg"""))
+def option_chain_detail_scores(spark, sf):
+    """Chains with little open interest, judged by volumes where it is too thin."""
+    thin = F.when(F.col("volume") % 3 == 0, F.col("oi") % 40).otherwise(0)
+    c = fl.parse_contracts(ad.option_contracts(spark, sf)).select(
+        F.col("root").alias("symbol"), "d", "kind", "strike", thin.alias("oi"), "volume", F.lit(100.0).alias("price"))
+    return fa.chain_score(c, ["symbol", "d"], detail=True).select(
+        "symbol", day_text(), "n_contracts", r6("pc_oi"), r6("pc_vol"), r6("pc_near"), r6("options_flow"))
+
+
 @query("option_chain_scores", with_(o.CONTRACTS, """
 pc AS (SELECT d, regexp_extract(contract, '^O:([A-Z0-9.]+?)(\\d{6})([CP])(\\d{8})$', 1) AS symbol,
   regexp_extract(contract, '([CP])\\d{8}$', 1) AS kind, CAST(right(contract, 8) AS DOUBLE) / 1000 AS strike,
