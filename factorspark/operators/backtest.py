@@ -55,9 +55,13 @@ def business_month_ends(panel: DataFrame) -> DataFrame:
 
 def monthly_weights(panel: DataFrame, start: int = 0, method: str = "mhrp") -> DataFrame:
     """Weights at each business month end with at least half the look-back before it."""
+    return weights_at(panel, monthly_solves(panel, start), method)
+
+
+def monthly_solves(panel: DataFrame, start: int = 0) -> DataFrame:
+    """When ``monthly_weights`` solves, and on which rows."""
     ends = business_month_ends(panel).where(F.col("i") >= start).select(*KEYS, "d").withColumn("_m", F.lit(True))
-    solves = trailing_solves(panel.join(ends, [*KEYS, "d"]), F.col("_m"))
-    return weights_at(panel, solves, method)
+    return trailing_solves(panel.join(ends, [*KEYS, "d"]), F.col("_m")).select(*KEYS, "d", "w0", "w1")
 
 
 def initial_solve(panel: DataFrame, start: int) -> DataFrame:
@@ -73,11 +77,19 @@ def drift_weights(panel: DataFrame, start: int, every: int = 21, threshold: floa
     Candidates for all check dates are solved in one distributed batch; what remains in order
     is accepting or rejecting them, a fold over at most rows/21 candidates per portfolio.
     """
+    return accepted(weights_at(panel, drift_solves(panel, start, every), method), threshold)
+
+
+def drift_solves(panel: DataFrame, start: int, every: int = 21) -> DataFrame:
+    """The initial solve and one every ``every`` rows, from the second on, with more than half the look-back before it."""
     k = F.col("i") - start
     check = (k > every) & (k % every == 0)
     cand = trailing_solves(panel, check).where(F.col("w1") - F.col("w0") > F.floor(F.col("lookback") / 2))
-    solves = cand.select(*KEYS, "d", "w0", "w1").unionByName(initial_solve(panel, start))
-    w = weights_at(panel, solves, method)
+    return cand.select(*KEYS, "d", "w0", "w1").unionByName(initial_solve(panel, start))
+
+
+def accepted(w: DataFrame, threshold: float = 0.05) -> DataFrame:
+    """Of the candidate weights ``(portfolio, lookback, d, symbol, w)`` those that move a name by more than the threshold; the first stands."""
     sets = w.groupBy(*KEYS, "d").agg(F.array_sort(F.collect_list(F.struct("symbol", "w"))).alias("ws"))
     seq = sets.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("d", "ws"))).alias("c"))
 
@@ -99,6 +111,11 @@ def drift_weights(panel: DataFrame, start: int, every: int = 21, threshold: floa
 def volatility_weights(panel: DataFrame, start: int, window: int = 21, threshold: float = 0.2,
                        method: str = "mhrp") -> DataFrame:
     """New weights when the equal-weight volatility moves by more than 20 percent in a day."""
+    return weights_at(panel, volatility_solves(panel, start, window, threshold), method)
+
+
+def volatility_solves(panel: DataFrame, start: int, window: int = 21, threshold: float = 0.2) -> DataFrame:
+    """The initial solve and one on each day the volatility of the last ``window`` rows jumped."""
     eq = asset_returns(panel, start).where(F.col("i") > start).groupBy(*KEYS, "d", "i").agg(F.avg("ret").alias("r"))
     w = Window.partitionBy(*KEYS).orderBy("i")
     frame = w.rowsBetween(-(window - 1), 0)
@@ -108,23 +125,27 @@ def volatility_weights(panel: DataFrame, start: int, window: int = 21, threshold
     days = eq.where(hit).select(*KEYS, "d").withColumn("_m", F.lit(True))
     cand = trailing_solves(panel.join(days, [*KEYS, "d"]), F.col("_m")).where(
         F.col("w1") - F.col("w0") > F.floor(F.col("lookback") / 2))
-    solves = cand.select(*KEYS, "d", "w0", "w1").unionByName(initial_solve(panel, start))
-    return weights_at(panel, solves, method)
-
+    return cand.select(*KEYS, "d", "w0", "w1").unionByName(initial_solve(panel, start))
 
-def walk_forward(panel: DataFrame, start: int, months: int = 3, method: str = "mhrp") -> DataFrame:
-    """Daily in-sample and out-of-sample returns of each fold.
 
-    Fold dates come every ``months`` x 30 calendar days and are kept only when they are panel
-    dates; a fold is fitted on the look-back rows before it and tested up to the next fold.
-    """
+def walk_forward_folds(panel: DataFrame, start: int, months: int = 3) -> DataFrame:
+    """Fold dates with the rows they are fitted on and the row of the next fold."""
     days = panel.select(*KEYS, "d", "i").distinct()
     first = days.where(F.col("i") == start).select(*KEYS, F.col("d").alias("_d0"))
     folds = days.join(first, KEYS).where((F.col("d") >= F.col("_d0")) & (
         F.datediff("d", "_d0") % (months * 30) == 0)).drop("_d0")
     w = Window.partitionBy(*KEYS).orderBy("i")
-    folds = folds.withColumn("next_i", F.lead("i").over(w)).where(F.col("next_i").isNotNull()).withColumn(
+    return folds.withColumn("next_i", F.lead("i").over(w)).where(F.col("next_i").isNotNull()).withColumn(
         "w0", F.greatest(F.col("i") - F.col("lookback"), F.lit(0))).withColumn("w1", F.col("i"))
+
+
+def walk_forward(panel: DataFrame, start: int, months: int = 3, method: str = "mhrp") -> DataFrame:
+    """Daily in-sample and out-of-sample returns of each fold.
+
+    Fold dates come every ``months`` x 30 calendar days and are kept only when they are panel
+    dates; a fold is fitted on the look-back rows before it and tested up to the next fold.
+    """
+    folds = walk_forward_folds(panel, start, months)
     weights = weights_at(panel, folds.select(*KEYS, "d", "w0", "w1"), method)
     # one row per fold and covered panel row, so the pairing is an equality join
     span = folds.select(*KEYS, F.col("d").alias("fold"), "w0", "w1", "next_i",

@@ -353,6 +353,72 @@ def backtest_with_given_weights(spark, sf):
     return _bt(bt.backtest(p, w, START))
 
 
+DAYS_SQL = "dy AS (SELECT DISTINCT portfolio, d, i FROM pi)"
+SOLVES_SQL = f"""SELECT portfolio, 252 AS lookback, {DT}, CAST(greatest(i - 252, 0) AS INTEGER) AS w0, CAST(i AS INTEGER) AS w1"""
+FIRST_SQL = f"""SELECT portfolio, 252 AS lookback, {DT}, 0 AS w0, 252 AS w1 FROM dy WHERE i = {START}"""
+
+
+def _solves(df):
+    return df.select("portfolio", "lookback", day_text(), F.col("w0").cast("int").alias("w0"), F.col("w1").cast("int").alias("w1"))
+
+
+@query("monthly_rebalance_schedule", with_(*PANEL_SQL, DAYS_SQL, body=f"""
+{SOLVES_SQL} FROM dy WHERE i >= {START} AND d = last_day(d) - CAST(greatest(isodow(last_day(d)) - 5, 0) AS INTEGER) AND i - greatest(i - 252, 0) >= 126"""))
+def monthly_rebalance_schedule(spark, sf):
+    """Business month ends among the panel's dates, with the rows each solve uses."""
+    return _solves(bt.monthly_solves(panel(spark, sf), START))
+
+
+DRIFT_SQL = f"""{SOLVES_SQL} FROM dy WHERE i > {START} + 21 AND (i - {START}) % 21 = 0 AND i - greatest(i - 252, 0) > 126 UNION ALL {FIRST_SQL}"""
+
+
+@query("drift_rebalance_schedule", with_(*PANEL_SQL, DAYS_SQL, body=DRIFT_SQL))
+def drift_rebalance_schedule(spark, sf):
+    return _solves(bt.drift_solves(panel(spark, sf), START))
+
+
+@query("drift_acceptance_with_given_weights", with_(*PANEL_SQL, DAYS_SQL, """
+cd AS (SELECT dy.portfolio, d, dy.i, symbol, row_number() OVER (PARTITION BY dy.portfolio, dy.i ORDER BY symbol) AS j, count(*) OVER (PARTITION BY dy.portfolio, dy.i) AS n
+  FROM dy JOIN pi USING (portfolio, d) WHERE dy.i = 300 OR (dy.i > 321 AND (dy.i - 300) % 21 = 0)),
+cl AS (SELECT portfolio, d, i, list(u / s ORDER BY symbol) AS ws, list(symbol ORDER BY symbol) AS names, row_number() OVER (PARTITION BY portfolio ORDER BY i) AS k
+  FROM (SELECT *, sum(u) OVER (PARTITION BY portfolio, i) AS s FROM (SELECT *, n + 2.0 + (j * (1 + (i // 63) % 3)) % n AS u FROM cd)) GROUP BY portfolio, d, i),
+ac(portfolio, k, cur, took) AS (SELECT portfolio, k, ws, true FROM cl WHERE k = 1 UNION ALL
+  SELECT cl.portfolio, cl.k, CASE WHEN list_max(list_transform(range(1, len(ws) + 1), lambda x: abs(ws[x] - cur[x]))) > 0.05 THEN ws ELSE cur END,
+    list_max(list_transform(range(1, len(ws) + 1), lambda x: abs(ws[x] - cur[x]))) > 0.05 FROM ac JOIN cl ON cl.portfolio = ac.portfolio AND cl.k = ac.k + 1)""",
+                                                     recursive=True, body=f"""
+SELECT portfolio, {DT}, unnest(names) AS symbol, round(unnest(ws), 6) AS w FROM cl JOIN ac USING (portfolio, k) WHERE took"""))
+def drift_acceptance_with_given_weights(spark, sf):
+    """Candidates that turn round now and then, on the days of the drift schedule."""
+    p = panel(spark, sf)
+    k = F.col("i") - START
+    n = p.groupBy("portfolio").agg(F.count_distinct("symbol").alias("n"))
+    at = p.where((k == 0) | ((k > 21) & (k % 21 == 0))).join(n, "portfolio")
+    j = F.row_number().over(Window.partitionBy("portfolio", "i").orderBy("symbol"))
+    u = at.withColumn("u", F.col("n") + 2.0 + (j * (1 + F.floor(F.col("i") / 63) % 3)) % F.col("n"))
+    w = F.col("u") / F.sum("u").over(Window.partitionBy("portfolio", "i"))
+    given = u.select("portfolio", "lookback", "d", "symbol", w.alias("w"))
+    return bt.accepted(given).select("portfolio", day_text(), "symbol", r6("w"))
+
+
+@query("volatility_rebalance_schedule", with_(*PANEL_SQL, DAYS_SQL, f"""
+ev AS (SELECT portfolio, d, i, avg(ret) AS r FROM pr WHERE i > {START} GROUP BY 1, 2, 3),
+ew AS (SELECT *, CASE WHEN count(r) OVER f = 21 THEN stddev_samp(r) OVER f END AS vol, row_number() OVER (PARTITION BY portfolio ORDER BY i) - 1 AS j FROM ev
+  WINDOW f AS (PARTITION BY portfolio ORDER BY i ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+eh AS (SELECT *, lag(vol) OVER (PARTITION BY portfolio ORDER BY i) AS pv FROM ew)""", body=f"""
+{SOLVES_SQL} FROM eh WHERE j > 21 AND abs((vol - pv) / pv) > 0.2 AND i - greatest(i - 252, 0) > 126 UNION ALL {FIRST_SQL}"""))
+def volatility_rebalance_schedule(spark, sf):
+    return _solves(bt.volatility_solves(panel(spark, sf), START))
+
+
+@query("walk_forward_schedule", with_(*PANEL_SQL, DAYS_SQL, f"""
+fo AS (SELECT dy.*, lead(dy.i) OVER (PARTITION BY portfolio ORDER BY dy.i) AS nx FROM dy JOIN (SELECT portfolio, d AS d0 FROM dy WHERE i = {START}) z USING (portfolio)
+  WHERE d >= d0 AND datediff('day', d0, d) % 90 = 0)""", body=f"""
+SELECT portfolio, 252 AS lookback, {DT}, CAST(greatest(i - 252, 0) AS INTEGER) AS w0, CAST(i AS INTEGER) AS w1, CAST(nx AS INTEGER) AS next_i FROM fo WHERE nx IS NOT NULL"""))
+def walk_forward_schedule(spark, sf):
+    f = bt.walk_forward_folds(panel(spark, sf), START)
+    return f.select("portfolio", "lookback", day_text(), *[F.col(c).cast("int").alias(c) for c in ("w0", "w1", "next_i")])
+
+
 @query("monthly_rebalance_backtest")
 def monthly_rebalance_backtest(spark, sf):
     p = brand_panel(spark, sf)
