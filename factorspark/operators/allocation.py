@@ -23,6 +23,7 @@ BLOCK = 252
 
 def price_panel(closes: DataFrame, members: DataFrame, lookbacks: tuple[int, ...] = (252,), limit: int = 2) -> DataFrame:
     """``(portfolio, lookback, d, i, symbol, px)``: filled prices on complete dates, dates numbered from 0."""
+    closes = shared(closes)            # symbols x days, read for the calendar and for the fill
     filled = fill_forward(closes, "close", limit).select("symbol", "d", F.col("close").alias("px"))
     full = complete_dates(filled.join(members.select("portfolio", "symbol"), "symbol"))
     w = Window.partitionBy("portfolio").orderBy("d")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorspark.session import shared
+
 
 def calendar_of(df: DataFrame) -> DataFrame:
     """Distinct dates numbered from 1: ``(d, session)``; one row per calendar day at most."""
@@ -20,7 +22,7 @@ def fill_forward(df: DataFrame, x: str = "close", limit: int | None = 2, back: b
     exist afterwards are produced; no symbol x date grid is built. ``back`` also fills
     the sessions before the first row.
     """
-    cal = calendar_of(df)
+    cal = shared(calendar_of(df))      # one row for each day, read three times
     w = Window.partitionBy("symbol").orderBy("session")
     last = cal.agg(F.max("session")).scalar()
     st = df.where(F.col(x).isNotNull()).select("symbol", "d", x).join(cal, "d")

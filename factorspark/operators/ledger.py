@@ -21,6 +21,8 @@ KEY = ["portfolio", "symbol"]
 BLOCK_ROWS = 50_000
 FAN = 512   # blocks composed at a time
 MAP_FAN = 4096
+RANGES_MOST = 65_536   # borders that a range partitioning keeps on the driver
+STRIDE = 1 << 20    # blocks of one range are numbered from a multiple of it
 MARGIN = 1e-6   # what rounding may add up to in the bounds of opening shares
 UNBOUNDED = Window.unboundedPreceding
 
@@ -38,10 +40,11 @@ def normalise(tx: DataFrame) -> DataFrame:
 def ranged(tx: DataFrame, rows_each: int = BLOCK_ROWS) -> DataFrame:
     """Trades with the number ``rng`` of their range by (position, day, tx_seq), about ``rows_each`` rows each, written once.
 
-    The ranges of a position follow each other by number; one that owns most trades, or one day of it, just has many of them.
+    The ranges of a position follow each other by number; one that owns most trades, or one day of it, just has many of them. Beyond
+    RANGES_MOST ranges they grow instead, and whoever needs bounded blocks cuts them.
     """
     spark = tx.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tx.count() // rows_each))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(RANGES_MOST, -(-tx.count() // rows_each)))
     # the number must not change between its uses, so it is written
     return checkpointed(tx.repartitionByRange(n, *KEY, "d", "tx_seq").withColumn("rng", F.spark_partition_id()))
 
@@ -108,9 +111,12 @@ OP_FIELDS = ("type", "price", "shares", "commission")
 
 
 def _blocks(tx: DataFrame, block_rows: int) -> DataFrame:
-    """Trades of each range of a position as one array in order; ``blk`` numbers them."""
+    """Trades of each range of a position as arrays of at most ``block_rows`` in order; ``blk`` numbers them."""
     listed = F.array_sort(F.collect_list(F.struct("d", "tx_seq", F.struct(*OP_FIELDS).alias("op"))))
-    blocks = ranged(tx, block_rows).groupBy(*KEY, (F.col("rng") + 1).alias("blk")).agg(listed.alias("ops"))
+    own = Window.partitionBy(*KEY, "rng").orderBy("d", "tx_seq")
+    rows = ranged(tx, block_rows).withColumn("_sub", F.floor((F.row_number().over(own) - 1) / block_rows))
+    blocks = rows.groupBy(*KEY, "rng", "_sub").agg(listed.alias("ops"))
+    blocks = blocks.select(*KEY, (F.col("rng").cast("long") * STRIDE + F.col("_sub") + 1).alias("blk"), "ops")
     return blocks.withColumn("ops", F.transform("ops", lambda o: o["op"]))
 
 
@@ -272,7 +278,7 @@ def _opening_shares(blocks: DataFrame) -> DataFrame:
     types = ", ".join(f"{c} {maps.schema[c].dataType.simpleString()}" for c in KEY)
     groups = maps.groupBy(*KEY, "grp").applyInPandas(composed, f"{types}, grp long, upto array<double>, add array<double>")
     starts = groups.groupBy(*KEY).applyInPandas(top, f"{types}, grp long, s0 double")
-    return maps.groupBy(*KEY, "grp").cogroup(starts.groupBy(*KEY, "grp")).applyInPandas(down, f"{types}, blk int, s0 double")
+    return maps.groupBy(*KEY, "grp").cogroup(starts.groupBy(*KEY, "grp")).applyInPandas(down, f"{types}, blk long, s0 double")
 
 
 def _opening_cost(maps: DataFrame, fan: int, levels: int = 3) -> DataFrame:

@@ -113,6 +113,16 @@ def test_hot_day_spans_ranges_and_equals_the_fold(spark, monkeypatch, map_fan):
     assert days == pytest.approx(want)
 
 
+def test_ranges_that_may_not_be_more_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lg, "RANGES_MOST", 1)
+    rows = hot_day(4, 2000)
+    tx = spark.createDataFrame(rows, SCHEMA)
+    assert max(len(r["ops"]) for r in lg._blocks(tx, 16).collect()) == 16
+    got = {(r["portfolio"], r["symbol"]): r["total_cost"] for r in lg.positions(tx, block_rows=16, fan=8).collect()}
+    for k in {(r[0], r[1]) for r in rows}:
+        assert got[k] == pytest.approx(fold([r for r in rows if (r[0], r[1]) == k])[1], abs=1e-6)
+
+
 def test_no_trades(spark):
     tx = spark.createDataFrame([], SCHEMA)
     assert lg.positions(tx).count() == 0 and lg.daily_shares(tx).count() == 0
