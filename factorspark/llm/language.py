@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.llm.common import small_batches
@@ -19,12 +19,15 @@ BUCKETS, WIDTH, GRAMS = 1 << 15, 16, (1, 2, 3, 4)
 ROWS_EACH, WINDOWS, WINDOW = 800, 4, 160
 EPOCHS, RATE, PRECISION = 3, 0.5, 0.99
 UNKNOWN = "und"
-_NO_LETTER = re.compile(r"[\W\d_]+")
+#: Letters and the marks that combine with them; other numerals, such as fractions and superscripts, are none.
+_LETTER = regex.compile(r"\p{L}")
+_NO_LETTER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def letters(text: str | None) -> str:
-    """Lower-case letters, all else one space; no letter: empty."""
-    return _NO_LETTER.sub(" ", (text or "").lower()).strip()
+    """Lower-case letters with their marks, all else one space; no letter (marks alone are none): empty."""
+    clean = _NO_LETTER.sub(" ", (text or "").lower()).strip()
+    return clean if _LETTER.search(clean) else ""
 
 
 def buckets(clean: str) -> Iterator[np.ndarray]:
@@ -113,19 +116,26 @@ def fit(texts: list[str], langs: list[str], seed: int = 5) -> Model:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: Column | None = None) -> Model:
-    """Fit on a bounded sample: about ROWS_EACH rows of each language, drawn by a hash of the text (or of ``key``).
+    """Fit on a bounded sample: of each language the first ROWS_EACH different texts by a hash (or different values of ``key``), all where there are fewer.
 
-    Rows without a language or a text teach nothing. Only the sample comes to the driver.
+    Rows without a language or a text teach nothing; repeated rows are one. Texts that many rows share neither crowd the sample nor leave it,
+    and only the sample comes to the driver. Hashes are ranked below a level that half as many again as needed are expected under.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), (F.xxhash64(text) if key is None else F.xxhash64(key)).alias("k"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    hashes = rows.select("lang", "k").distinct()
+    sizes = {r["lang"]: r["count"] for r in hashes.groupBy("lang").count().collect()}       # one row for each language
     if not sizes:
         return fit([], [])
-    share = spark.createDataFrame([(k, int(1_000_000 * min(1.0, ROWS_EACH / n))) for k, n in sizes.items()], "lang string, share int")
-    some = rows.join(F.broadcast(share), "lang").where(F.pmod("k", F.lit(1_000_000)) < F.col("share")).select("text", "lang").toPandas()
-    some = some.sort_values(["lang", "text"])
+    level = F.lit(2.0 ** 63)
+    for name, n in sizes.items():
+        if n > 2 * ROWS_EACH:
+            level = F.when(F.col("lang") == name, 2.0 ** 63 * (3 * ROWS_EACH / n - 1)).otherwise(level)
+    first = Window.partitionBy("lang").orderBy("k")
+    wanted = hashes.where(F.col("k").cast("double") <= level).withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= ROWS_EACH)
+    listed = docs.sparkSession.createDataFrame([(r["lang"], r["k"]) for r in wanted.select("lang", "k").collect()], "lang string, k long")
+    # at most ROWS_EACH hashes of each language
+    some = rows.join(F.broadcast(listed), ["lang", "k"]).groupBy("lang", "k").agg(F.first("text").alias("text")).toPandas().sort_values(["lang", "text"])
     return fit(some["text"].to_list(), some["lang"].to_list())
 
 

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from factorspark.llm import filter_audit, quality, queries, ranked_search
+from factorspark.llm import filter_audit, language, quality, queries, ranked_search
 from tests.llm.helpers import WORDS, prose
 
 SF = "/root/testdata/sf0.001"
@@ -299,3 +299,42 @@ def test_quality_held_out_accuracy_and_fold(spark):
     ranks, pos = both["score"].rank(), both["quality"] == 1
     auc = (ranks[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
     assert auc > 0.93 and (both[pos]["predicted"] == 1).mean() > 0.95
+
+
+# ---- language identification
+
+def test_texts_without_letters_are_undetermined_and_marks_stay():
+    for text in (None, "", "½ ² ٣ 42 _ !", "\u0301\u0302"):
+        assert language.letters(text) == ""
+    assert language.letters("नमस्ते 5 दुनिया") == "नमस्ते दुनिया" and language.letters("Été½été") == "été été"
+    model = language.fit(["abc def"] * 4 + ["xyz uvw"] * 4, ["a"] * 4 + ["b"] * 4)
+    assert model.predict("½")[0] == "und" and model.predict("abc")[0] == "a"
+
+
+def test_scores_equal_a_plain_softmax():
+    rng = np.random.default_rng(4)
+    model = language.Model(["a", "b", "c"], rng.normal(size=(language.BUCKETS, 3)).astype(np.float32), rng.normal(size=3), 0.7, 0.5)
+
+    def bucket(gram):
+        h = 0
+        for c in gram:
+            h = (h * 0x01000193 ^ ord(c)) & 0xFFFFFFFF
+        n = len(gram)
+        return ((h * 0x9E3779B1 & 0xFFFFFFFF) ^ (n * 0x85EBCA6B & 0xFFFFFFFF)) >> 17
+    for text in ("Ein kleines Haus!", "é", prose(5, 80)):
+        clean = f" {language.letters(text)} "
+        grams = [clean[i:i + n] for n in language.GRAMS for i in range(len(clean) - n + 1)]
+        z = np.mean([model.logits[bucket(g)] for g in grams], axis=0) + model.bias
+        p = np.exp(z / 0.7) / np.exp(z / 0.7).sum()
+        lang, score, accepted = model.predict(text)
+        assert lang == "abc"[p.argmax()] and abs(score - p.max()) < 1e-5 and accepted == (p.max() >= 0.5)
+
+
+def test_language_sample_takes_each_text_once(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS_EACH", 30)
+    rows = [("the same text again", "en")] * 400 + [(prose(k, 6), "en") for k in range(200)] + [(f"rare {prose(k, 3)}", "xx") for k in range(3)] * 50
+    rows += [(None, "en"), ("no language", None)]
+    taken = {}
+    monkeypatch.setattr(language, "fit", lambda texts, langs, seed=5: taken.update(t=texts, l=langs))
+    language.train(spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, k int"))
+    assert Counter(taken["l"]) == {"en": 30, "xx": 3} and len(set(taken["t"])) == 33
