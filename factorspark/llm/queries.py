@@ -180,7 +180,7 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
-    return out.select("record_id", "url_key", F.unix_seconds("at").alias("revisit_at"), "outcome", "target_id", F.unix_seconds("target_at").alias("target_at"), "headers")
+    return out.select("record_id", "url_key", F.unix_seconds("at").alias("revisit_at"), "outcome", "target_id", F.unix_seconds("target_at").alias("target_at"), "digest", "headers")
 
 
 ORACLES["op10_warc_revisits"] = r"""
@@ -193,23 +193,30 @@ parts AS (
     regexp_replace(regexp_replace('&' || regexp_extract(u, '\?(.*)$', 1), '&(?:utm_[a-z]+|ref|fbclid|gclid|sessionid)=[^&]*', '', 'g'), '^&', '') AS query
   FROM bare),
 base AS (
-  SELECT page_id, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS u, 1700000000 + page_id * 60 AS t,
-    CAST(CAST(DATE '2020-09-13' + CAST(page_id % 50 AS INTEGER) AS DATE) AS VARCHAR) AS day,
-    '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag, lpad(CAST(page_id AS VARCHAR), 12, '0') AS idt
+  SELECT page_id AS p, host || path || CASE WHEN query = '' THEN '' ELSE '?' || query END AS u, 1700000000 + page_id * 60 AS t,
+    DATE '2020-09-13' + CAST(page_id % 50 AS INTEGER) AS day, sha256(coalesce(html, '')) AS sha, lpad(CAST(page_id AS VARCHAR), 12, '0') AS idt,
+    sha256(coalesce(html, '') || CASE WHEN page_id % 4 = 0 THEN '2' ELSE '' END) AS sha2, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END AS more
   FROM parts),
-resp AS (SELECT u, t, 'r' || idt AS id, tag, day FROM base),
+resp AS (
+  SELECT u, t, 'r' || idt AS id, '"' || substr(sha, 1, 16) || '"' AS tag, CAST(CAST(day AS DATE) AS VARCHAR) AS day, 'sha256:' || sha AS digest FROM base
+  UNION ALL SELECT u, t + 86400 * (5 + p % 11), 'q' || idt, '"' || substr(sha2, 1, 16) || '"', CAST(CAST(day + more AS DATE) AS VARCHAR), 'sha256:' || sha2 FROM base WHERE p % 3 <> 1),
 rev AS (
-  SELECT u, t + 7776000 AS t, 'v' || idt AS id,
-    CASE WHEN page_id % 3 <> 0 AND page_id % 7 <> 0 THEN 'W/' || tag END AS tag, CASE WHEN page_id % 7 <> 0 THEN day END AS day
+  SELECT u, t + (p * 7919) % 4000000 - 1000000 AS t, 'v' || idt AS id, CASE WHEN p % 7 > 3 THEN '"' || substr(sha, 1, 16) || '"' END AS tag,
+    CASE WHEN p % 7 IN (1, 2) OR p % 7 > 3 THEN CAST(CAST(day AS DATE) AS VARCHAR) END AS day,
+    CASE WHEN p % 7 = 3 OR (p % 7 > 3 AND p % 2 = 0) THEN 'sha256:' || sha END AS digest
   FROM base),
+latest AS (
+  SELECT v.*, r.id AS target_id, r.t AS target_at, r.tag AS old_tag, r.day AS old_day, r.digest AS old_digest
+  FROM rev v LEFT JOIN resp r ON v.u = r.u AND (r.t < v.t OR (r.t = v.t AND r.id < v.id))
+  QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY r.t DESC NULLS LAST, r.id DESC) = 1),
+checked AS (
+  SELECT *, tag = old_tag AS c1, CASE WHEN tag IS NULL OR old_tag IS NULL THEN day = old_day END AS c2, digest = old_digest AS c3 FROM latest),
 met AS (
-  SELECT v.*, r.id AS target_id, r.t AS target_at, r.tag AS old_tag, r.day AS old_day,
-    CASE WHEN r.id IS NULL THEN 'no_target' WHEN v.tag IS NOT NULL THEN CASE WHEN substr(v.tag, 3) = r.tag THEN 'resolved' ELSE 'mismatch' END
-      WHEN v.day IS NULL THEN 'unverified' WHEN v.day = r.day THEN 'resolved' ELSE 'mismatch' END AS outcome
-  FROM rev v ASOF LEFT JOIN resp r ON v.u = r.u AND v.t >= r.t)
-SELECT id AS record_id, u AS url_key, t AS revisit_at, outcome, target_id, target_at,
+  SELECT *, CASE WHEN target_id IS NULL THEN 'no_target' WHEN NOT c1 OR NOT c2 OR NOT c3 THEN 'mismatch'
+    WHEN c1 IS NULL AND c2 IS NULL AND c3 IS NULL THEN 'unverified' ELSE 'resolved' END AS outcome FROM checked)
+SELECT id AS record_id, u AS url_key, t AS revisit_at, outcome, target_id, target_at, coalesce(old_digest, digest) AS digest,
   CASE WHEN outcome IN ('resolved', 'unverified') THEN 'cache-control: max-age=3600' || chr(10) || 'content-type: text/html' || chr(10) || 'date: ' || t
-    || chr(10) || 'etag: ' || coalesce(tag, old_tag) || chr(10) || 'last-modified: ' || coalesce(day, old_day) END AS headers
+    || chr(10) || 'etag: ' || CASE WHEN tag IS NOT NULL THEN 'W/' || tag ELSE old_tag END || chr(10) || 'last-modified: ' || coalesce(day, old_day) END AS headers
 FROM met"""
 
 

@@ -147,30 +147,40 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture log that the pages table implies, for the query: each page was fetched once in full, and asked for again later.
+    """A capture log that the pages table implies, for the query: full fetches of each page, and one visit of a cache.
 
-    Times follow the page ids, so pages whose addresses agree in their canonical form are versions of one page. A
-    later visit names the tag of its own fetch (two of three pages), or only a date of change, or (every
-    seventh) no validator at all; another fetch of the address in between makes it a mismatch.
+    The first fetch follows the page id by the minute; two of three pages are fetched again some days later, every fourth of them changed. The
+    visit comes between eleven days before and five weeks after the first fetch, as the id decides: before any fetch, between two, or
+    after both. It names validators of the first fetch: none, a date, a digest, or a weak tag (every other one with a digest).
     """
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 60)
-    day = F.date_add(F.lit("2020-09-13").cast("date"), F.pmod("page_id", F.lit(50)).cast("int")).cast("string")
-    tag = F.concat(F.lit('"'), F.substring(F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256), 1, 16), F.lit('"'))
-    base = pages.select("page_id", "url", at.alias("at"), day.alias("day"), tag.alias("tag"))
-    id_text = F.lpad(F.col("page_id").cast("string"), 12, "0")
+    p, html = F.col("page_id"), F.coalesce("html", F.lit(""))
+    start = F.lit(1_700_000_000) + p * 60
+    day = F.date_add(F.lit("2020-09-13").cast("date"), F.pmod(p, F.lit(50)).cast("int"))
+    changed = F.pmod(p, F.lit(4)) == 0
+    again = F.sha2(F.concat(html, F.when(changed, F.lit("2")).otherwise(F.lit(""))).cast("binary"), 256)
+    base = pages.select("url", "page_id", F.lpad(p.cast("string"), 12, "0").alias("id"), start.alias("t"), day.alias("day"),
+                        F.sha2(html.cast("binary"), 256).alias("sha"), again.alias("sha2"), F.date_add(day, F.when(changed, 1).otherwise(0)).alias("day2"))
+
+    def tag(sha: str) -> Column:
+        return F.concat(F.lit('"'), F.substring(sha, 1, 16), F.lit('"'))
+
+    def digest(sha: str) -> Column:
+        return F.concat(F.lit("sha256:"), F.col(sha))
 
     def fields(*pairs: tuple[str, Column]) -> Column:
         return F.map_filter(F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
-    none = F.lit(None).cast("string")
-    first = base.select(
-        "url", "at", F.concat(F.lit("r"), id_text).alias("record_id"), F.lit("response").alias("kind"), F.lit(200).alias("status"), "tag",
-        fields(("content-type", F.lit("text/html")), ("etag", F.col("tag")), ("last-modified", F.col("day")),
-               ("cache-control", F.lit("max-age=60")), ("date", F.unix_seconds("at").cast("string"))).alias("headers"))
-    again = F.col("at") + F.expr("INTERVAL 7776000 SECONDS")
-    later = base.select(
-        F.concat("url", F.lit("#again")).alias("url"), again.alias("at"),
-        F.concat(F.lit("v"), id_text).alias("record_id"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), "tag",
-        fields(("etag", F.when((F.col("page_id") % 3 != 0) & (F.col("page_id") % 7 != 0), F.concat(F.lit("W/"), F.col("tag")))),
-               ("last-modified", F.when(F.col("page_id") % 7 != 0, F.col("day"))), ("cache-control", F.lit("max-age=3600")),
-               ("content-type", F.lit("ignored")), ("date", F.unix_seconds(again).cast("string"))).alias("headers"))
-    return first.unionByName(later).withColumn("digest", none)
+
+    def fetch(rows: DataFrame, mark: str, t: Column, sha: str, day: str) -> DataFrame:
+        return rows.select(
+            "url", F.timestamp_seconds(t).alias("at"), F.concat(F.lit(mark), "id").alias("record_id"), F.lit("response").alias("kind"), F.lit(200).alias("status"),
+            digest(sha).alias("digest"), fields(("content-type", F.lit("text/html")), ("etag", tag(sha)), ("last-modified", F.col(day).cast("string")),
+                                                ("cache-control", F.lit("max-age=60")), ("date", t.cast("string"))).alias("headers"))
+    first = fetch(base, "r", F.col("t"), "sha", "day")
+    second = fetch(base.where(F.pmod(p, F.lit(3)) != 1), "q", F.col("t") + 86_400 * (5 + F.pmod(p, F.lit(11))), "sha2", "day2")
+    t, kind = F.col("t") + F.pmod(p * 7919, F.lit(4_000_000)) - 1_000_000, F.pmod(p, F.lit(7))
+    visit = base.select(
+        F.concat("url", F.lit("#again")).alias("url"), F.timestamp_seconds(t).alias("at"), F.concat(F.lit("v"), "id").alias("record_id"),
+        F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.when((kind == 3) | ((kind > 3) & (F.pmod(p, F.lit(2)) == 0)), digest("sha")).alias("digest"),
+        fields(("etag", F.when(kind > 3, F.concat(F.lit("W/"), tag("sha")))), ("last-modified", F.when(kind.isin(1, 2) | (kind > 3), F.col("day").cast("string"))),
+               ("cache-control", F.lit("max-age=3600")), ("content-type", F.lit("ignored")), ("date", t.cast("string"))).alias("headers"))
+    return first.unionByName(second).unionByName(visit)

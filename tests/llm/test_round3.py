@@ -338,3 +338,18 @@ def test_language_sample_takes_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(language, "fit", lambda texts, langs, seed=5: taken.update(t=texts, l=langs))
     language.train(spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, k int"))
     assert Counter(taken["l"]) == {"en": 30, "xx": 3} and len(set(taken["t"])) == 33
+
+
+# ---- the capture log of the revisit query
+
+def test_revisits_of_the_query_meet_every_case(spark):
+    from factorspark.llm import warc
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    out = queries.op10_warc_revisits(spark, "/root/testdata/sf0.01").toPandas()
+    assert set(out["outcome"]) == {"no_target", "mismatch", "unverified", "resolved"}
+    assert len(out) == pages.count() and out["digest"].notna().sum() > len(out) / 2
+    log = warc.captures_of_pages(pages).where("kind = 'response'").select(warc.canonical_url(F.col("url")).alias("u"), "record_id", "at").toPandas()
+    newest = log.sort_values(["at", "record_id"]).groupby("u")["record_id"].last()
+    met = out[out["target_id"].notna()]
+    assert (met["target_id"].to_numpy() != newest[met["url_key"]].to_numpy()).mean() > 0.1      # the latest earlier one is often not the latest
+    assert (met["target_at"] <= met["revisit_at"]).all()
