@@ -8,19 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorspark.functions.exprs import min_max
-from factorspark.session import checkpointed
+from factorspark.session import checkpointed, shared
+
+
+RANGE_ROWS = 1_000_000
 
 
 def full_rank(df: DataFrame, keys: Sequence[str], by: str, tie: str = "symbol", out: str = "rank", ranges: int | None = None) -> DataFrame:
     """Rank 1..n by ``by`` descending within each key, ties by ``tie``; every row is ranked.
 
     The rows are range-partitioned on (keys, score, tie), which splits a large group over many tasks; each
-    range numbers its own rows and adds the counts of the ranges before it.
+    range numbers its own rows and adds the counts of the ranges before it. There is a range for every RANGE_ROWS rows, and one for each
+    shuffle partition at least. The rows are computed once, for their number, the borders' sample and the exchange.
     """
     keys = list(keys)
     order = [F.desc_nulls_last(by), F.asc(tie)]
-    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    kept = shared(df)
+    n = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // RANGE_ROWS))
+    spread = kept.repartitionByRange(n, *[F.col(k) for k in keys], *order)
     # the tag must not change between its two uses, so it is written once
     tagged = checkpointed(spread.withColumn("_range", F.spark_partition_id()))
     counts = tagged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
