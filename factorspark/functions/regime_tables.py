@@ -55,7 +55,7 @@ FACTOR_WEIGHTS: dict[str, tuple] = {
 # A second named set of factor weights (percent), in the order of REGIMES. It has names of its own: ``volatility_penalty``
 # is what a stability score lacks to 1, for ``credit`` there is no data, so it is neutral.
 PRESETS: dict[str, dict[str, tuple]] = {
-    "regime_detector": {
+    "second": {
         "momentum": (60.0, 45.0, 10.0),
         "growth": (15.0, 10.0, 0.0),
         "technical": (15.0, 10.0, 0.0),

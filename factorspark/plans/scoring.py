@@ -404,7 +404,7 @@ def regime_factor_ranking(spark, sf):
     return full_rank(scored, ["regime"], "score")
 
 
-PRESET = "regime_detector"
+PRESET = "second"
 _PRESET_ALL = {f: PRESETS[PRESET].get(f, (0.0, 0.0, 0.0)) for f in (*FACTOR_WEIGHTS, "volatility_penalty")}
 PRESET_SQL = tuple(c if c is not FW_SQL else _values(_PRESET_ALL, "fw", "w_") for c in RANK_SQL[:-1]) + (
     RANK_SQL[-1].replace("coalesce(insider, 0) AS score", "coalesce(insider, 0) + w_volatility_penalty * coalesce(1 - stability, 0) AS score"),)
