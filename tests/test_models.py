@@ -90,6 +90,13 @@ def test_classifier_learns_a_planted_rule(spark):
     assert max(weights, key=weights.get) == rv.FEATURES[0]
 
 
+def test_training_table_has_partitions_by_its_rows(spark):
+    rows = spark.range(0, 1000, 1, 16).select(F.format_string("S%d", F.col("id") % 7).alias("symbol"), F.date_add(F.lit(DAY), F.col("id").cast("int")).alias("d"), "id")
+    few, more = rv.by_size(rows), rv.by_size(rows, rows_each=300)
+    assert few.rdd.getNumPartitions() == 1 and more.rdd.getNumPartitions() == 4
+    assert sorted(r.id for r in few.collect()) == sorted(r.id for r in more.collect()) == list(range(1000))
+
+
 def returns_frame(spark, x, names):
     t, n = x.shape
     pdf = pd.DataFrame({"portfolio": "p", "d": np.repeat([DAY + dt.timedelta(days=k) for k in range(t)], n), "symbol": np.tile(names, t), "ret": x.ravel()})
