@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.session import checkpointed, settled
+from factorspark.session import checkpointed, settled, shared
 
 EPS = 1e-9
 KEY = ["portfolio", "symbol"]
@@ -37,16 +38,19 @@ def normalise(tx: DataFrame) -> DataFrame:
 
 # ---- held shares -----------------------------------------------------------------------
 
+def _ranges(tx: DataFrame, rows_each: int) -> int:
+    """One range for ``rows_each`` trades, within the borders that a range partitioning may keep."""
+    return max(int(tx.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(RANGES_MOST, -(-tx.count() // rows_each)))
+
+
 def ranged(tx: DataFrame, rows_each: int = BLOCK_ROWS) -> DataFrame:
     """Trades with the number ``rng`` of their range by (position, day, tx_seq), about ``rows_each`` rows each, written once.
 
     The ranges of a position follow each other by number; one that owns most trades, or one day of it, just has many of them. Beyond
     RANGES_MOST ranges they grow instead, and whoever needs bounded blocks cuts them.
     """
-    spark = tx.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(RANGES_MOST, -(-tx.count() // rows_each)))
     # the number must not change between its uses, so it is written
-    return checkpointed(tx.repartitionByRange(n, *KEY, "d", "tx_seq").withColumn("rng", F.spark_partition_id()))
+    return checkpointed(tx.repartitionByRange(_ranges(tx, rows_each), *KEY, "d", "tx_seq").withColumn("rng", F.spark_partition_id()))
 
 
 def daily_shares(tx: DataFrame, rows_each: int = BLOCK_ROWS) -> DataFrame:
@@ -107,67 +111,115 @@ def daily_value(tx: DataFrame, closes: DataFrame) -> DataFrame:
 
 # ---- average cost ----------------------------------------------------------------------
 
-OP_FIELDS = ("type", "price", "shares", "commission")
-
-
-def _blocks(tx: DataFrame, block_rows: int) -> DataFrame:
-    """Trades of each range of a position as arrays of at most ``block_rows`` in order; ``blk`` numbers them."""
-    listed = F.array_sort(F.collect_list(F.struct("d", "tx_seq", F.struct(*OP_FIELDS).alias("op"))))
-    own = Window.partitionBy(*KEY, "rng").orderBy("d", "tx_seq")
-    rows = ranged(tx, block_rows).withColumn("_sub", F.floor((F.row_number().over(own) - 1) / block_rows))
-    blocks = rows.groupBy(*KEY, "rng", "_sub").agg(listed.alias("ops"))
-    blocks = blocks.select(*KEY, (F.col("rng").cast("long") * STRIDE + F.col("_sub") + 1).alias("blk"), "ops")
-    return blocks.withColumn("ops", F.transform("ops", lambda o: o["op"]))
-
+BUY, SELL, DIVIDEND = 1, 2, 3
+FACTS = ("net", "low", "big", "at_sale")
 
-def _is(o: Column, kind: str) -> Column:
-    return o["type"] == kind
 
+def _facts(kind: np.ndarray, shares: np.ndarray) -> tuple[float, float, float, float]:
+    """Net of bought and sold shares, its lowest value (0 at most), the largest sale, the lowest value a sale meets."""
+    sold = kind == SELL
+    q = np.where(kind == BUY, shares, np.where(sold, -shares, 0.0))
+    run = np.cumsum(q)
+    return run[-1], min(run.min(), 0.0), max(shares[sold].max(), 0.0) if sold.any() else 0.0, (run - q)[sold].min() if sold.any() else np.inf
 
-def _walk_shares(ops: Column, start: Column) -> Column:
-    """Shares after the block: a sale counts only while something is held."""
-    def step(s, o):
-        return (F.when(_is(o, "Buy"), s + o["shares"])
-                .when(_is(o, "Sell") & (s > EPS), s - o["shares"]).otherwise(s))
-    return F.aggregate(ops, start, step)
 
+def _blocks(tx: DataFrame, block_rows: int) -> DataFrame:
+    """Trades of each range of a position as arrays of at most ``block_rows`` in order, with their facts; ``blk`` numbers them.
 
-def _walk_cost(ops: Column, shares: Column) -> Column:
+    Ranges are sorted once, where they are dealt, and cut into blocks as they stream by. A range holds many small blocks: a shuffle has
+    a part for each range, so their number must follow from the trades and not from the size of a block. A position without a portfolio
+    or symbol meets nothing in the joins on them.
+    """
+    kind = F.when(F.col("type") == "Buy", BUY).when(F.col("type") == "Sell", SELL).when(F.col("type") == "Dividend", DIVIDEND).otherwise(0)
+    order = [*KEY, "d", "tx_seq"]
+    rows = tx.where(" AND ".join(f"{k} IS NOT NULL" for k in KEY)).select(*order, kind.cast("tinyint").alias("ops"), "price", "shares", "commission")
+    rows = rows.repartitionByRange(_ranges(tx, max(block_rows, BLOCK_ROWS)), *order).sortWithinPartitions(*order).drop("d", "tx_seq")
+    columns = ["ops", "price", "shares", "commission"]
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = TaskContext.get().partitionId() * STRIDE + 1
+        key, sub, parts, size = None, 0, [], 0
+
+        def block() -> tuple:
+            held = [np.concatenate(x) for x in zip(*parts)]
+            return (*key, first + sub, *held, *_facts(held[0], held[2]))
+        names = [*KEY, "blk", *columns, *FACTS]
+        for batch in batches:
+            if not len(batch):
+                continue
+            a, b = (batch[k].to_numpy() for k in KEY)
+            new = (np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1).tolist()
+            values, out = [batch[c].to_numpy() for c in columns], []
+            for at, end in zip([0, *new], [*new, len(batch)]):
+                if key != (a[at], b[at]):
+                    if size:
+                        out.append(block())
+                    key, sub, parts, size = (a[at], b[at]), 0, [], 0
+                while at < end:
+                    upto = min(end, at + block_rows - size)
+                    parts.append([v[at:upto] for v in values])
+                    size, at = size + upto - at, upto
+                    if size == block_rows:
+                        out.append(block())
+                        sub, parts, size = sub + 1, [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if size:
+            yield pd.DataFrame([block()], columns=names)
+    types = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in KEY)
+    doubles = ", ".join(f"{c} double" for c in FACTS)
+    # the numbers must not change between their uses, so they are written
+    return checkpointed(rows.mapInPandas(cut, f"{types}, blk long, ops array<tinyint>, price array<double>, shares array<double>, "
+                                              f"commission array<double>, {doubles}"))
+
+
+# The walks go through a block's trades in order. A sale counts only while something is held; NaN counts as held, as it does in SQL.
+
+def _walked(kinds: list, shares: list, s: float) -> float:
+    """Shares after the block."""
+    for k, q in zip(kinds, shares):
+        if k == BUY:
+            s += q
+        elif k == SELL and not s <= EPS:
+            s -= q
+    return s
+
+
+def _walk_cost(ops: pd.Series, price: pd.Series, shares: pd.Series, start: pd.Series) -> pd.DataFrame:
     """The block's effect on cost as ``scale * cost + add`` for known shares at its start."""
-    def step(a, o):
-        s = a["s"]
-        sold = _is(o, "Sell") & (s > EPS)
-        left = F.when(sold, F.greatest(F.try_divide(s - o["shares"], s), F.lit(0.0))).otherwise(1.0)
-        buy = _is(o, "Buy")
-        return F.struct(
-            F.when(buy, s + o["shares"]).when(sold, s - o["shares"]).otherwise(s).alias("s"),
-            (a["scale"] * left).alias("scale"),
-            (a["add"] * left + F.when(buy, o["shares"] * o["price"]).otherwise(0.0)).alias("add"))
-    return F.aggregate(ops, F.struct(shares.alias("s"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("add")), step)
+    out = []
+    for kinds, prices, amounts, s in zip(ops, price, shares, start):
+        scale, add = 1.0, 0.0
+        for k, p, q in zip(kinds.tolist(), prices.tolist(), amounts.tolist()):
+            if k == BUY:
+                s, add = s + q, add + q * p
+            elif k == SELL and not s <= EPS:
+                left = max((s - q) / s, 0.0)
+                s, scale, add = s - q, scale * left, add * left
+        out.append((scale, add))
+    return pd.DataFrame(out, columns=["scale", "add"])
 
 
 TOTALS = ("realized", "open_commission", "realized_commission", "dividends", "bought", "commission")
 
 
-def _walk_full(ops: Column, shares: Column, cost: Column) -> Column:
-    zero = F.lit(0.0)
-
-    def step(a, o):
-        s, c, fee, amount = a["s"], a["c"], o["commission"], o["shares"] * o["price"]
-        buy, sold, div = _is(o, "Buy"), _is(o, "Sell") & (s > EPS), _is(o, "Dividend")
-        avg = F.try_divide(c, s)
-        gain = (o["price"] - avg) * o["shares"] - fee
-        return F.struct(
-            F.when(buy, s + o["shares"]).when(sold, s - o["shares"]).otherwise(s).alias("s"),
-            F.when(buy, c + amount).when(sold, F.greatest((s - o["shares"]) * avg, zero)).otherwise(c).alias("c"),
-            (a["realized"] + F.when(sold, gain).otherwise(0.0)).alias("realized"),
-            (a["open_commission"] + F.when(buy | sold, fee).otherwise(0.0)).alias("open_commission"),
-            (a["realized_commission"] + F.when(sold | div, fee).otherwise(0.0)).alias("realized_commission"),
-            (a["dividends"] + F.when(div, amount - fee).otherwise(0.0)).alias("dividends"),
-            (a["bought"] + F.when(buy, amount).otherwise(0.0)).alias("bought"),
-            (a["commission"] + fee).alias("commission"))
-    start = F.struct(shares.alias("s"), cost.alias("c"), *[zero.alias(n) for n in TOTALS])
-    return F.aggregate(ops, start, step)
+def _walk_full(ops: pd.Series, price: pd.Series, shares: pd.Series, commission: pd.Series, start: pd.Series, cost: pd.Series) -> pd.DataFrame:
+    """Shares and cost after the block, and what it adds to the totals."""
+    out = []
+    for kinds, prices, amounts, fees, s, c in zip(ops, price, shares, commission, start, cost):
+        realized = opened = closed = paid = bought = every = 0.0
+        for k, p, q, fee in zip(kinds.tolist(), prices.tolist(), amounts.tolist(), fees.tolist()):
+            every += fee
+            if k == BUY:
+                s, c, bought, opened = s + q, c + q * p, bought + q * p, opened + fee
+            elif k == SELL and not s <= EPS:
+                avg = c / s
+                s, realized, opened, closed = s - q, realized + (p - avg) * q - fee, opened + fee, closed + fee
+                c = max(s * avg, 0.0)
+            elif k == DIVIDEND:
+                paid, closed = paid + q * p - fee, closed + fee
+        out.append((s, c, realized, opened, closed, paid, bought, every))
+    return pd.DataFrame(out, columns=["s", "c", *TOTALS])
 
 
 def share_map(moves: np.ndarray, lo: float, hi: float) -> tuple[np.ndarray, np.ndarray]:
@@ -220,38 +272,34 @@ def _opening_shares(blocks: DataFrame) -> DataFrame:
     more than is held leaves a debt). So a block's map is needed on an interval of that length only. Where no sale of the block can
     meet an empty position it is one interval; before the first sale it is one point.
     """
-    def walk(acc, o):
-        q = F.when(_is(o, "Buy"), o["shares"]).when(_is(o, "Sell"), -o["shares"]).otherwise(0.0)
-        sells = _is(o, "Sell")
-        return F.struct((acc["net"] + q).alias("net"), F.least(acc["low"], acc["net"] + q).alias("low"),
-                        F.greatest(acc["big"], F.when(sells, o["shares"]).otherwise(0.0)).alias("big"),
-                        F.least(acc["at_sale"], F.when(sells, acc["net"]).otherwise(acc["at_sale"])).alias("at_sale"))
-    far = F.lit(float("inf"))
-    facts = F.aggregate("ops", F.struct(F.lit(0.0).alias("net"), F.lit(0.0).alias("low"), F.lit(0.0).alias("big"), far.alias("at_sale")), walk)
     earlier = Window.partitionBy(*KEY).orderBy("blk").rowsBetween(UNBOUNDED, -1)
-    state = blocks.select(*KEY, "blk", facts.alias("f")).select(*KEY, "blk", "f.*")
+    state = blocks.select(*KEY, "blk", *FACTS)
     state = state.withColumn("_before", F.coalesce(F.sum("net").over(earlier), F.lit(0.0)))
     state = state.withColumns({"_floor": F.least(F.min(F.col("_before") + F.col("low")).over(earlier), F.lit(0.0)),
                                "_debt": F.coalesce(F.max("big").over(earlier), F.lit(0.0))})
     hi = F.col("_before") - F.coalesce("_floor", F.lit(0.0))
-    state = state.select(*KEY, "blk", "net", "at_sale", (hi + MARGIN).alias("hi"), (hi - F.col("_debt") - MARGIN).alias("lo"), (F.col("_debt") == 0).alias("exact"))
+    state = state.select(*KEY, "blk", (hi + MARGIN).alias("hi"), (hi - F.col("_debt") - MARGIN).alias("lo"), (F.col("_debt") == 0).alias("exact"))
     st = blocks.join(state, [*KEY, "blk"])
     plain = F.col("lo") + F.col("at_sale") > EPS
-    moves = F.transform(F.filter("ops", lambda o: _is(o, "Buy") | _is(o, "Sell")), lambda o: F.when(_is(o, "Buy"), o["shares"]).otherwise(-o["shares"]))
+    asked = F.col("exact") | ~plain
 
     @F.pandas_udf("upto array<double>, add array<double>")
-    def mapped(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for frames in parts:
-            out = [(None, None) if m is None else tuple(x.tolist() for x in share_map(np.asarray(m, float), lo, hi)) for m, lo, hi in zip(*frames)]
-            yield pd.DataFrame(out, columns=["upto", "add"])
-    point = F.col("hi") - MARGIN
-    shift = F.when(F.col("exact"), _walk_shares(F.col("ops"), point) - point).otherwise(F.col("net"))
-    simple = F.col("exact") | plain
-    st = st.select(*KEY, "blk", "lo", "hi", simple.alias("_simple"), F.when(simple, shift).alias("_shift"), F.when(~simple, moves).alias("_moves"))
-    st = st.withColumn("m", mapped("_moves", "lo", "hi"))
+    def mapped(ops: pd.Series, shares: pd.Series, lo: pd.Series, hi: pd.Series, exact: pd.Series) -> pd.DataFrame:
+        out = []
+        for kinds, amounts, low, high, known in zip(ops, shares, lo, hi, exact):
+            if kinds is None:
+                out.append((None, None))
+            elif known:
+                point = high - MARGIN
+                out.append(([high], [_walked(kinds.tolist(), amounts.tolist(), point) - point]))
+            else:
+                moves = np.where(kinds == BUY, amounts, -amounts)[(kinds == BUY) | (kinds == SELL)]
+                out.append(tuple(x.tolist() for x in share_map(moves, low, high)))
+        return pd.DataFrame(out, columns=["upto", "add"])
+    st = st.select(*KEY, "blk", "lo", "hi", "net", "exact", *[F.when(asked, F.col(c)).alias(c) for c in ("ops", "shares")])
+    st = st.withColumn("m", mapped("ops", "shares", "lo", "hi", "exact"))
     maps = settled(st.select(*KEY, "blk", F.floor(F.col("blk") / MAP_FAN).alias("grp"), "lo",
-                             F.when(F.col("_simple"), F.array("hi")).otherwise(F.col("m.upto")).alias("upto"),
-                             F.when(F.col("_simple"), F.array("_shift")).otherwise(F.col("m.add")).alias("add")))
+                             F.coalesce("m.upto", F.array("hi")).alias("upto"), F.coalesce("m.add", F.array("net")).alias("add")))
 
     def composed(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("blk")
@@ -310,14 +358,19 @@ def _opening_cost(maps: DataFrame, fan: int, levels: int = 3) -> DataFrame:
 
 def positions(tx: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Average-cost result per position: shares, cost, realized profit, dividends, commissions."""
-    blocks = settled(_blocks(tx, block_rows))
-    opened = blocks.join(_opening_shares(blocks), [*KEY, "blk"])
-    opened = opened.withColumn("m", _walk_cost(F.col("ops"), F.col("s0")))
-    costs = _opening_cost(opened.select(*KEY, F.col("blk").cast("long").alias("blk"), "m.scale", "m.add"), fan)
-    done = opened.join(costs, [*KEY, "blk"]).withColumn("r", _walk_full(F.col("ops"), F.col("s0"), F.col("c0")))
+    at = [*KEY, "blk"]
+    cost = F.pandas_udf(_walk_cost, "scale double, add double")
+    full = F.pandas_udf(_walk_full, "s double, c double, " + ", ".join(f"{n} double" for n in TOTALS))
+    # stored by what they are joined on: only the small sides of the joins move
+    blocks = settled(_blocks(tx, block_rows).repartition(*at))
+    opened = blocks.select(*at, "ops", "price", "shares", "commission").join(_opening_shares(blocks), at)
+    # every level of the tree reads the maps, so the walks are stored
+    costs = _opening_cost(settled(opened.select(*at, cost("ops", "price", "shares", "s0").alias("m")).select(*at, "m.scale", "m.add")), fan)
+    done = opened.join(costs, at).select(*at, full("ops", "price", "shares", "commission", "s0", "c0").alias("r"))
     out = done.groupBy(*KEY).agg(F.max_by("r.s", "blk").alias("shares"), F.max_by("r.c", "blk").alias("total_cost"),
                                  *[F.sum(f"r.{n}").alias(n) for n in TOTALS])
-    return out.withColumn("avg_cost", F.when(F.col("shares") > EPS, F.col("total_cost") / F.col("shares")))
+    # one row for each position, which several tables are made of: the walks run once
+    return shared(out.withColumn("avg_cost", F.when(F.col("shares") > EPS, F.col("total_cost") / F.col("shares"))))
 
 
 def open_positions(pos: DataFrame) -> DataFrame:

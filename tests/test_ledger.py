@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factorspark.operators import ledger as lg
 
@@ -147,3 +148,12 @@ def test_auto_dividends_skip_manual_symbols(spark):
                                  "symbol string, ex_date date, amount double")
     out = {r["symbol"]: r["dividend_income"] for r in lg.auto_dividends(spark.createDataFrame(rows, SCHEMA), divs).collect()}
     assert out == {"A": 2.5}
+
+
+def test_small_blocks_need_no_more_ranges_and_positions_are_walked_once(spark):
+    tx = spark.createDataFrame(hot_day(7), SCHEMA)
+    blocks = lg._blocks(tx, 4)
+    assert blocks.select((F.col("blk") / lg.STRIDE).cast("int")).distinct().count() <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert blocks.rdd.getNumPartitions() <= int(spark.conf.get("spark.sql.shuffle.partitions"))     # 150 before
+    assert max(len(r["ops"]) for r in blocks.collect()) == 4
+    assert lg.positions(tx).is_cached
