@@ -109,3 +109,25 @@ def test_property_words(spark):
     df = spark.createDataFrame([("Real Estate", "x", True), ("Tech", "REIT - Office", True), ("Tech", "Software", False),
                                 (None, "REIT", False)], "s string, i string, want boolean")
     assert all(r[0] == r[1] for r in df.select(sc.property_related(F.col("s"), F.col("i")), "want").collect())
+
+
+def test_trailing_frames_equal_numpy_with_few_sliding_frames(spark):
+    rng = np.random.default_rng(4)
+    x = [None if k == 5 else float(v) for k, v in enumerate(rng.normal(1e6, 1, 60))]
+    rows = [(s, k, 7.1 if s == "C" else v) for s in "ABC" for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "symbol string, d int, close double")
+    both = ind.trailing_zscore(ind.moving_averages(df, sizes=(1, 5, 13)), n=13)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    # a sliding frame goes over all its rows at each row: none for the z-score, the mean alone in the others
+    assert "stddev" not in plan and plan.count("count(") == 1
+    got = {(r["symbol"], r["d"]): r for r in both.collect()}
+    assert len(got) == len(rows)
+    for k in range(60):
+        for n in (1, 5, 13):
+            part = x[max(k - n + 1, 0):k + 1]
+            want = np.mean(part) if len(part) == n and None not in part else None
+            assert got["B", k][f"sma_{n}"] == (want if want is None else pytest.approx(want, rel=1e-12))
+        part = x[max(k - 12, 0):k + 1]
+        want = (part[-1] - np.mean(part)) / np.std(part, ddof=1) if len(part) == 13 and None not in part else None
+        assert got["A", k]["zscore"] == (want if want is None else pytest.approx(want, rel=1e-6))
+        assert got["C", k]["zscore"] is None            # no spread: exactly 0
