@@ -8,11 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import WordCodes, small_batches, stored
+from factorspark.llm.common import WordCodes, alone, discard, small_batches, stored
 
 #: The most frequent words go to the tasks with their counts, so that no word with many pairs lands in one bucket.
 #: All other words, and all pairs, are counted and looked up in buckets; nothing is left out.
@@ -33,7 +33,7 @@ _CODES = WordCodes()
 
 def _words(text: str | None) -> np.ndarray:
     listed = (text or "").split()
-    codes = np.fromiter(map(_CODES.__getitem__, listed), np.int64, len(listed))
+    codes = np.fromiter(map(alone(_CODES).__getitem__, listed), np.int64, len(listed))
     return codes[codes > 0]
 
 
@@ -68,13 +68,14 @@ class Vocabulary:
     codes: np.ndarray           # sorted word codes
     toxic: np.ndarray           # counts in toxic and ordinary texts
     ordinary: np.ndarray
+    order: np.ndarray | None = None     # where each word's counts stand, if not in the order of the codes
 
     def places(self, codes: np.ndarray) -> np.ndarray:
-        """Index of each word, -1 if it isn't listed here."""
+        """Index of each word's counts, -1 if it isn't listed here."""
         if not len(self.codes):
             return np.full(len(codes), -1, np.int64)
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, at, -1)
+        return np.where(self.codes[at] == codes, at if self.order is None else self.order[at], -1)
 
 
 #: Ids of listed words lie below LISTED, those of other words above OTHER.
@@ -132,29 +133,37 @@ def _unpacked(blob: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(steps, dtype=np.uint64), *[x.view(np.int64) for x in rest]]
 
 
-COUNTS = "bucket int, counts binary"
+COUNTS = "bucket int, near binary, far binary"
 
 
-def _summed(keys: np.ndarray, words: np.ndarray, t: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
+def _summed(keys: np.ndarray, words: np.ndarray, before: np.ndarray, t: np.ndarray, o: np.ndarray) -> list[np.ndarray]:
     found, first, at = np.unique(keys, return_index=True, return_inverse=True)
-    return [found, words[first], *[np.bincount(at, x, len(found)).astype(np.int64) for x in (t, o)]]
+    return [found, words[first], before[first], *[np.bincount(at, x, len(found)).astype(np.int64) for x in (t, o)]]
 
 
-def _write_counts(bucket: int, keys: np.ndarray, words: np.ndarray, t: np.ndarray, o: np.ndarray) -> dict:
-    return {"bucket": bucket, "counts": _packed(keys, np.where(keys < _TOP, 0, words), t, o)}
+def _write_counts(bucket: int, keys: np.ndarray, words: np.ndarray, before: np.ndarray, t: np.ndarray, o: np.ndarray) -> dict:
+    """The key of two listed words tells both; other keys are made again of the word, by whose id they lie, and its history."""
+    near, far = np.flatnonzero(keys < _TOP), np.flatnonzero(keys >= _TOP)
+    far = far[np.lexsort((before[far], np.abs(words[far])))]
+    return {"bucket": bucket, "near": _packed(keys[near], t[near], o[near]), "far": _packed(np.abs(words[far]), before[far], t[far], o[far])}
 
 
-def _read_counts(blobs: Iterable[bytes]) -> list[np.ndarray]:
-    """Keys, words (minus its id where a word stands alone) and counts by class."""
-    keys, words, t, o = [np.concatenate(x) for x in zip(_unpacked(b"", 4), *[_unpacked(b, 4) for b in blobs])]
-    return [keys, np.where(keys < _TOP, (keys >> np.uint64(20)).astype(np.int64), words), t, o]
+def _read_counts(near: Iterable[bytes], far: Iterable[bytes]) -> list[np.ndarray]:
+    """Keys in ascending order, words (minus its id where a word stands alone), their histories and counts by class."""
+    keys, *counts = [np.concatenate(x) for x in zip(_unpacked(b"", 3), *[_unpacked(b, 3) for b in near])]
+    words, before, *others = [np.concatenate(x) for x in zip(_unpacked(b"", 4), *[_unpacked(b, 4) for b in far])]
+    words = words.astype(np.int64)
+    every = [np.concatenate([keys, _keys(before, words)]), np.concatenate([(keys >> np.uint64(20)).astype(np.int64), np.where(before == 0, -words, words)]),
+             np.concatenate([(keys & np.uint64(LISTED - 1)).astype(np.int64), before]), *[np.concatenate(x) for x in zip(counts, others)]]
+    order = np.argsort(every[0], kind="stable")
+    return [x[order] for x in every]
 
 
 def _pair_counter(sent, buckets: int):
     """Per task: in how many texts of each class a pair stands, and a word that isn't listed."""
-    def packed(parts: list[tuple[np.ndarray, np.ndarray, bool]]) -> pd.DataFrame:
-        bad = np.repeat(np.array([p[2] for p in parts], np.int64), [len(p[0]) for p in parts])
-        columns = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), bad, 1 - bad)
+    def packed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]) -> pd.DataFrame:
+        bad = np.repeat(np.array([p[3] for p in parts], np.int64), [len(p[0]) for p in parts])
+        columns = _summed(*[np.concatenate([p[k] for p in parts]) for k in range(3)], bad, 1 - bad)
         by = _buckets(columns[0], np.abs(columns[1]), buckets)
         return pd.DataFrame([_write_counts(k, *[x[at] for x in columns]) for k, at in _cut(by, buckets)])
 
@@ -168,10 +177,10 @@ def _pair_counter(sent, buckets: int):
                 rare = np.unique(ids)
                 rare = rare[rare >= LISTED]
                 keys = np.concatenate([_keys(ids[:-1], ids[1:]), _keys(np.zeros_like(rare), rare)])
-                words = np.concatenate([ids[1:], -rare])
+                words, before = np.concatenate([ids[1:], -rare]), np.concatenate([ids[:-1], np.zeros_like(rare)])
                 keys, first = np.unique(keys, return_index=True)
                 if len(keys):
-                    parts.append((keys, words[first], bool(label)))
+                    parts.append((keys, words[first], before[first], bool(label)))
                     held += len(keys)
                 if held >= CHUNK:
                     yield packed(parts)
@@ -182,14 +191,14 @@ def _pair_counter(sent, buckets: int):
 
 
 def _merged(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame([_write_counts(int(rows["bucket"].iloc[0]), *_summed(*_read_counts(rows["counts"])))])
+    return pd.DataFrame([_write_counts(int(rows["bucket"].iloc[0]), *_summed(*_read_counts(rows["near"], rows["far"])))])
 
 
 def _histories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How many pairs each listed word has (by place), and how many pairs stand in one text (-1) and in two (-2)."""
     for batch in batches:
-        for blob in batch["counts"]:
-            _, words, t, o = _read_counts([blob])
+        for near, far in zip(batch["near"], batch["far"]):
+            _, words, _, t, o = _read_counts([near], [far])
             place, n = np.unique(words[(words > 0) & (words < LISTED)] - 1, return_counts=True)
             for k in (1, 2):
                 place, n = np.append(place, -k), np.append(n, ((words > 0) & (t + o == k)).sum())
@@ -245,26 +254,41 @@ class Model:
     counts: DataFrame           # counts of all pairs and of the other words, one row for each bucket
     buckets: int
     scale: np.ndarray           # intercept and weights of the score
+    sent: Broadcast | None = None       # the listed words and histories in the tasks, sent once
 
 
 ASKED = "bucket int, chunk bigint, salt int, listed binary, others binary, own binary, ids array<string>, sums binary"
 PARTIAL = "bucket int, chunk bigint, docs binary, parts binary, ids array<string>, sums binary"
 
 
+def _grown(batches: Iterator[pd.DataFrame], rows: int = 1024, letters: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Batches joined up to so many rows or letters: texts that ask together name a key once."""
+    held, n, size = [], 0, 0
+    for batch in batches:
+        long = sum(map(len, filter(None, batch["text"])))
+        if held and (n + len(batch) > rows or size + long > letters):
+            yield pd.concat(held, ignore_index=True)
+            held, n, size = [], 0, 0
+        held.append(batch)
+        n, size = n + len(batch), size + long
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _asker(sent, rates: Rates, buckets: int, salts: int):
     """Batches of texts -> what they ask of each bucket, and the sums over their listed words."""
     def entries(words: np.ndarray, before: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-        """Keys, words, texts and how often each stands there, by key."""
+        """Keys, words, their histories, texts and how often each stands there, by word and key."""
         keys = _keys(before, words)
-        order = np.lexsort((doc, keys))
+        order = np.lexsort((doc, keys, words)) if (words >= LISTED).any() else np.lexsort((doc, keys))
         k, d = keys[order], doc[order]
         first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(k) else np.empty(0, np.int64)
-        return [k[first], words[order][first], d[first], np.diff(np.append(first, len(k)))]
+        return [k[first], words[order][first], before[order][first], d[first], np.diff(np.append(first, len(k)))]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, histories = sent.value
         chunk = TaskContext.get().partitionId() << 33
-        for batch in batches:
+        for batch in _grown(batches):
             texts = [_words(x) for x in batch["text"]]
             sizes = np.array([len(x) for x in texts], np.int64)
             ids = _ids(np.concatenate([np.empty(0, np.int64), *texts]), vocabulary)
@@ -275,14 +299,14 @@ def _asker(sent, rates: Rates, buckets: int, salts: int):
             at = ids[here] - 1
             own = batch["own"].to_numpy(np.int8)
             p_t, p_o = rates.words(vocabulary.toxic[at], vocabulary.ordinary[at], histories[at], own[doc[here]])
-            sums = np.vstack([sizes, _per_text(doc[here], _tiers(np.log(p_t / p_o)), len(texts))]).astype(float)
+            sums = np.vstack([sizes, _per_text(doc[here], _tiers(np.log(p_t / p_o)), len(texts))]).astype(np.float32)
             pairs = here & (before != 0)
             listed, others = [entries(ids[x], before[x], doc[x]) for x in (pairs, ~here)]
             a, b = [dict(_cut(_buckets(x[0], x[1], buckets), buckets)) for x in (listed, others)]
             home, none = chunk % 1_000_003 % buckets, np.empty(0, np.int64)
             yield pd.DataFrame([{
-                "bucket": k, "chunk": chunk, "salt": chunk % 1_000_003 % salts, "listed": _packed(*[x[a.get(k, none)] for x in (listed[0], *listed[2:])]),
-                "others": _packed(*[x[b.get(k, none)] for x in others]), "own": own.tobytes(), "ids": list(batch["row"]) if k == home else None,
+                "bucket": k, "chunk": chunk, "salt": chunk % 1_000_003 % salts, "listed": _packed(*[x[a.get(k, none)] for x in (listed[0], *listed[3:])]),
+                "others": _packed(*[x[b.get(k, none)] for x in others[1:]]), "own": own.tobytes(), "ids": list(batch["row"]) if k == home else None,
                 "sums": sums.tobytes() if k == home else None} for k in sorted({*a, *b, home})])
             chunk += 1
     return ask
@@ -292,7 +316,7 @@ def _answerer(sent, rates: Rates):
     """A bucket's counts and what is asked of it -> sums for each text: of other words, and of pairs in place of their words."""
     def answer(counts: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         vocabulary, histories = sent.value
-        keys, words, t, o = _read_counts(counts["counts"])
+        keys, words, _, t, o = _read_counts(counts["near"], counts["far"])
         alone = np.flatnonzero(words < 0)
         alone = alone[np.argsort(-words[alone])]
         rare = Vocabulary(-words[alone], t[alone], o[alone])
@@ -314,8 +338,9 @@ def _answerer(sent, rates: Rates):
             doc, n, at = doc[hit], n[hit], words[i] - 1
             p_t, p_o = rates.words(vocabulary.toxic[at], vocabulary.ordinary[at], histories[at], own[doc])
             sums[len(TIERS):] += _per_text(doc, n * (_tiers(rates.pairs(t[i], o[i], p_t, p_o, own[doc])) - _tiers(np.log(p_t / p_o))), len(own))
-            key, word, doc, n = _unpacked(row.others, 4)
-            at = rare.places(word)
+            word, before, doc, n = _unpacked(row.others, 4)
+            word = word.astype(np.int64)
+            key, at = _keys(before, word), rare.places(word)
             known = at >= 0
             key, doc, n, at = key[known], doc[known], n[known], at[known]
             p_t, p_o = rates.words(rare.toxic[at], rare.ordinary[at], rare_histories[at], own[doc])
@@ -335,7 +360,7 @@ def _features(rows: pd.DataFrame) -> pd.DataFrame:
     """Log-likelihood ratios by length, of words and of words after their history: for each word and each root of a word."""
     home = rows[rows["ids"].notna()].iloc[0]
     size = len(home["ids"])
-    whole = np.frombuffer(home["sums"]).reshape(-1, size)
+    whole = np.frombuffer(home["sums"], np.float32).reshape(-1, size).astype(float)
     sums = np.vstack([whole[1:], whole[1:]])
     for row in rows.sort_values("bucket").itertuples():
         docs = np.frombuffer(row.docs, np.int16)
@@ -351,7 +376,9 @@ def features(texts: DataFrame, model: Model) -> DataFrame:
     """
     spark = texts.sparkSession
     small_batches(spark)
-    sent = spark.sparkContext.broadcast((model.words, model.histories))
+    if model.sent is None:
+        model.sent = spark.sparkContext.broadcast((model.words, model.histories))
+    sent = model.sent
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     salts = max(1, -(-size // (6 * 2 * BUCKET_WORDS * model.buckets)))
     asked = texts.select(F.col("row").cast("string").alias("row"), "text", F.col("own").cast("tinyint").alias("own"))
@@ -394,13 +421,19 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     taught = stored(taught, "taught")
     words = stored(taught.select("text", "toxic").mapInPandas(_counter(_words), "key bigint, t bigint, o bigint").groupBy("key").agg(
         F.sum("t").alias("t"), F.sum("o").alias("o")), "words")
-    listed = _listed(words, WORDS_MOST)[0].toPandas().sort_values("key")
-    vocabulary = Vocabulary(listed["key"].to_numpy(np.int64), listed["t"].to_numpy(np.int64), listed["o"].to_numpy(np.int64))
+    listed = _listed(words, WORDS_MOST)[0].toPandas()
+    discard(words)
+    # frequent words have small ids, so the keys that are sent lie close together and take less room
+    listed = listed.iloc[np.lexsort((listed["key"], -(listed["t"] + listed["o"])))]
+    codes = listed["key"].to_numpy(np.int64)
+    order = np.argsort(codes)
+    vocabulary = Vocabulary(codes[order], listed["t"].to_numpy(np.int64), listed["o"].to_numpy(np.int64), order)
     sent = spark.sparkContext.broadcast(vocabulary)
     n, length, nt, no = taught.agg(F.count("*"), F.sum(F.length("text")), F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     buckets = max(BUCKETS_LEAST, -(-(length or 0) // (6 * BUCKET_WORDS)))
     counts = taught.select("text", "toxic").mapInPandas(_pair_counter(sent, buckets), COUNTS)
     counts = stored(counts.groupBy("bucket").applyInPandas(_merged, COUNTS), "counts")
+    sent.destroy()
     found = counts.mapInPandas(_histories, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
     seen = dict(zip(found["place"], found["n"]))
     once, twice = seen.pop(-1, 0), seen.pop(-2, 0)
@@ -409,7 +442,9 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     discount = float(np.clip(once / max(once + 2 * twice, 1), 0.5, 0.95))
     model = Model(vocabulary, histories, Rates(discount, (max(nt, 1), max(no, 1))), counts, buckets, np.array([-3.0] + [0.0] * FEATURES))
     some = taught.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, CALIBRATION_ROWS / max(n, 1))))
-    known = features(some.select(F.col("toxic").alias("row"), "text", F.col("toxic").alias("own")), model).toPandas()
+    known = stored(features(some.select(F.col("toxic").alias("row"), "text", F.col("toxic").alias("own")), model), "known")
+    discard(taught)
+    known = known.toPandas()
     if known["row"].nunique() == 2:
         model.scale = _logistic(np.array(known["x"].to_list()), known["row"].to_numpy(float))
     return model
@@ -431,5 +466,5 @@ def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: f
     while row in docs.columns:
         row += "'"
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    toxic = scores(numbered, model, row, text).where(F.col("score") >= threshold).select(row)
+    toxic = stored(scores(numbered, model, row, text).where(F.col("score") >= threshold).select(row), "toxic")
     return numbered.join(toxic, row, "left_anti").drop(row)
