@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, stored
+from factorspark.llm.common import alone, small_batches, stored
 
 #: Words of a template window (an item with fewer words is one window), and the share of an item's windows that a document
 #: must hold, in a row of slots that is consistent, to count as holding the item.
@@ -47,7 +47,7 @@ LINE = "\x00"
 class _Tokens(dict):
     """Raw token -> row of ``facts``: kind, whether it is a name inside a sentence, whether it ends one, whether it is a word.
 
-    A memo that is emptied at a million entries; what a token is depends on the token alone.
+    A memo that is emptied at 400,000 entries; what a token is depends on the token alone.
     """
 
     def __init__(self) -> None:
@@ -87,7 +87,7 @@ def views(text: str | None) -> list[View]:
     FREE: a capitalised word is a name wherever it stands, and a run of one kind inside a sentence is one slot.
     """
     tokens = (text or "").replace("\n", f" {LINE} ").split()
-    if len(_TOKENS) > 1_000_000:
+    if len(alone(_TOKENS)) > 400_000:
         _TOKENS.clear()
     at = np.fromiter(map(_TOKENS.__getitem__, tokens), np.int64, len(tokens))
     code, facts = _TOKENS.code[at], _TOKENS.facts[at]

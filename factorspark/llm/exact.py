@@ -72,8 +72,10 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).alias("id"), (normalise(t) if normalise else t).alias("t"), F.struct(
         *[F.col(f"`{c}`") for c in docs.columns if c != text or normalise],
         *([] if normalise else [F.col(text).isNull().alias("text is null")])).alias("rest"))
-    rows = _dealt(rows)
-    ends = _joined(_runs(rows.select("b", "id", "t")))
-    kept = _decided(_runs(rows), ends).where("kept")
+    runs = _runs(_dealt(rows))
+    border = F.col("opens") & ((F.col("run") == 1) | (F.col("run") == F.col("last_run")))
+    # texts are moved and sorted once: the last row of each run may stay, and the first of a run at a border tells what goes on there
+    runs = stored(runs.where(F.col("closes") | border).select("b", "run", "last_run", "id", "top", "n", "opens", "closes", "t", "rest"), "exact")
+    kept = _decided(runs, _joined(runs)).where("kept")
     own = F.when(~F.col("rest")["text is null"], F.col("t")) if not normalise else F.col("rest")[text]
     return kept.select(*[own.alias(c) if c == text else F.col("rest")[c].alias(c) for c in docs.columns])

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, stored
+from factorspark.llm.common import alone, discard, small_batches, stored
 
 #: Collections of hashes, and minhashes in each. A table key combines two collections, so 48 minhashes make 120
 #: keys of 6. At a similarity of 0.8 a collection agrees with p = 0.8 ** 3; a pair is missed when fewer than two of the
@@ -27,10 +27,10 @@ _MIX, _ROLL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Codes(dict):
-    """Word in bytes -> 64-bit hash; a memo that is emptied at a million entries."""
+    """Word in bytes -> 64-bit hash; a memo that is emptied at 400,000 entries."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 400_000:
             self.clear()
         code = self[word] = xxhash.xxh3_64_intdigest(word)
         return code
@@ -54,7 +54,7 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     listed = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not listed:
         return np.empty(0, np.uint64)
-    codes = np.fromiter(map(_CODES.__getitem__, listed), np.uint64, len(listed))
+    codes = np.fromiter(map(alone(_CODES).__getitem__, listed), np.uint64, len(listed))
     width = min(words, len(codes))
     rows = len(codes) - width + 1
     rolled = np.full(rows, width, np.uint64)
@@ -201,8 +201,9 @@ def _links(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
     edges = rows.where("node != lo").select("lo", "node").distinct()
     edges = edges.join(_profile(sets, "_a"), F.col("lo") == F.col("node_a")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b"))
     links = stored(_confirmed(edges.where(_can_link("_a", "_b", percent)).select("lo", "node"), sets, percent), "links")
-    rows = rows.join(sets.select("node"), "node", "left_semi")
-    rows = stored(_several(_rooted(rows, links)), "rest")
+    apart = _several(_rooted(rows.join(sets.select("node"), "node", "left_semi"), links))
+    members, rows = rows, stored(apart, "rest")
+    discard(buckets, members)
     low = rows.where("node = lo").select("key", F.col("root").alias("low_root"))
     rows = rows.join(low, "key", "left")
     inside, outside = rows.where("root = low_root"), rows.where("low_root IS NULL OR root != low_root")
@@ -227,7 +228,7 @@ def components(links: DataFrame, a: str = "lo", b: str = "node") -> DataFrame:
     Large-star and small-star steps on written edge tables, until the edges don't change.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    before = None
+    before = stars = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -235,6 +236,9 @@ def components(links: DataFrame, a: str = "lo", b: str = "node") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        if stars is not None:
+            discard(stars)
+        stars = edges
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             break

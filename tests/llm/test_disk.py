@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from factorspark.llm import common, toxicity
+from factorspark.llm import common, decontamination, exact, neardup, packing, toxicity
 from tests.llm.helpers import documents, prose
 
 
@@ -47,3 +47,26 @@ def test_counts_of_rare_words_hold_no_second_hash():
     assert len(row["near"]) + len(row["far"]) < 11 * len(words)
     for got, want in zip(toxicity._read_counts([row["near"]], [row["far"]]), columns):
         assert (got == want).all()
+
+
+def test_a_worker_holds_the_memo_of_one_operator():
+    toxicity._words("one two three")
+    assert len(toxicity._CODES) == 3
+    neardup.shingle_set("four five", 2)
+    assert not toxicity._CODES and len(neardup._CODES) == 2
+    decontamination.views("six seven.")
+    assert not neardup._CODES and decontamination._TOKENS
+    packing.token_ids(["eight nine"])
+    assert not decontamination._TOKENS and len(packing._TOKENS[None].place) == 2
+
+
+def test_exact_dedup_moves_the_texts_once(spark):
+    docs = documents(spark, [(k, prose(k % 30) if k % 5 else "same text") for k in range(200)] + [(None, None), (500, "")])
+    plan = exact.exact_dedup(docs)._jdf.queryExecution().toString()
+    assert plan.count("RangePartitioning") == 0 and plan.count("Window") == 0      # the stored runs are read, not made again
+    want = {}
+    for r in docs.collect():
+        t = r["text"] or ""
+        want[t] = max(want.get(t, -1), -1 if r["doc_id"] is None else r["doc_id"])
+    got = exact.exact_dedup(docs).collect()
+    assert sorted((r["text"] or "", r["doc_id"]) for r in got) == sorted((t, k) for t, k in want.items())
