@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorspark.llm.common import small_batches, stored
+from factorspark.llm.common import alone, small_batches, stored
 
 CAPACITY, END_ID = 1024, 2
 #: Pieces of an island on average, what an island may pass on, individuals and generations of an island's search.
@@ -38,11 +39,12 @@ class _Places(dict):
 class ChunkTokens:
     """Token ids of whole texts by the given tokenizer file, with a memo of the ids of each chunk between spaces.
 
+    A full memo forgets the chunks that no later batch held; most chunks are met once, and the others need not be encoded again.
     A text is cut before each space that a visible character follows. The pre-tokenizer of a byte-level vocabulary
     always cuts there and merges nothing across, so the ids of the chunks in order are those of the text.
     """
 
-    def __init__(self, path: str | None = None, most: int = 700_000) -> None:
+    def __init__(self, path: str | None = None, most: int = 1_000_000) -> None:
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -59,18 +61,44 @@ class ChunkTokens:
         self.ids = np.zeros(1 << 16, np.uint32)
         self.first = np.zeros(1 << 14, np.int64)
         self.count = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
         self.end = 0
 
+    def _forget(self) -> None:
+        """Keep the chunks that were met again, the newest half of the memo at most."""
+        stays = self.again[:len(self.place)]
+        if stays.sum() > self.most // 2:
+            stays[np.flatnonzero(stays)[:-(self.most // 2) or None]] = False
+        at, place = np.flatnonzero(stays), _Places()
+        place.update(zip(compress(self.place, stays), range(len(at))))
+        ids, n = self._gathered(at), self.count[at]
+        self.clear()
+        self.place = place
+        if len(at):
+            self._keep(np.arange(len(at)), ids, n)
+
+    def _gathered(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the chunks with these numbers, one after the other."""
+        n = self.count[at]
+        ends = np.cumsum(n)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.repeat(self.first[at] - (ends - n), n) + np.arange(total)]
+
     def chunks(self, text: str) -> list[str]:
+        """The chunks of a text, as names: a chunk of a space and more goes without the space, any other has one more before it."""
         if ODD_SPACE.search(text):
-            return [c for c in CHUNK_EDGE.split(text) if c]
-        head, *rest = text.split(" ")
-        return [*([head] if head else []), *[" " + word for word in rest]]
+            return [c[1:] if c[0] == " " and len(c) > 1 and c[1] != " " else " " + c for c in CHUNK_EDGE.split(text) if c]
+        names = text.split(" ")
+        if names[0]:
+            names[0] = " " + names[0]
+            return names
+        return names[1:]
 
     def _learn(self) -> None:
         """Ids of chunks that weren't met before: many are encoded as one text, and the bytes of the ids tell where each ends."""
         new, self.place.new = self.place.new, []
         first = len(self.place) - len(new)
+        new = [name[1:] if name[0] == " " else " " + name for name in new]
         inner = [c[0] == " " and len(c) > 1 and not c[1].isspace() for c in new]
         at = np.flatnonzero(inner)
         for k in range(0, len(at), 4096):
@@ -86,6 +114,7 @@ class ChunkTokens:
     def _keep(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         while at.max() >= len(self.first):
             self.first, self.count = np.resize(self.first, 2 * len(self.first)), np.resize(self.count, 2 * len(self.count))
+            self.again = np.concatenate([self.again, np.zeros_like(self.again)])
         while self.end + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.end:self.end + len(ids)] = ids
@@ -94,18 +123,15 @@ class ChunkTokens:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.place) > self.most:
-            self.clear()
+            self._forget()
+        known = len(self.place)
         cut = [self.chunks(t) for t in texts]
         places = [np.fromiter(map(self.place.__getitem__, row), np.int64, len(row)) for row in cut]
         if self.place.new:
             self._learn()
-        out = []
         for at in places:
-            n = self.count[at]
-            ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.first[at] - (ends - n), n) + np.arange(total)])
-        return out
+            self.again[at[at < known]] = True
+        return [self._gathered(at) for at in places]
 
 
 _TOKENS: dict[str | None, ChunkTokens] = {}
@@ -115,7 +141,7 @@ def token_ids(texts: list[str | None], path: str | None = None) -> list[np.ndarr
     """Ids of each text (null: empty) and the closing id."""
     if path not in _TOKENS:
         _TOKENS[path] = ChunkTokens(path)
-    return [np.append(ids, np.uint32(END_ID)) for ids in _TOKENS[path].encode([t or "" for t in texts])]
+    return [np.append(ids, np.uint32(END_ID)) for ids in alone(_TOKENS[path]).encode([t or "" for t in texts])]
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -70,3 +70,15 @@ def test_exact_dedup_moves_the_texts_once(spark):
         want[t] = max(want.get(t, -1), -1 if r["doc_id"] is None else r["doc_id"])
     got = exact.exact_dedup(docs).collect()
     assert sorted((r["text"] or "", r["doc_id"]) for r in got) == sorted((t, k) for t, k in want.items())
+
+
+def test_a_full_token_memo_keeps_what_is_met_again():
+    tokens = packing.ChunkTokens(most=40)
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) + " the same words\n end  here" for k in range(6)]
+    want = [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    tokens.encode(texts[:1])
+    tokens.encode(texts[1:2])
+    assert len(tokens.place) > 40
+    assert [list(ids) for ids in tokens.encode(texts[2:3])] == want[2:3]
+    assert "same" in tokens.place and "w0x1" not in tokens.place and "w1x1" not in tokens.place
+    assert [list(ids) for t in texts for ids in tokens.encode([t])] == want
