@@ -16,7 +16,8 @@ from factorspark.llm.common import alone, discard, small_batches, stored
 #: keys of 6. At a similarity of 0.8 a collection agrees with p = 0.8 ** 3; a pair is missed when fewer than two of the
 #: 16 agree: (1 - p) ** 16 + 16 p (1 - p) ** 15 = 1.8e-4, and 2e-9 at 0.95.
 COLLECTIONS, EACH = 16, 3
-#: Nodes of a bucket that all its others meet in a later round.
+#: Nodes of a bucket that all its others meet in the first of the later rounds, at least: more when few rows are left, as many as make no more
+#: pairs than all rows would with this number. Each round at least doubles them, so a bucket of n takes rounds by the logarithm of n.
 PIVOTS = 32
 #: The pair of collections of each table.
 TABLES = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
@@ -107,9 +108,11 @@ def _shingles(words: int):
     return shingles.asNondeterministic()
 
 
-def _tensored(u: Column) -> Column:
-    """A key for each pair of collections; the place in the array is the number of the table."""
-    return F.array(*[F.xxhash64(F.lit(t), u[i], u[j]) for t, (i, j) in enumerate(TABLES)])
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(node, tab, key): a key of each node for each pair of collections; ``tab`` is the number of the table."""
+    tables = F.array(*[F.struct(F.lit(t).alias("tab"), F.lit(i).alias("i"), F.lit(j).alias("j")) for t, (i, j) in enumerate(TABLES)])
+    rows = nodes.select("node", "u", F.explode(tables).alias("at"))
+    return rows.select("node", "at.tab", F.xxhash64("at.tab", F.get("u", F.col("at.i")), F.get("u", F.col("at.j"))).alias("key"))
 
 
 def _first_table(u: Column, v: Column) -> Column:
@@ -146,11 +149,12 @@ def _profile(sets: DataFrame, suffix: str) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those (lo, node) of ``pairs`` that are linked, by their full sets."""
+    """Those rows of ``pairs`` (lo, node and more) that are linked, by their full sets; without those columns, unless there are no more."""
+    own = [c for c in pairs.columns if c not in ("lo", "node")] or ["lo", "node"]
     both = pairs.join(sets.select(F.col("node").alias("lo"), F.col("n").alias("na"), F.col("held").alias("ha")), "lo").join(
         sets.select("node", F.col("n").alias("nb"), F.col("held").alias("hb")), "node")
     common = F.size(F.array_intersect("ha", "hb")).cast("long")
-    return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select("lo", "node")
+    return both.where(common * 100 >= (F.col("na") + F.col("nb") - common) * percent).select(*own)
 
 
 def _with_shared(sets: DataFrame, percent: int) -> DataFrame:
@@ -166,12 +170,13 @@ def _with_shared(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _crossed(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows (key, tab, node) of ``a`` and (key, node) of ``b`` with one key that may be linked, each in its first table only."""
-    left = a.join(_profile(sets, "_a"), F.col("node") == F.col("node_a")).drop("node")
-    right = b.select("key", "node").join(_profile(sets, "_b"), F.col("node") == F.col("node_b")).drop("node")
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") != F.col("node_b")) & _can_link("_a", "_b", percent))
+    """Pairs of rows (key, tab, node, root) of ``a`` and ``b`` with one key, in two components, that may be linked, each in its first table only."""
+    left = a.select("key", "tab", "node", F.col("root").alias("root_a")).join(_profile(sets, "_a"), F.col("node") == F.col("node_a")).drop("node")
+    right = b.select("key", "node", F.col("root").alias("root_b")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b")).drop("node")
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") != F.col("root_b")) & _can_link("_a", "_b", percent))
     return met.where(_first_table(F.col("u_a"), F.col("u_b")) == F.col("tab")).select(
-        F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("node"))
+        F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("node"),
+        F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -180,69 +185,83 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(keys, "key", "left_semi")
 
 
-def _rooted(rows: DataFrame, links: DataFrame) -> DataFrame:
-    roots = components(links)
-    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _still(sets: DataFrame, rows: DataFrame) -> DataFrame:
+    """The sets of the nodes in ``rows``: a later round moves only those that it may need."""
+    return stored(sets.join(rows.select("node").distinct(), "node", "left_semi"), "shared")
 
 
-def _links(nodes: DataFrame, sets_of, percent: int) -> DataFrame:
-    """Links between the nodes that share a key, enough of them for exact components.
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with the component that ``root`` now belongs to."""
+    to = roots.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return rows.join(to, "root", "left").withColumn("root", F.coalesce("to", "root")).drop("to")
+
+
+def _roots(nodes: DataFrame, sets_of, percent: int) -> list[DataFrame]:
+    """Exact components of the nodes that share a key, as maps (node, root) to be followed one after the other.
 
     In each bucket all nodes meet its least one, and components are formed. Nodes outside that one's component then
-    meet those inside it and, in later rounds, the 32 least nodes of what is left of the bucket, until no
+    meet those inside it and, in later rounds, the least nodes of what is left of the bucket (PIVOTS), until no
     bucket holds more than one component or has pairs to meet. Pairs inside a component need no look; a pair meets
     in the first table that it shares; only pairs that exact bounds don't rule out fetch their sets. So no link between
-    components is lost, and a group of copies costs one row for each copy.
+    components is lost, and a group of copies costs one row for each copy. Later rounds link the components of the rounds before.
     """
-    keys = nodes.select("node", F.posexplode(_tensored(F.col("u"))).alias("tab", "key"))
-    buckets = stored(_spread(keys), "buckets")
-    rows = stored(keys.join(buckets.select("key", "lo"), "key"), "members")
+    keys = _keyed(nodes).repartition("key")     # one shuffle for the buckets and for their members
+    rows = stored(keys.join(_spread(keys).select("key", "lo"), "key"), "members")
     sets = stored(_with_shared(sets_of(rows.select("node").distinct()), percent), "shared")
     edges = rows.where("node != lo").select("lo", "node").distinct()
     edges = edges.join(_profile(sets, "_a"), F.col("lo") == F.col("node_a")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b"))
-    links = stored(_confirmed(edges.where(_can_link("_a", "_b", percent)).select("lo", "node"), sets, percent), "links")
-    apart = _several(_rooted(rows.join(sets.select("node"), "node", "left_semi"), links))
-    members, rows = rows, stored(apart, "rest")
-    discard(buckets, members)
+    maps = [components(stored(_confirmed(edges.where(_can_link("_a", "_b", percent)).select("lo", "node"), sets, percent), "links"))]
+    held = rows.join(sets.select("node"), "node", "left_semi").withColumn("root", F.col("node"))
+    members, rows = rows, stored(_several(_rooted(held, maps[-1])), "rest")
+    discard(members)
+    sets, most = _still(sets, rows), PIVOTS * rows.count()
     low = rows.where("node = lo").select("key", F.col("root").alias("low_root"))
     rows = rows.join(low, "key", "left")
     inside, outside = rows.where("root = low_root"), rows.where("low_root IS NULL OR root != low_root")
-    pairs = _crossed(inside.select("key", "tab", "node"), outside, sets, percent)
-    links = stored(links.union(_confirmed(pairs, sets, percent)), "links")
+    pairs = _crossed(inside, outside, sets, percent)
+    maps.append(components(stored(_confirmed(pairs, sets, percent).distinct(), "links"), "r", "s"))
     rest = outside.select("key", "tab", "node", "root")
+    many = 0
     while True:
-        rest = _several(_rooted(rest, links))
+        rest = _several(_rooted(rest, maps[-1]))
         rest = stored(rest.join(_spread(rest).select("key"), "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            return links
+        left = rest.count()
+        if not left:
+            return maps
+        if not many:
+            sets = _still(sets, rest)
+        many = max(PIVOTS, 2 * many, most // left)
         at = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivots = stored(rest.withColumn("at", at).where(F.col("at") <= PIVOTS).drop("at"), "pivots")
-        pairs = _crossed(pivots.select("key", "tab", "node"), rest, sets, percent).distinct()
-        links = stored(links.union(_confirmed(pairs, sets, percent)), "links")
+        pivots = stored(rest.withColumn("at", at).where(F.col("at") <= many).drop("at"), "pivots")
+        pairs = _crossed(pivots, rest, sets, percent).distinct()
+        maps.append(components(stored(_confirmed(pairs, sets, percent).distinct(), "links"), "r", "s"))
         rest = rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
 
 
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether edges (u, v) are stars: each u has one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    seen = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not seen.agg(F.max((F.col("ups") > 1) | ((F.col("ups") == 1) & (F.col("least") == 0)))).first()[0]
+
+
 def components(links: DataFrame, a: str = "lo", b: str = "node") -> DataFrame:
     """(node, root) of every node in a link; the root is the least node that it reaches.
 
-    Large-star and small-star steps on written edge tables, until the edges don't change.
+    Large-star and small-star steps on written edge tables, until the edges are stars.
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct()
-    before = stars = None
-    while True:
+    stars = None
+    while not _is_forest(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
         if stars is not None:
             discard(stars)
         stars = edges
-        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
@@ -264,12 +283,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
     def sets_of(wanted: DataFrame) -> DataFrame:
         ids = stored(nodes.join(wanted, "node", "left_semi").select("mark", "id", "node", "n", "u"), "wanted")
-        texts = docs.join(ids.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
+        listed = ids.select(F.col("id").alias("wanted")).distinct().hint("merge")      # the list grows with the documents
+        texts = docs.join(listed, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         held = texts.select(_shingles(words)("t").alias("s")).select("s.*")
         return stored(held.join(ids, "mark").dropDuplicates(["node"]).select("node", "n", "u", "bits", "held"), "sets")
 
-    roots = components(_links(nodes, sets_of, percent))
-    rooted = nodes.select("mark", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.select("mark", "id", F.col("node").alias("root"))
+    for roots in _roots(nodes, sets_of, percent):
+        rooted = _rooted(rooted, roots)
     named = rooted.groupBy("root").agg(F.min("id").alias("component"))
     by_mark = rooted.join(named, "root").select("mark", "component")
     out = marks.select("id", "n", "mark").join(by_mark, "mark", "left")

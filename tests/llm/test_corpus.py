@@ -42,6 +42,18 @@ def test_near_groups_in_many_rounds(spark, monkeypatch):
     assert got == {i: c for (i, _), c in zip(rows, want)}
 
 
+def test_a_bucket_without_links_takes_few_rounds(spark, monkeypatch):
+    """Texts that nearly link share buckets and stay apart: the rounds don't grow with the texts of a bucket."""
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rounds, formed = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda *a: rounds.append(1) or formed(*a))
+    rows = [(k, prose(1, 90) + " " + prose(100 + k, 12)) for k in range(70)]
+    want, _ = components(rows, 2, 80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(documents(spark, rows), words=2).collect()}
+    assert got == {i: c for (i, _), c in zip(rows, want)} and len(set(want)) > 60
+    assert len(rounds) <= 8
+
+
 def test_near_dedup_keeps_columns_and_null_ids(spark):
     docs = documents(spark, [(None, prose(1)), (4, prose(1)), (2, prose(1)), (None, None), (9, ""), (9, "")])
     out = neardup.near_dedup(docs)
