@@ -60,11 +60,13 @@ class _Tokens(dict):
         if k == len(self.code):
             self.code = np.concatenate([self.code, np.zeros_like(self.code)])
             self.facts = np.concatenate([self.facts, np.zeros_like(self.facts)])
-        word = EDGE.sub("", token)
+        whole = token.isalnum()     # letters and digits alone: no edge to take off, no mark that ends a sentence
+        word = token if whole else EDGE.sub("", token)
         low = word.lower()
-        kind = NUM if NUMBER.fullmatch(word) or low in NUMBER_WORDS else UNIT if low in UNITS else PLAIN
+        number = not word.isalpha() and NUMBER.fullmatch(word)
+        kind = NUM if number or low in NUMBER_WORDS else UNIT if low in UNITS else PLAIN
         name = kind == PLAIN and len(word) > 1 and word[0].isupper() and word[1:].islower()
-        ends = token == LINE or token.rstrip("\"')]}»”").endswith((".", "!", "?", ":"))
+        ends = not whole and (token == LINE or token.rstrip("\"')]}»”").endswith((".", "!", "?", ":")))
         self.code[k], self.facts[k] = _code(low), (kind, name, ends, bool(word) and token != LINE)
         self[token] = k
         return k
@@ -121,8 +123,10 @@ def windows(shape: np.ndarray, width: int, view: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.full(rows, width + (view << 32), np.uint64)
     for k in range(width):
-        h = (h ^ shape[k:k + rows]) * _MIX
-        h = (h ^ (h >> np.uint64(29))) * _ROLL
+        h ^= shape[k:k + rows]
+        h *= _MIX
+        h ^= h >> np.uint64(29)
+        h *= _ROLL
     return h ^ (h >> np.uint64(32))
 
 

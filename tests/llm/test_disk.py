@@ -82,3 +82,17 @@ def test_a_full_token_memo_keeps_what_is_met_again():
     assert [list(ids) for ids in tokens.encode(texts[2:3])] == want[2:3]
     assert "same" in tokens.place and "w0x1" not in tokens.place and "w1x1" not in tokens.place
     assert [list(ids) for t in texts for ids in tokens.encode([t])] == want
+
+
+def test_plain_words_need_no_pattern_for_their_edges(monkeypatch):
+    """Letters and digits alone have no edge and end no sentence; what is known of them is what the patterns say."""
+    words = ["Word", "word", "42", "four", "km", "x2", "Éte", "٣", "²"]
+    marked = decontamination._Tokens()
+    want = [(int(marked.code[k]), marked.facts[k].tolist()) for k in (marked[f"({w}"] for w in words)]
+
+    class Never:
+        def sub(self, *_):
+            raise AssertionError("a plain word was searched for edges")
+    monkeypatch.setattr(decontamination, "EDGE", Never())
+    plain = decontamination._Tokens()
+    assert [(int(plain.code[k]), plain.facts[k].tolist()) for k in (plain[w] for w in words)] == want
