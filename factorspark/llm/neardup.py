@@ -16,8 +16,8 @@ from factorspark.llm.common import alone, discard, small_batches, stored
 #: keys of 6. At a similarity of 0.8 a collection agrees with p = 0.8 ** 3; a pair is missed when fewer than two of the
 #: 16 agree: (1 - p) ** 16 + 16 p (1 - p) ** 15 = 1.8e-4, and 2e-9 at 0.95.
 COLLECTIONS, EACH = 16, 3
-#: Nodes of a bucket that all its others meet in the first of the later rounds, at least: more when few rows are left, as many as make no more
-#: pairs than all rows would with this number. Each round at least doubles them, so a bucket of n takes rounds by the logarithm of n.
+#: Nodes of a bucket that all its others meet in the first of the later rounds. Each round doubles them, so a bucket of n takes rounds by the
+#: logarithm of n.
 PIVOTS = 32
 #: The pair of collections of each table.
 TABLES = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
@@ -169,11 +169,14 @@ def _with_shared(sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "n", "u", "m", "bits", F.array_except("held", "own").alias("held"))
 
 
-def _crossed(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows (key, tab, node, root) of ``a`` and ``b`` with one key, in two components, that may be linked, each in its first table only."""
+def _crossed(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int, once: Column | None = None) -> DataFrame:
+    """Pairs of rows (key, tab, node, root) of ``a`` and ``b`` with one key, in two components, that may be linked, each in its first table only.
+
+    ``once``: the order in which a pair is looked at, where ``a`` and ``b`` may hold it in both.
+    """
     left = a.select("key", "tab", "node", F.col("root").alias("root_a")).join(_profile(sets, "_a"), F.col("node") == F.col("node_a")).drop("node")
     right = b.select("key", "node", F.col("root").alias("root_b")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b")).drop("node")
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") != F.col("root_b")) & _can_link("_a", "_b", percent))
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") != F.col("root_b")) & (F.lit(True) if once is None else once) & _can_link("_a", "_b", percent))
     return met.where(_first_table(F.col("u_a"), F.col("u_b")) == F.col("tab")).select(
         F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("node"),
         F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
@@ -214,7 +217,7 @@ def _roots(nodes: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     held = rows.join(sets.select("node"), "node", "left_semi").withColumn("root", F.col("node"))
     members, rows = rows, stored(_several(_rooted(held, maps[-1])), "rest")
     discard(members)
-    sets, most = _still(sets, rows), PIVOTS * rows.count()
+    sets = _still(sets, rows)
     low = rows.where("node = lo").select("key", F.col("root").alias("low_root"))
     rows = rows.join(low, "key", "left")
     inside, outside = rows.where("root = low_root"), rows.where("low_root IS NULL OR root != low_root")
@@ -225,15 +228,14 @@ def _roots(nodes: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     while True:
         rest = _several(_rooted(rest, maps[-1]))
         rest = stored(rest.join(_spread(rest).select("key"), "key", "left_semi"), "rest")
-        left = rest.count()
-        if not left:
+        if rest.isEmpty():
             return maps
         if not many:
             sets = _still(sets, rest)
-        many = max(PIVOTS, 2 * many, most // left)
+        many = max(PIVOTS, 2 * many)
         at = F.row_number().over(Window.partitionBy("key").orderBy("node"))
         pivots = stored(rest.withColumn("at", at).where(F.col("at") <= many).drop("at"), "pivots")
-        pairs = _crossed(pivots, rest, sets, percent).distinct()
+        pairs = _crossed(pivots, rest, sets, percent, F.col("node_a") < F.col("node_b")).distinct()      # pivots are the least: each pair once
         maps.append(components(stored(_confirmed(pairs, sets, percent).distinct(), "links"), "r", "s"))
         rest = rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
 
