@@ -16,8 +16,7 @@ from factorspark.llm.common import alone, discard, small_batches, stored
 #: keys of 6. At a similarity of 0.8 a collection agrees with p = 0.8 ** 3; a pair is missed when fewer than two of the
 #: 16 agree: (1 - p) ** 16 + 16 p (1 - p) ** 15 = 1.8e-4, and 2e-9 at 0.95.
 COLLECTIONS, EACH = 16, 3
-#: Nodes of a bucket that all its others meet in the first of the later rounds. Each round doubles them, so a bucket of n takes rounds by the
-#: logarithm of n.
+#: Nodes that all others of a larger bucket meet before its remaining pairs are looked at.
 PIVOTS = 32
 #: The pair of collections of each table.
 TABLES = [(i, j) for i in range(COLLECTIONS) for j in range(i + 1, COLLECTIONS)]
@@ -169,28 +168,29 @@ def _with_shared(sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("node", "n", "u", "m", "bits", F.array_except("held", "own").alias("held"))
 
 
-def _crossed(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int, once: Column | None = None) -> DataFrame:
-    """Pairs of rows (key, tab, node, root) of ``a`` and ``b`` with one key, in two components, that may be linked, each in its first table only.
+def _crossed(a: DataFrame, b: DataFrame, sets: DataFrame, percent: int, once: Column) -> DataFrame:
+    """Pairs of rows (key, tab, node, root, most) of ``a`` and ``b`` with one key, in two components, that may be linked, each in its first table only.
 
     ``once``: the order in which a pair is looked at, where ``a`` and ``b`` may hold it in both.
     """
-    left = a.select("key", "tab", "node", F.col("root").alias("root_a")).join(_profile(sets, "_a"), F.col("node") == F.col("node_a")).drop("node")
-    right = b.select("key", "node", F.col("root").alias("root_b")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b")).drop("node")
-    met = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") != F.col("root_b")) & (F.lit(True) if once is None else once) & _can_link("_a", "_b", percent))
-    return met.where(_first_table(F.col("u_a"), F.col("u_b")) == F.col("tab")).select(
-        F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("node"),
-        F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
+    tasks = 4 * sets.sparkSession.sparkContext.defaultParallelism       # of few rows each: a large bucket is split by them
+    left = a.select("key", "tab", "node", F.col("root").alias("root_a")).join(
+        _profile(sets, "_a"), F.col("node") == F.col("node_a")).drop("node").coalesce(tasks)
+    right = b.select("key", "node", F.col("root").alias("root_b"), F.col("most").alias("most_b")).join(
+        _profile(sets, "_b"), F.col("node") == F.col("node_b")).drop("node").coalesce(tasks)
+    met = left.join(right, (left["key"] == right["key"]) & (F.col("root_a") != F.col("root_b")) & once
+                    & _can_link("_a", "_b", percent) & (_first_table(F.col("u_a"), F.col("u_b")) == F.col("tab")))
+    return met.select(F.least("node_a", "node_b").alias("lo"), F.greatest("node_a", "node_b").alias("node"),
+                      F.least("root_a", "root_b").alias("r"), F.greatest("root_a", "root_b").alias("s"))
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    """Rows whose bucket holds more than one component."""
-    keys = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    return rows.join(keys, "key", "left_semi")
-
-
-def _still(sets: DataFrame, rows: DataFrame) -> DataFrame:
-    """The sets of the nodes in ``rows``: a later round moves only those that it may need."""
-    return stored(sets.join(rows.select("node").distinct(), "node", "left_semi"), "shared")
+    """Rows whose bucket holds more than one component; ``most`` is the one with most nodes there, ``at`` the place among ``many`` nodes."""
+    bucket = Window.partitionBy("key")
+    rows = rows.withColumns({"at": F.row_number().over(bucket.orderBy("node")), "a": F.min("root").over(bucket), "b": F.max("root").over(bucket),
+                             "many": F.count(F.lit(1)).over(bucket)}).where("a != b").drop("a", "b")
+    rows = rows.withColumn("alike", F.count(F.lit(1)).over(Window.partitionBy("key", "root")))
+    return rows.withColumn("most", F.max_by("root", F.struct("alike", -F.col("root"))).over(bucket)).drop("alike")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -202,42 +202,33 @@ def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _roots(nodes: DataFrame, sets_of, percent: int) -> list[DataFrame]:
     """Exact components of the nodes that share a key, as maps (node, root) to be followed one after the other.
 
-    In each bucket all nodes meet its least one, and components are formed. Nodes outside that one's component then
-    meet those inside it and, in later rounds, the least nodes of what is left of the bucket (PIVOTS), until no
-    bucket holds more than one component or has pairs to meet. Pairs inside a component need no look; a pair meets
-    in the first table that it shares; only pairs that exact bounds don't rule out fetch their sets. So no link between
-    components is lost, and a group of copies costs one row for each copy. Later rounds link the components of the rounds before.
+    In each bucket all nodes meet its least one, and components are formed. In buckets of several components and more than PIVOTS nodes all
+    then meet the least PIVOTS. Last, nodes outside the component that has most of a bucket meet all nodes of other components: nothing is
+    left after that, so the number of rounds is fixed. Pairs inside a component need no look; a pair meets in the first table that it
+    shares; only pairs that exact bounds don't rule out fetch their sets. So no link between components is lost, and a group of
+    copies costs one row for each copy. Later rounds link the components of the rounds before.
     """
     keys = _keyed(nodes).repartition("key")     # one shuffle for the buckets and for their members
-    rows = stored(keys.join(_spread(keys).select("key", "lo"), "key"), "members")
-    sets = stored(_with_shared(sets_of(rows.select("node").distinct()), percent), "shared")
+    rows = stored(keys.join(_spread(keys).select("key", "lo"), "key"), "members", few=True)
+    sets = stored(_with_shared(sets_of(rows.select("node").distinct()), percent), "shared", few=True)
     edges = rows.where("node != lo").select("lo", "node").distinct()
     edges = edges.join(_profile(sets, "_a"), F.col("lo") == F.col("node_a")).join(_profile(sets, "_b"), F.col("node") == F.col("node_b"))
-    maps = [components(stored(_confirmed(edges.where(_can_link("_a", "_b", percent)).select("lo", "node"), sets, percent), "links"))]
-    held = rows.join(sets.select("node"), "node", "left_semi").withColumn("root", F.col("node"))
-    members, rows = rows, stored(_several(_rooted(held, maps[-1])), "rest")
-    discard(members)
-    sets = _still(sets, rows)
-    low = rows.where("node = lo").select("key", F.col("root").alias("low_root"))
-    rows = rows.join(low, "key", "left")
-    inside, outside = rows.where("root = low_root"), rows.where("low_root IS NULL OR root != low_root")
-    pairs = _crossed(inside, outside, sets, percent)
-    maps.append(components(stored(_confirmed(pairs, sets, percent).distinct(), "links"), "r", "s"))
-    rest = outside.select("key", "tab", "node", "root")
-    many = 0
-    while True:
-        rest = _several(_rooted(rest, maps[-1]))
-        rest = stored(rest.join(_spread(rest).select("key"), "key", "left_semi"), "rest")
-        if rest.isEmpty():
-            return maps
-        if not many:
-            sets = _still(sets, rest)
-        many = max(PIVOTS, 2 * many)
-        at = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        pivots = stored(rest.withColumn("at", at).where(F.col("at") <= many).drop("at"), "pivots")
-        pairs = _crossed(pivots, rest, sets, percent, F.col("node_a") < F.col("node_b")).distinct()      # pivots are the least: each pair once
-        maps.append(components(stored(_confirmed(pairs, sets, percent).distinct(), "links"), "r", "s"))
-        rest = rest.join(pivots.select("key", "node"), ["key", "node"], "left_anti")
+    maps = [components(stored(_confirmed(edges.where(_can_link("_a", "_b", percent)).select("lo", "node"), sets, percent), "links", few=True))]
+    held = rows.join(sets.select("node"), "node", "left_semi").select("key", "tab", "node", F.col("node").alias("root"))
+    rest = stored(_several(_rooted(held, maps[-1])), "rest", few=True)
+    discard(rows)
+    large = rest.where(F.col("many") > PIVOTS)
+    if not large.isEmpty():
+        pivots = large.where(F.col("at") <= PIVOTS)
+        pairs = _crossed(pivots, large, sets, percent, F.col("node_a") < F.col("node_b"))       # pivots are the least: each pair once
+        maps.append(components(stored(_confirmed(pairs, sets, percent).distinct(), "links", few=True), "r", "s"))
+        before = rest
+        rest = stored(_several(_rooted(rest.select("key", "tab", "node", "root"), maps[-1])), "rest", few=True)
+        discard(before)
+    outside = rest.where("root != most")
+    once = (F.col("root_b") == F.col("most_b")) | (F.col("node_a") < F.col("node_b"))
+    maps.append(components(stored(_confirmed(_crossed(outside, rest, sets, percent, once), sets, percent).distinct(), "links", few=True), "r", "s"))
+    return maps
 
 
 def _is_forest(edges: DataFrame) -> bool:
@@ -260,7 +251,7 @@ def components(links: DataFrame, a: str = "lo", b: str = "node") -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars")
+        edges = stored(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "stars", few=True)
         if stars is not None:
             discard(stars)
         stars = edges
@@ -281,14 +272,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     docs = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     marks = stored(docs.select("id", _signature(words)("t").alias("s")).select("id", "s.*"), "signatures")
     nodes = stored(marks.where("n > 0").groupBy("mark").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("u").alias("u"))
-                   .withColumn("node", F.monotonically_increasing_id()), "nodes")
+                   .withColumn("node", F.monotonically_increasing_id()), "nodes", few=True)
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        ids = stored(nodes.join(wanted, "node", "left_semi").select("mark", "id", "node", "n", "u"), "wanted")
+        ids = stored(nodes.join(wanted, "node", "left_semi").select("mark", "id", "node", "n", "u"), "wanted", few=True)
         listed = ids.select(F.col("id").alias("wanted")).distinct().hint("merge")      # the list grows with the documents
         texts = docs.join(listed, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
         held = texts.select(_shingles(words)("t").alias("s")).select("s.*")
-        return stored(held.join(ids, "mark").dropDuplicates(["node"]).select("node", "n", "u", "bits", "held"), "sets")
+        return stored(held.join(ids, "mark").dropDuplicates(["node"]).select("node", "n", "u", "bits", "held"), "sets", few=True)
 
     rooted = nodes.select("mark", "id", F.col("node").alias("root"))
     for roots in _roots(nodes, sets_of, percent):

@@ -54,6 +54,19 @@ def test_a_bucket_without_links_takes_few_rounds(spark, monkeypatch):
     assert len(rounds) <= 8
 
 
+def test_near_groups_take_three_rounds_at_most(spark, monkeypatch):
+    """The rounds don't depend on the size of a bucket: nodes that link with none, and a family that its least node has no part in."""
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rounds, formed = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda *a: rounds.append(1) or formed(*a))
+    rows = [(k, prose(1, 90) + " " + prose(100 + k, 12)) for k in range(40)]
+    rows += [(100 + k, changed(prose(1, 90) + " " + prose(100, 12), k, 1)) for k in range(12)]
+    want, _ = components(rows, 2, 80)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_groups(documents(spark, rows), words=2).collect()}
+    assert got == {i: c for (i, _), c in zip(rows, want)} and len(set(want)) > 30
+    assert len(rounds) <= 3
+
+
 def test_near_dedup_keeps_columns_and_null_ids(spark):
     docs = documents(spark, [(None, prose(1)), (4, prose(1)), (2, prose(1)), (None, None), (9, ""), (9, "")])
     out = neardup.near_dedup(docs)
