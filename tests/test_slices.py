@@ -10,14 +10,21 @@ from pyspark.sql import functions as F
 from factorspark.operators import asof
 from factorspark.plans import scoring
 from factorspark.session import ensure_checkpoint_dir, release_shared
+from factorspark.sources import adapters as ad
 from factorspark.sources import lattice as lt
 
 SF = "/root/testdata/sf0.001"
 
 
 def shuffled(spark):
+    """Bytes of each shuffle file."""
     folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
-    return {f for d in folders for _, _, files in os.walk(str(d)) for f in files if f.startswith("shuffle_")}
+    return {f: os.path.getsize(os.path.join(at, f)) for d in folders for at, _, files in os.walk(str(d)) for f in files if f.startswith("shuffle_")}
+
+
+def left(spark, before):
+    """Bytes of the shuffle files that are new; a count of a table leaves some of its own."""
+    return sum(n for f, n in shuffled(spark).items() if f not in before)
 
 
 def size(folder):
@@ -43,9 +50,9 @@ def test_slices_leave_short_tables_and_the_same_factors(spark, monkeypatch):
     monkeypatch.setattr(lt, "written", written)
     sliced = scoring.snapshot_factors(spark, SF, False, slice_lines=2500)
     assert len(cells) == 3 and held == [1, 1, 1] and max(cells) < 0.8 * sum(cells)      # one slice lies on disk at a time
-    left = sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before if not x.startswith("run"))
-    assert left == ["insiders", "market", "snapshots", "snapshots", "snapshots"]
-    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached and not shuffled(spark) - files
+    tables = sorted(x.split("-")[0] for x in set(os.listdir(folder)) - before if not x.startswith("run"))
+    assert tables == ["insiders", "market", "snapshots", "snapshots", "snapshots"]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached and left(spark, files) < 5000
     a, b = rows(sliced), rows(scoring.factor_history(spark, SF))
     assert len(a) > 100 and [x for x, _ in a] == [x for x, _ in b]
     for (key, x), (_, y) in zip(a, b):
@@ -93,3 +100,22 @@ def test_a_symbol_may_lie_in_several_batches(spark):
         finally:
             spark.conf.set(most, before)
     assert len(got[0]) == 20 and got[0] == got[1] and sum("stability=None" in x for x in got[0]) < 12
+
+
+def test_regions_and_insiders_come_slice_by_slice(spark):
+    """A join that moves the lines, to their suppliers or orders, holds a part of them at a time."""
+    release_shared()
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    files, before = shuffled(spark), set(os.listdir(folder))
+    sliced = lt.region_bars(spark, SF, 500)
+    assert sum(x.startswith("regions-") for x in set(os.listdir(folder)) - before) == 3 and left(spark, files) < 5000
+    got, want = rows(sliced), rows(ad.bars(spark, SF, "region"))
+    assert [x for x, _ in got] == [x for x, _ in want]
+    for (key, x), (_, y) in zip(got, want):
+        assert x == pytest.approx(y, rel=1e-12), key
+    seen = rows(scoring.snapshot_factors(spark, SF, True, slice_lines=1000).select("symbol", "as_of", "regime", "insider"))
+    assert sum(x.startswith("insiders-") for x in set(os.listdir(folder)) - before) == 2
+    plain = rows(scoring.factor_table(spark, SF).select("symbol", "as_of", "regime", "insider"))
+    assert len(seen) == 30 and [x for x, _ in seen] == [x for x, _ in plain]
+    assert [x for _, x in seen] == [pytest.approx(x, rel=1e-9) for _, x in plain]
+    release_shared()
